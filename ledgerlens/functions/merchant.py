@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
-from ledgerlens.functions.text import col_, strip_ws, title_case
+from ledgerlens.functions.text import col_, let, strip_ws, title_case
 
 _CITY_RE = "(?i)(?:" + "|".join(K.CITY_SUFFIXES) + r")\s*$"
 _IN_CITY_RE = r"(?i)\s+IN(?:" + "|".join(K.IN_CITY_SUFFIXES) + r")\s*$"
@@ -33,21 +33,28 @@ def clean_merchant(raw: Column | str) -> Column:
     m = _sub_strip(m, K.LEGAL_SUFFIX_RE)
     m = _sub_strip(m, r"\s{2,}", " ")
     m = strip_ws(F.substring(m, 1, K.MAX_MERCHANT_LEN))
-    words = F.split(m, r"\s+")
-    reject = (
-        (F.length(m) < K.MIN_MERCHANT_LEN)
-        | F.lower(m).contains("ref#")
-        | m.contains("%")
-        | (F.size(words) > K.MAX_MERCHANT_WORDS)
-        | F.arrays_overlap(F.transform(words, F.lower), F.array(*[F.lit(w) for w in K.SENTENCE_WORDS]))
-    )
-    return F.when(col_(raw).isNull() | (col_(raw) == ""), F.lit(None).cast("string")) \
-        .when(reject, F.lit(None).cast("string")).otherwise(m)
+
+    def verdict(v: Column) -> Column:
+        words = F.split(v, r"\s+")
+        reject = (
+            (F.length(v) < K.MIN_MERCHANT_LEN)
+            | F.lower(v).contains("ref#")
+            | v.contains("%")
+            | (F.size(words) > K.MAX_MERCHANT_WORDS)
+            | F.arrays_overlap(F.transform(words, F.lower), F.array(*[F.lit(w) for w in K.SENTENCE_WORDS]))
+        )
+        return F.when(reject, F.lit(None).cast("string")).otherwise(v)
+
+    r = col_(raw)
+    return F.when(r.isNull() | (r == ""), F.lit(None).cast("string")).otherwise(let(m, verdict))
 
 
 def clean_vpa(vpa: Column | str) -> Column:
     """Readable name from a UPI handle, or 'UPI Transfer'."""
-    handle = F.substring_index(col_(vpa), "@", 1)
+    return let(F.substring_index(col_(vpa), "@", 1), _vpa_name)
+
+
+def _vpa_name(handle: Column) -> Column:
     low = F.lower(handle)
     transfer = F.lit(K.UPI_TRANSFER)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
-from ledgerlens.functions.text import col_, contains_any, count_present, strip_ws
+from ledgerlens.functions.text import col_, contains_any, count_present, let, strip_ws
 
 
 # --- P1 ---------------------------------------------------------------------------
@@ -33,8 +33,12 @@ def has_amount(text: Column | str) -> Column:
 
 def extract_amount(text: Column | str) -> Column:
     """First ``INR``/``Rs`` amount, commas removed, kept when 0 < v <= 1e7."""
-    raw = F.regexp_extract(col_(text), K.AMOUNT_RE, 1)
-    return _bounded_amount(_try_decimal(F.regexp_replace(raw, ",", "")))
+    return amount_from_capture(F.regexp_extract(col_(text), K.AMOUNT_RE, 1))
+
+
+def amount_from_capture(raw: Column) -> Column:
+    """Captured amount digits -> DECIMAL(12,2) within (0, 1e7], else NULL."""
+    return let(_try_decimal(F.regexp_replace(raw, ",", "")), _bounded_amount)
 
 
 def _try_decimal(s: Column) -> Column:
@@ -84,16 +88,18 @@ def parse_date(val: Column | str) -> Column:
     several blanks between parts.  Dates are parsed as DATE, so the result
     never depends on the session time zone.
     """
-    raw = strip_ws(col_(val))
-    spaced = F.regexp_replace(raw, r"\s+", " ")
-    tries = []
-    for fmt in K.DATE_FORMATS:
-        src = spaced if " " in fmt else raw
-        d = F.try_to_date(src, fmt)
-        if "yy" in fmt and "yyyy" not in fmt:
-            d = F.when(F.year(d) >= 2000 + K.TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
-        tries.append(d)
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    def from_raw(raw: Column) -> Column:
+        spaced = F.regexp_replace(raw, r"\s+", " ")
+        tries = []
+        for fmt in K.DATE_FORMATS:
+            d = F.try_to_date(spaced if " " in fmt else raw, fmt)
+            if "yy" in fmt and "yyyy" not in fmt:
+                d = let(d, lambda x: F.when(F.year(x) >= 2000 + K.TWO_DIGIT_YEAR_PIVOT,
+                                            F.add_months(x, -1200)).otherwise(x))
+            tries.append(d)
+        return F.coalesce(*tries)
+
+    return let(strip_ws(col_(val)), from_raw).cast("timestamp_ntz")
 
 
 def epoch_millis_to_ntz(ms: Column | str) -> Column:

@@ -10,6 +10,17 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column).
+
+    Spark does not share a subexpression that only appears inside later
+    CASE branches, so an expensive value referenced several times would be
+    recomputed per reference; binding it through a one-element
+    ``transform`` evaluates it exactly once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c: Column | str) -> Column:
     """Strip leading/trailing whitespace (``trim`` only strips blanks)."""
     return F.regexp_replace(col_(c), r"^\s+|\s+$", "")

@@ -158,3 +158,172 @@ def q_latest_records(spark, sf):
     df = R.latest_records(_exp(spark, sf))
     return as_double(df.select("source", "created_at", "amount", "merchant", "category", "sub_category",
                                "payment_method", "bank_name"), "amount")
+
+
+# --- parsers over alert text rendered from lineitem x part ----------------------------
+
+from ledgerlens.functions import merchant as M  # noqa: E402
+from ledgerlens.functions import parsing as P  # noqa: E402
+from ledgerlens.operators import alerts as AL  # noqa: E402
+from ledgerlens.operators import rules as RU  # noqa: E402
+from ledgerlens.plans import fixtures as FX  # noqa: E402
+from ledgerlens.sources import mail as ML  # noqa: E402
+
+
+def _alerts(spark, sf):
+    return S.alert_messages(spark, sf)
+
+
+@register("parse_alerts")
+def q_parse_alerts(spark, sf):
+    df = AL.parse_alerts(_alerts(spark, sf))
+    return as_double(df.select("source", "status", "txn_date", "amount", "merchant", "payment_method",
+                               "bank_name"), "amount")
+
+
+@register("extract_amount")
+def q_extract_amount(spark, sf):
+    return as_double(_alerts(spark, sf).select("message_id", P.extract_amount("raw_text").alias("amount")), "amount")
+
+
+@register("extract_merchant")
+def q_extract_merchant(spark, sf):
+    return _alerts(spark, sf).select("message_id", P.extract_merchant("raw_text").alias("merchant"))
+
+
+@register("extract_vpa")
+def q_extract_vpa(spark, sf):
+    return _alerts(spark, sf).select("message_id", P.extract_vpa("raw_text").alias("vpa"))
+
+
+@register("extract_payment_method")
+def q_extract_payment_method(spark, sf):
+    return _alerts(spark, sf).select("message_id", P.extract_payment_method("raw_text").alias("payment_method"))
+
+
+@register("extract_txn_date")
+def q_extract_txn_date(spark, sf):
+    return _alerts(spark, sf).select("message_id", P.extract_txn_date("raw_text", "timestamp").alias("txn_date"))
+
+
+@register("clean_merchant")
+def q_clean_merchant(spark, sf):
+    phrase = P.extract_merchant("raw_text")
+    return _alerts(spark, sf).select("message_id", phrase.alias("phrase"), M.clean_merchant(phrase).alias("merchant"))
+
+
+@register("clean_vpa")
+def q_clean_vpa(spark, sf):
+    vpa = P.extract_vpa("raw_text")
+    return (_alerts(spark, sf).filter(vpa.isNotNull())
+            .select("message_id", vpa.alias("vpa"), M.clean_vpa(vpa).alias("merchant")))
+
+
+def _order_dates(spark, sf):
+    """Order dates rendered in the six accepted layouts plus invalid ones."""
+    o = S.read_table(spark, sf, "orders")
+    d = F.col("o_orderdate")
+    k = F.col("o_orderkey") % 8
+    text = (F.when(k == 0, F.date_format(d, "d/M/yyyy"))
+            .when(k == 1, F.date_format(d, "dd-MM-yyyy"))
+            .when(k == 2, F.date_format(d, "dd/MM/yy"))
+            .when(k == 3, F.date_format(d, "d-M-yy"))
+            .when(k == 4, F.upper(F.date_format(d, "d MMMM yyyy")))
+            .when(k == 5, F.date_format(d, "dd  MMM yyyy"))
+            .when(k == 6, F.concat(F.lit("31/02/"), F.date_format(d, "yyyy")))
+            .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return o.select("o_orderkey", text.alias("date_text"), "o_totalprice")
+
+
+@register("parse_date")
+def q_parse_date(spark, sf):
+    df = _order_dates(spark, sf)
+    return df.select("o_orderkey", "date_text", P.parse_date("date_text").alias("parsed"))
+
+
+@register("parse_amount")
+def q_parse_amount(spark, sf):
+    o = S.read_table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 5
+    p = F.col("o_totalprice").cast("decimal(12,2)")
+    text = (F.when(k == 0, F.format_number(p, 2))
+            .when(k == 1, F.concat(F.lit(" "), p.cast("string"), F.lit(" ")))
+            .when(k == 2, (-p).cast("string"))
+            .when(k == 3, (p * 100).cast("string"))
+            .otherwise(F.concat(p.cast("string"), F.lit("x"))))
+    df = o.select("o_orderkey", text.alias("amount_text"))
+    return as_double(df.select("o_orderkey", "amount_text", P.parse_amount("amount_text").alias("amount")), "amount")
+
+
+@register("is_transaction_message")
+def q_is_transaction_message(spark, sf):
+    d = S.read_table(spark, sf, "documents")
+    return d.select("doc_id", P.is_transaction_message("text").alias("is_txn"))
+
+
+# --- mail export chain ------------------------------------------------------------------
+
+def _payloads(spark, sf):
+    return S.mail_payloads(spark, sf)
+
+
+@register("decode_mime_body")
+def q_decode_mime_body(spark, sf):
+    return _payloads(spark, sf).select("id", ML.decode_mime_body("payload").alias("body"))
+
+
+@register("message_records")
+def q_message_records(spark, sf):
+    return ML.message_records(_payloads(spark, sf))
+
+
+@register("resolve_bank")
+def q_resolve_bank(spark, sf):
+    p = _payloads(spark, sf)
+    return p.select("id", ML.sender("payload").alias("sender"), ML.resolve_bank(ML.sender("payload")).alias("bank_name"))
+
+
+@register("html_to_text")
+def q_html_to_text(spark, sf):
+    pages = S.read_table(spark, sf, "pages")
+    return pages.select("page_id", ML.html_to_text("html").alias("text"))
+
+
+@register("mail_query_filter")
+def q_mail_query_filter(spark, sf):
+    return ML.mail_query_filter(_payloads(spark, sf), as_of=AS_OF).select("id", "internalDate")
+
+
+@register("mail_latest_n")
+def q_mail_latest_n(spark, sf):
+    return ML.mail_latest_n(_payloads(spark, sf)).select("id", "internalDate")
+
+
+# --- merchant rules ----------------------------------------------------------------------
+
+def _all_txn(spark, sf):
+    return R.all_transactions(_exp(spark, sf), _cred(spark, sf))
+
+
+@register("categorize_mappings")
+def q_categorize_mappings(spark, sf):
+    df = RU.categorize(_all_txn(spark, sf), FX.test_mappings(spark))
+    return df.select("table_name", "source", "merchant", "category", "sub_category")
+
+
+@register("categorize_fallback")
+def q_categorize_fallback(spark, sf):
+    df = RU.categorize(_all_txn(spark, sf), None)
+    return df.select("table_name", "source", "merchant", "category", "sub_category")
+
+
+@register("apply_mappings")
+def q_apply_mappings(spark, sf):
+    df = RU.apply_mappings(_all_txn(spark, sf), FX.test_mappings(spark))
+    return df.select("table_name", "source", "merchant", "category", "sub_category",
+                     F.size("hits").alias("n_hits"))
+
+
+@register("apply_report")
+def q_apply_report(spark, sf):
+    return RU.apply_report(_exp(spark, sf), _cred(spark, sf), FX.test_mappings(spark))

@@ -180,3 +180,239 @@ ORDER BY created_at DESC, source ASC, amount ASC, merchant ASC NULLS FIRST, cate
          sub_category ASC NULLS FIRST, payment_method ASC NULLS FIRST, bank_name ASC NULLS FIRST
 LIMIT 5
 """)
+
+
+# --- alert text re-rendered in DuckDB from the same columns ------------------------------
+
+ALERT_CTE = """
+WITH li AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey),
+a0 AS (
+  SELECT 'syn:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS message_id,
+         l_linenumber % 4 AS kind, l_linenumber, l_orderkey, l_suppkey, p_name, l_shipdate,
+         CAST(l_extendedprice AS DECIMAL(12,2)) AS amt,
+         lpad(CAST(l_suppkey % 10000 AS VARCHAR), 4, '0') AS card,
+         epoch_ms(l_shipdate) AS ts_ms,
+         CASE l_suppkey % 3 WHEN 0 THEN 'HDFC' WHEN 1 THEN 'SBI' ELSE 'Axis' END AS bank_name
+  FROM li),
+alerts AS (
+  SELECT *, CASE kind
+    WHEN 1 THEN 'INR ' || CAST(amt AS VARCHAR) || ' debited from a/c XX' || card || ' via UPI on '
+                || strftime(l_shipdate, '%d/%m/%Y') || ' at ' || p_name
+    WHEN 2 THEN 'Rs.' || format('{:,.2f}', amt) || ' spent on credit card XX' || card || ' on '
+                || strftime(l_shipdate, '%d %b %Y') || ' at ' || upper(p_name) || ' INMUMBAI'
+    WHEN 3 THEN 'Rs ' || CAST(amt AS VARCHAR) || ' debited from A/c no. XX' || card || ' on '
+                || strftime(l_shipdate, '%d-%m-%y') || ' to VPA ' || replace(p_name, ' ', '.')
+                || '@okaxis (UPI Ref No ' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || ')'
+    ELSE 'Your a/c XX' || card || ' is ' || CASE WHEN l_suppkey % 2 = 0 THEN 'debited' ELSE 'credited' END
+                || ' by INR ' || CAST(amt AS VARCHAR) || ' via NEFT. Info: ' || upper(p_name)
+  END AS text,
+  upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lower(substr(split_part(p_name, ' ', 2), 2)) AS vpa_name,
+  CASE WHEN kind = 0 AND l_suppkey % 2 = 1 THEN 'failed' ELSE 'parsed' END AS status
+  FROM a0)
+"""
+
+
+def alert_oracle(name: str, body: str) -> None:
+    ORACLES[name] = ALERT_CTE + body
+
+
+alert_oracle("parse_alerts", """
+SELECT message_id AS source, status,
+       CASE WHEN status = 'parsed' THEN l_shipdate END AS txn_date,
+       CASE WHEN status = 'parsed' THEN CAST(amt AS DOUBLE) END AS amount,
+       CASE WHEN status = 'failed' THEN NULL WHEN kind = 1 THEN p_name WHEN kind = 2 THEN upper(p_name)
+            WHEN kind = 3 THEN vpa_name ELSE 'Unknown' END AS merchant,
+       CASE WHEN status = 'failed' THEN NULL WHEN kind = 1 THEN 'UPI' WHEN kind = 2 THEN 'CREDIT CARD'
+            WHEN kind = 3 THEN 'UPI' ELSE 'NEFT' END AS payment_method,
+       bank_name
+FROM alerts
+""")
+
+alert_oracle("extract_amount", "SELECT message_id, CAST(amt AS DOUBLE) AS amount FROM alerts")
+
+alert_oracle("extract_merchant", """
+SELECT message_id, CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) || ' INMUMBAI'
+                             WHEN 3 THEN 'VPA ' || replace(p_name, ' ', '.') END AS merchant
+FROM alerts
+""")
+
+alert_oracle("extract_vpa", """
+SELECT message_id, CASE WHEN kind = 3 THEN replace(p_name, ' ', '.') || '@okaxis' END AS vpa FROM alerts
+""")
+
+alert_oracle("extract_payment_method", """
+SELECT message_id, CASE kind WHEN 1 THEN 'UPI' WHEN 2 THEN 'CREDIT CARD' WHEN 3 THEN 'UPI' ELSE 'NEFT' END
+       AS payment_method
+FROM alerts
+""")
+
+alert_oracle("extract_txn_date", "SELECT message_id, l_shipdate AS txn_date FROM alerts")
+
+alert_oracle("clean_merchant", """
+SELECT message_id,
+       CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) || ' INMUMBAI'
+                 WHEN 3 THEN 'VPA ' || replace(p_name, ' ', '.') END AS phrase,
+       CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name)
+                 WHEN 3 THEN 'VPA ' || replace(p_name, ' ', '.') END AS merchant
+FROM alerts
+""")
+
+alert_oracle("clean_vpa", """
+SELECT message_id, replace(p_name, ' ', '.') || '@okaxis' AS vpa, vpa_name AS merchant
+FROM alerts WHERE kind = 3
+""")
+
+ORACLES["parse_date"] = """
+WITH d AS (
+  SELECT o_orderkey, CASE o_orderkey % 8
+    WHEN 0 THEN CAST(day(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/'
+                || strftime(o_orderdate, '%Y')
+    WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y')
+    WHEN 2 THEN strftime(o_orderdate, '%d/%m/%y')
+    WHEN 3 THEN CAST(day(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-'
+                || strftime(o_orderdate, '%y')
+    WHEN 4 THEN upper(CAST(day(o_orderdate) AS VARCHAR) || ' ' || strftime(o_orderdate, '%B %Y'))
+    WHEN 5 THEN strftime(o_orderdate, '%d  %b %Y')
+    WHEN 6 THEN '31/02/' || strftime(o_orderdate, '%Y')
+    ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_text
+  FROM orders)
+SELECT o_orderkey, date_text,
+       CAST(COALESCE(
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}/\\d{1,2}/\\d{4}') THEN try_strptime(trim(date_text), '%d/%m/%Y') END,
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}-\\d{1,2}-\\d{4}') THEN try_strptime(trim(date_text), '%d-%m-%Y') END,
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}/\\d{1,2}/\\d{2}') THEN try_strptime(trim(date_text), '%d/%m/%y') END,
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}-\\d{1,2}-\\d{2}') THEN try_strptime(trim(date_text), '%d-%m-%y') END,
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}\\s+[A-Za-z]+\\s+\\d{4}') THEN try_strptime(trim(date_text), '%d %B %Y') END,
+         CASE WHEN regexp_full_match(trim(date_text), '\\d{1,2}\\s+[A-Za-z]+\\s+\\d{4}') THEN try_strptime(trim(date_text), '%d %b %Y') END)
+            AS TIMESTAMP) AS parsed
+FROM d
+"""
+
+ORACLES["parse_amount"] = """
+WITH a AS (
+  SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2)) AS p, o_orderkey % 5 AS k FROM orders),
+t AS (
+  SELECT o_orderkey, CASE k WHEN 0 THEN format('{:,.2f}', p) WHEN 1 THEN ' ' || CAST(p AS VARCHAR) || ' '
+                            WHEN 2 THEN CAST(-p AS VARCHAR) WHEN 3 THEN CAST(p * 100 AS VARCHAR)
+                            ELSE CAST(p AS VARCHAR) || 'x' END AS amount_text
+  FROM a),
+v AS (SELECT o_orderkey, amount_text, TRY_CAST(trim(replace(amount_text, ',', '')) AS DOUBLE) AS x FROM t)
+SELECT o_orderkey, amount_text, CASE WHEN x > 0 AND x <= 10000000 THEN ROUND(x, 2) END AS amount FROM v
+"""
+
+_TXN_KEYWORDS = ["debited", "credited", "upi txn", "rs.", "inr", "a/c", "account"]
+ORACLES["is_transaction_message"] = (
+    "SELECT doc_id, (" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INTEGER)" for k in _TXN_KEYWORDS)
+    + ") >= 2 AS is_txn FROM documents"
+)
+
+alert_oracle("decode_mime_body", """
+SELECT message_id AS id,
+       CASE WHEN l_linenumber % 4 = 3 THEN '<html><body><p>' || text || '</p></body></html>' ELSE text END AS body
+FROM alerts
+""")
+
+alert_oracle("message_records", """
+SELECT 'gmail' AS source, message_id, ts_ms AS timestamp, text AS raw_text, bank_name
+FROM alerts WHERE kind <> 2
+""")
+
+alert_oracle("resolve_bank", """
+SELECT message_id AS id,
+       CASE l_suppkey % 3 WHEN 0 THEN 'HDFC Bank InstaAlerts <alerts@hdfcbank.bank.in>'
+                          WHEN 1 THEN 'SBI <cbsalerts@sbi.co.in>'
+                          ELSE 'Axis Bank Alerts <alerts@axis.bank.in>' END AS sender,
+       bank_name
+FROM alerts
+""")
+
+ORACLES["html_to_text"] = r"""
+WITH s1 AS (
+  SELECT page_id, html,
+         regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+                        '(?:<[^>]*>)+', ' ', 'g') AS t
+  FROM pages),
+s2 AS (
+  SELECT page_id, html,
+         replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+                 '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t
+  FROM s1)
+SELECT page_id, CASE WHEN contains(lower(html), '<html') THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE html END
+       AS text
+FROM s2
+"""
+
+alert_oracle("mail_query_filter", """
+SELECT message_id AS id, ts_ms AS internalDate FROM alerts
+WHERE ts_ms >= epoch_ms(TIMESTAMP '1998-08-02 10:30:00') - 2592000000
+  AND ts_ms <= epoch_ms(TIMESTAMP '1998-08-02 10:30:00')
+""")
+
+alert_oracle("mail_latest_n", """
+SELECT message_id AS id, ts_ms AS internalDate FROM alerts ORDER BY ts_ms DESC, message_id ASC LIMIT 100
+""")
+
+
+# --- merchant rules, generated from the fixture rules ----------------------------------
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rules_oracles() -> None:
+    from ledgerlens import constants as K
+    from ledgerlens.plans.fixtures import ordered_rules
+
+    rules = ordered_rules()
+    all_txn = ("SELECT 'expenses' AS table_name, * FROM expenses "
+               "UNION ALL SELECT 'credits' AS table_name, * FROM credits")
+    key = "lower(COALESCE(merchant, ''))"
+    first = "CASE " + " ".join(f"WHEN contains({key}, {_q(r[1])}) THEN {i}" for i, r in enumerate(rules)) + " END"
+    pick = lambda field: "CASE r " + " ".join(f"WHEN {i} THEN {_q(r[field])}" for i, r in enumerate(rules)) + " END"
+    fb = "CASE " + " ".join(f"WHEN contains({key}, {_q(k.lower())}) THEN {i}"
+                            for i, (k, _, _) in enumerate(K.CATEGORY_MAP)) + " END"
+    fb_pick = lambda j: "CASE f " + " ".join(f"WHEN {i} THEN {_q(e[j])}"
+                                            for i, e in enumerate(K.CATEGORY_MAP)) + " END"
+
+    def categorize_sql(with_rules: bool) -> str:
+        r_expr = first if with_rules else "CAST(NULL AS INTEGER)"
+        return TXN_CTE + f"""
+, base AS (SELECT table_name, source, merchant, {r_expr} AS r, {fb} AS f FROM ({all_txn}) t),
+dec AS (
+  SELECT table_name, source, merchant, r, f,
+         {pick(2) if with_rules else 'CAST(NULL AS VARCHAR)'} AS clean,
+         COALESCE({pick(3) if with_rules else 'CAST(NULL AS VARCHAR)'}, 'Other') AS cat1,
+         CASE WHEN r IS NOT NULL THEN {pick(4) if with_rules else "''"} ELSE '' END AS sub1
+  FROM base)
+SELECT table_name, source,
+       CASE WHEN clean IS NOT NULL AND clean <> '' THEN clean ELSE merchant END AS merchant,
+       CASE WHEN cat1 = 'Other' AND f IS NOT NULL THEN {fb_pick(1)} ELSE cat1 END AS category,
+       CASE WHEN cat1 = 'Other' AND f IS NOT NULL THEN {fb_pick(2)} ELSE sub1 END AS sub_category
+FROM dec
+"""
+
+    ORACLES["categorize_mappings"] = categorize_sql(True)
+    ORACLES["categorize_fallback"] = categorize_sql(False)
+
+    steps = [f", s0 AS (SELECT table_name, source, merchant AS m, category AS c, sub_category AS s, "
+             f"0 AS n_hits, {', '.join(f'0 AS h{i}' for i in range(len(rules)))} FROM ({all_txn}) t)"]
+    for i, r in enumerate(rules):
+        cond = f"(m IS NOT NULL AND lower(m) LIKE {_q('%' + r[1] + '%')})"
+        hs = ", ".join(f"CASE WHEN {cond} THEN 1 ELSE 0 END AS h{j}" if j == i else f"h{j}" for j in range(len(rules)))
+        steps.append(
+            f", s{i + 1} AS (SELECT table_name, source, CASE WHEN {cond} THEN {_q(r[2])} ELSE m END AS m, "
+            f"CASE WHEN {cond} THEN {_q(r[3])} ELSE c END AS c, CASE WHEN {cond} THEN {_q(r[4])} ELSE s END AS s, "
+            f"n_hits + CASE WHEN {cond} THEN 1 ELSE 0 END AS n_hits, {hs} FROM s{i})")
+    chain = TXN_CTE + "\n".join(steps)
+    last = f"s{len(rules)}"
+    ORACLES["apply_mappings"] = chain + (
+        f"\nSELECT table_name, source, m AS merchant, c AS category, s AS sub_category, n_hits FROM {last}")
+    report = " UNION ALL ".join(
+        f"SELECT {_q(r[1])} AS pattern, {i} AS rule_order, "
+        f"SUM(CASE WHEN table_name = 'expenses' THEN h{i} ELSE 0 END) AS expenses, "
+        f"SUM(CASE WHEN table_name = 'credits' THEN h{i} ELSE 0 END) AS credits FROM {last}"
+        for i, r in enumerate(rules))
+    ORACLES["apply_report"] = chain + f"\nSELECT * FROM ({report}) x WHERE expenses + credits > 0"
+
+
+_rules_oracles()

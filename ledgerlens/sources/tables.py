@@ -26,13 +26,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (regex parsing, hashing) one task per core.
+
+    A scan yields one task per file split / row group.  On a cluster
+    reading many files that is far more than the core count and this is a
+    no-op; a small input stored as one row group would otherwise run in
+    a single task, so it is spread round-robin over the default
+    parallelism (one cheap shuffle of the input).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
     for t in TABLES:
         read_table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
-def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lineitem_part(spark: SparkSession, sf_dir: str, text_heavy: bool = False) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
+    if text_heavy:
+        li = spread(li)
     part = read_table(spark, sf_dir, "part")
     # Plain equi-join: Spark picks broadcast only when ``part`` is under the
     # autoBroadcastJoinThreshold (its own size check); otherwise sort-merge.
@@ -132,7 +149,7 @@ SENDERS_BY_SUPPLIER = [
 
 def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW_MESSAGE rows: one alert per lineitem row."""
-    j = _lineitem_part(spark, sf_dir)
+    j = _lineitem_part(spark, sf_dir, text_heavy=True)
     return j.select(
         F.lit("gmail").alias("source"),
         _source_key().alias("message_id"),
@@ -151,7 +168,7 @@ def mail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     that must be ignored plus an HTML part; even ones a single top-level
     body.  Bodies are URL-safe base64 without padding.
     """
-    j = _lineitem_part(spark, sf_dir)
+    j = _lineitem_part(spark, sf_dir, text_heavy=True)
     text = alert_text_expr()
 
     def b64url(c: Column) -> Column:
