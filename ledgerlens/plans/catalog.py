@@ -327,3 +327,228 @@ def q_apply_mappings(spark, sf):
 @register("apply_report")
 def q_apply_report(spark, sf):
     return RU.apply_report(_exp(spark, sf), _cred(spark, sf), FX.test_mappings(spark))
+
+
+# --- store and mapping maintenance ---------------------------------------------------------
+
+from ledgerlens.operators import questions as QA  # noqa: E402
+from ledgerlens.operators import search as V  # noqa: E402
+from ledgerlens.operators import store as ST  # noqa: E402
+from ledgerlens.session import scratch_path  # noqa: E402
+
+
+def _parsed_debits(spark, sf):
+    """Alert pipeline rows as the mail flow stores them (all debits)."""
+    return (AL.parse_alerts(_alerts(spark, sf)).filter(F.col("status") == "parsed")
+            .withColumn("txn_type", F.lit("debit")))
+
+
+@register("dedup_against_store")
+def q_dedup_against_store(spark, sf):
+    store = S.bound_transactions(spark, sf).filter(F.col("txn_date") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    out = ST.dedup_against_store(_parsed_debits(spark, sf), store, order=[F.col("raw_text"), F.col("txn_date")])
+    return as_double(out.select("source", "txn_date", "amount", "merchant"), "amount")
+
+
+@register("append_transactions")
+def q_append_transactions(spark, sf):
+    path = scratch_path(spark, "store")
+    rows = ST.to_store_rows(S.bound_transactions(spark, sf), created_at=AS_OF)
+    ST.append_transactions(rows, path)
+    back = ST.read_store(spark, path)
+    return as_double(back.select("source", "txn_type", "txn_date", "amount", "currency", "merchant"), "amount")
+
+
+@register("publish_bi_views")
+def q_publish_bi_views(spark, sf):
+    ST.publish_bi_views(spark, _exp(spark, sf), _cred(spark, sf))
+    return spark.sql("SELECT merchant, CAST(total_spent AS DOUBLE) AS total_spent, txn_count, "
+                     "ROUND(CAST(avg_amount AS DOUBLE), 6) AS avg_amount FROM v_top_merchants")
+
+
+@register("delete_bad_rows")
+def q_delete_bad_rows(spark, sf):
+    return as_double(ST.delete_bad_rows(_exp(spark, sf)).select("source", "amount"), "amount")
+
+
+def _mapping_csv(spark, sf) -> str:
+    """A mapping CSV rendered from the distinct part names (comments, a
+    header, some rows with a bad priority or no category)."""
+    part = S.read_table(spark, sf, "part")
+    names = part.groupBy("p_name").agg(F.min("p_type").alias("t"), F.min("p_brand").alias("b"))
+    pri = F.when(F.col("p_name").startswith("cold"), F.lit("x")).otherwise((F.length("p_name") % 7).cast("string"))
+    cat = F.when(F.col("p_name").startswith("hot"), F.lit("")).otherwise(F.initcap("t"))
+    body = names.select(F.lit(2).alias("k"), F.col("p_name").alias("o"),
+                        F.concat_ws(",", F.upper("p_name"), F.initcap("p_name"), cat, F.col("b"), pri).alias("value"))
+    head = spark.createDataFrame([(0, "", "# mapping rules"), (1, "", "raw_pattern,clean_name,category,sub_category,priority"),
+                                  (1, "~", '"# quoted comment, skipped too"')], "k int, o string, value string")
+    path = scratch_path(spark, "mapcsv")
+    # Bounded by the name vocabulary, so one ordered file is fine here.
+    head.unionByName(body).orderBy("k", "o").coalesce(1).select("value").write.text(path)
+    return path
+
+
+@register("read_mapping_csv")
+def q_read_mapping_csv(spark, sf):
+    df = ST.read_mapping_csv(spark, _mapping_csv(spark, sf))
+    return df.select("raw_pattern", "clean_name", "category", "sub_category", "priority", "status")
+
+
+def _upserted(spark, sf):
+    rows = ST.read_mapping_csv(spark, _mapping_csv(spark, sf)).filter(F.col("status") == "ok")
+    return ST.upsert_mappings(FX.test_mappings(spark), rows, as_of=AS_OF)
+
+
+@register("upsert_mappings")
+def q_upsert_mappings(spark, sf):
+    return _upserted(spark, sf).select("id", "raw_pattern", "clean_name", "category", "sub_category", "priority")
+
+
+@register("lookup_mapping")
+def q_lookup_mapping(spark, sf):
+    return ST.lookup_mapping(_upserted(spark, sf), "  Blue Widget ").select("id", "raw_pattern", "clean_name")
+
+
+@register("delete_mapping")
+def q_delete_mapping(spark, sf):
+    remaining, _ = ST.delete_mapping(_upserted(spark, sf), "GEAR")
+    return remaining.select("id", "raw_pattern")
+
+
+def _raw_merchants(spark, sf):
+    a = _alerts(spark, sf)
+    vpa, phrase = P.extract_vpa("raw_text"), P.extract_merchant("raw_text")
+    return a.select(F.col("message_id").alias("source"), F.coalesce(vpa, phrase).alias("merchant"))
+
+
+@register("reclean_existing")
+def q_reclean_existing(spark, sf):
+    return ST.reclean_existing(_raw_merchants(spark, sf)).select("source", "old_merchant", "merchant", "change")
+
+
+@register("reclean_counts")
+def q_reclean_counts(spark, sf):
+    return ST.reclean_counts(ST.reclean_existing(_raw_merchants(spark, sf)))
+
+
+# --- vector search -----------------------------------------------------------------------------
+
+def _query_vector(spark, sf):
+    first = S.read_table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").first()
+    return first[0]
+
+
+@register("semantic_search")
+def q_semantic_search(spark, sf):
+    emb = S.read_table(spark, sf, "embeddings")
+    out = V.semantic_search(emb, _query_vector(spark, sf), tie_cols=["vec_id"])
+    return out.select("vec_id", "label", F.round("distance", 4).alias("distance"))
+
+
+@register("semantic_search_unfiltered")
+def q_semantic_search_unfiltered(spark, sf):
+    emb = S.read_table(spark, sf, "embeddings")
+    return V.semantic_search_unfiltered(emb, _query_vector(spark, sf), tie_cols=["vec_id"]).select("vec_id", "label")
+
+
+@register("semantic_search_batch")
+def q_semantic_search_batch(spark, sf):
+    emb = S.spread(S.read_table(spark, sf, "embeddings"))
+    queries = V.centroids(emb, "label").withColumnRenamed("label", "query_id")
+    out = V.semantic_search_batch(emb, queries)
+    return out.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"))
+
+
+@register("embed_transactions")
+def q_embed_transactions(spark, sf):
+    txn = S.spread(S.bound_transactions(spark, sf))
+    e = V.embed_transactions(txn, dim=64)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, v: a + v * v))
+    return e.select("source", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
+
+
+# --- questions ----------------------------------------------------------------------------------
+
+def _user_questions(spark, sf):
+    c = S.read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+
+
+@register("interpret_question")
+def q_interpret_question(spark, sf):
+    q = _user_questions(spark, sf)
+    return q.select("question_id", QA.interpret_question("text", AS_OF).alias("f")).select("question_id", "f.*")
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf):
+    out = QA.answer_questions(_user_questions(spark, sf), _exp(spark, sf), AS_OF)
+    return as_double(out.select("question_id", "total"), "total")
+
+
+@register("route_questions")
+def q_route_questions(spark, sf):
+    return QA.route_questions(_user_questions(spark, sf)).select("question_id", "route")
+
+
+GUARDED_SQL = "```sql\nSELECT category, CAST(SUM(amount) AS DOUBLE) AS total FROM expenses GROUP BY category\n```"
+
+
+@register("guarded_sql")
+def q_guarded_sql(spark, sf):
+    ST.publish_bi_views(spark, _exp(spark, sf), _cred(spark, sf))
+    return QA.guarded_sql(spark, GUARDED_SQL)
+
+
+def _conv(spark, sf):
+    return S.read_table(spark, sf, "conversations")
+
+
+@register("strip_code_fence")
+def q_strip_code_fence(spark, sf):
+    return _conv(spark, sf).select("conv_id", "turn", P.strip_code_fence("text").alias("sql"))
+
+
+@register("is_safe_select")
+def q_is_safe_select(spark, sf):
+    return _conv(spark, sf).select("conv_id", "turn", P.is_safe_select("text").alias("safe"))
+
+
+@register("is_structured_question")
+def q_is_structured_question(spark, sf):
+    return _conv(spark, sf).select("conv_id", "turn", P.is_structured_question("text").alias("structured"))
+
+
+@register("pattern_candidates")
+def q_pattern_candidates(spark, sf):
+    return _alerts(spark, sf).select("message_id", QA.pattern_candidates("raw_text").alias("candidates"))
+
+
+@register("suggest_pattern")
+def q_suggest_pattern(spark, sf):
+    j = S._lineitem_part(spark, sf, text_heavy=True)
+    return j.select(S._source_key().alias("message_id"),
+                    QA.suggest_pattern(S.alert_text_expr(), F.initcap("p_name")).alias("pattern"))
+
+
+# --- documents ------------------------------------------------------------------------------------
+
+def _docs(spark, sf):
+    return S.spread(S.read_table(spark, sf, "documents"))
+
+
+@register("redact_pii")
+def q_redact_pii(spark, sf):
+    return _docs(spark, sf).select("doc_id", P.redact_pii("text").alias("text"))
+
+
+@register("row_hash")
+def q_row_hash(spark, sf):
+    d = _docs(spark, sf)
+    doc = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", P.row_hash("text").alias("row_hash"), P.source_key(doc, "text").alias("source"))
+
+
+@register("embedding_text")
+def q_embedding_text(spark, sf):
+    return S.bound_transactions(spark, sf).select("source", P.embedding_text().alias("text"))

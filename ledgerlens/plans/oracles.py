@@ -188,7 +188,8 @@ ALERT_CTE = """
 WITH li AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey),
 a0 AS (
   SELECT 'syn:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS message_id,
-         l_linenumber % 4 AS kind, l_linenumber, l_orderkey, l_suppkey, p_name, l_shipdate,
+         l_linenumber % 4 AS kind, l_linenumber, l_orderkey, l_suppkey, p_name, p_type, l_shipdate,
+         split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS amt,
          lpad(CAST(l_suppkey % 10000 AS VARCHAR), 4, '0') AS card,
          epoch_ms(l_shipdate) AS ts_ms,
@@ -416,3 +417,205 @@ FROM dec
 
 
 _rules_oracles()
+
+
+# --- store, mappings, search, questions, documents ------------------------------------------
+
+BOTH_CTE = TXN_CTE + ALERT_CTE.replace("WITH li AS", ", li AS", 1)
+
+ORACLES["dedup_against_store"] = BOTH_CTE + """
+, parsed AS (
+  SELECT message_id AS source, l_shipdate AS txn_date, CAST(amt AS DOUBLE) AS amount,
+         CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) WHEN 3 THEN vpa_name ELSE 'Unknown' END AS merchant,
+         ROW_NUMBER() OVER (PARTITION BY message_id ORDER BY text, l_shipdate) AS rn
+  FROM alerts WHERE status = 'parsed')
+SELECT source, txn_date, amount, merchant FROM parsed
+WHERE rn = 1 AND source NOT IN (SELECT source FROM txn WHERE txn_type = 'debit'
+                                AND txn_date < TIMESTAMP '1995-01-01 00:00:00')
+"""
+
+oracle("append_transactions", """
+SELECT source, txn_type, txn_date, CAST(amount AS DOUBLE) AS amount, 'INR' AS currency, merchant FROM txn
+""")
+
+ORACLES["publish_bi_views"] = ORACLES["top_merchants"]
+
+oracle("delete_bad_rows", """
+SELECT source, CAST(amount AS DOUBLE) AS amount FROM expenses
+WHERE NOT COALESCE(amount > 10000000 OR merchant IN ('the', 'a', 'an'), false)
+""")
+
+_CAP = "upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
+# two-word names (adjective noun) and one-word types
+_INITCAP2 = ("upper(substr(split_part({x}, ' ', 1), 1, 1)) || lower(substr(split_part({x}, ' ', 1), 2)) || ' ' || "
+             "upper(substr(split_part({x}, ' ', 2), 1, 1)) || lower(substr(split_part({x}, ' ', 2), 2))")
+_CSV_ROWS = f"""
+, names AS (SELECT p_name, min(p_type) AS t, min(p_brand) AS b FROM part GROUP BY p_name),
+csv AS (
+  SELECT p_name AS raw_pattern, {_INITCAP2.format(x='p_name')} AS clean_name,
+         CASE WHEN starts_with(p_name, 'hot') THEN '' ELSE {_CAP.format(x='t')} END AS category,
+         b AS sub_category,
+         CASE WHEN starts_with(p_name, 'cold') THEN NULL ELSE length(p_name) % 7 END AS priority,
+         CASE WHEN starts_with(p_name, 'hot') THEN 'skipped_missing'
+              WHEN starts_with(p_name, 'cold') THEN 'skipped_priority' ELSE 'ok' END AS status
+  FROM names)
+"""
+
+ORACLES["read_mapping_csv"] = "WITH x AS (SELECT 1)" + _CSV_ROWS + \
+    "SELECT raw_pattern, clean_name, category, sub_category, CAST(priority AS INTEGER) AS priority, status FROM csv"
+
+
+def _upsert_sql() -> str:
+    from ledgerlens.plans.fixtures import TEST_RULES
+
+    vals = ", ".join(f"({i}, {_q(p)}, {_q(c)}, {_q(cat)}, {_q(sub)}, {pri})" for i, p, c, cat, sub, pri in TEST_RULES)
+    return "WITH x AS (SELECT 1)" + _CSV_ROWS + f"""
+, ex(id, raw_pattern, clean_name, category, sub_category, priority) AS (VALUES {vals}),
+inc AS (SELECT * FROM csv WHERE status = 'ok'),
+j AS (
+  SELECT COALESCE(ex.raw_pattern, inc.raw_pattern) AS raw_pattern, ex.id AS old_id,
+         COALESCE(inc.clean_name, ex.clean_name) AS clean_name, COALESCE(inc.category, ex.category) AS category,
+         COALESCE(inc.sub_category, ex.sub_category) AS sub_category,
+         CAST(COALESCE(inc.priority, ex.priority) AS INTEGER) AS priority
+  FROM ex FULL OUTER JOIN inc ON ex.raw_pattern = inc.raw_pattern),
+u AS (
+  SELECT CAST(COALESCE(old_id, {len(TEST_RULES)} + ROW_NUMBER() OVER (PARTITION BY old_id IS NULL ORDER BY raw_pattern))
+              AS INTEGER) AS id, raw_pattern, clean_name, category, sub_category, priority
+  FROM j)
+"""
+
+
+def _q(s: str) -> str:  # noqa: F811 - same helper, defined before use here
+    return "'" + s.replace("'", "''") + "'"
+
+
+ORACLES["upsert_mappings"] = _upsert_sql() + "SELECT * FROM u"
+ORACLES["lookup_mapping"] = _upsert_sql() + "SELECT id, raw_pattern, clean_name FROM u WHERE raw_pattern = 'blue widget'"
+ORACLES["delete_mapping"] = _upsert_sql() + "SELECT id, raw_pattern FROM u WHERE raw_pattern <> 'gear'"
+
+_RECLEAN = """
+, r AS (
+  SELECT message_id AS source,
+         CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) || ' INMUMBAI'
+                   WHEN 3 THEN replace(p_name, ' ', '.') || '@okaxis' END AS old_merchant,
+         CASE kind WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) WHEN 3 THEN vpa_name END AS merchant,
+         CASE kind WHEN 1 THEN 'unchanged' WHEN 2 THEN 'cleaned' WHEN 3 THEN 'cleaned' END AS change
+  FROM alerts)
+"""
+alert_oracle("reclean_existing", _RECLEAN + "SELECT * FROM r")
+alert_oracle("reclean_counts", _RECLEAN + "SELECT change, COUNT(*) AS n FROM r WHERE change IS NOT NULL GROUP BY change")
+
+_QVEC = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
+ORACLES["semantic_search"] = f"""
+SELECT vec_id, label, ROUND(list_distance(CAST(embedding AS DOUBLE[]), {_QVEC}), 4) AS distance
+FROM embeddings WHERE embedding IS NOT NULL
+ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_QVEC}) ASC, vec_id ASC LIMIT 5
+"""
+ORACLES["semantic_search_unfiltered"] = f"""
+SELECT vec_id, label FROM embeddings
+ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_QVEC}) ASC NULLS LAST, vec_id ASC LIMIT 5
+"""
+ORACLES["semantic_search_batch"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
+c AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i) t GROUP BY label),
+d AS (SELECT c.label AS query_id, e.vec_id, list_distance(e.v, c.q) AS distance FROM e, c),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, ROUND(distance, 4) AS distance FROM r WHERE rank <= 5
+"""
+oracle("embed_transactions", "SELECT source, 64 AS dims, 1.0 AS norm FROM txn")
+
+_QUESTIONS = r"""
+, q AS (SELECT conv_id * 1000 + turn AS question_id, lower(text) AS t FROM conversations WHERE role = 'user'),
+w AS (SELECT *, string_split_regex(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+') AS words FROM q),
+f AS (
+  SELECT question_id,
+         CASE WHEN len(words) > 1 THEN words[-1] END AS merchant,
+         CASE WHEN contains(t, 'today') THEN TIMESTAMP '1998-08-02 00:00:00'
+              WHEN contains(t, 'yesterday') THEN TIMESTAMP '1998-08-01 00:00:00'
+              WHEN contains(t, 'week') THEN TIMESTAMP '1998-07-26 10:30:00'
+              WHEN contains(t, 'month') THEN TIMESTAMP '1998-07-03 10:30:00' END AS start_date,
+         CASE WHEN NOT contains(t, 'today') AND contains(t, 'yesterday') THEN TIMESTAMP '1998-08-02 00:00:00'
+              END AS end_date,
+         CASE WHEN contains(t, 'travel') THEN 'travel' WHEN contains(t, 'transport') THEN 'transport'
+              WHEN contains(t, 'shopping') THEN 'shopping' WHEN contains(t, 'food') THEN 'food' END AS category,
+         CASE WHEN contains(t, 'upi') THEN 'upi' END AS payment_method
+  FROM w)
+"""
+ORACLES["interpret_question"] = "WITH x AS (SELECT 1)" + _QUESTIONS + "SELECT * FROM f"
+oracle("answer_questions", _QUESTIONS + """
+SELECT f.question_id, CAST(COALESCE(SUM(e.amount), 0) AS DOUBLE) AS total
+FROM f LEFT JOIN expenses e
+  ON (f.merchant IS NULL OR e.merchant ILIKE '%' || f.merchant || '%')
+ AND (f.category IS NULL OR e.category ILIKE '%' || f.category || '%')
+ AND (f.payment_method IS NULL OR e.payment_method ILIKE '%' || f.payment_method || '%')
+ AND (f.start_date IS NULL OR e.txn_date >= f.start_date)
+ AND (f.end_date IS NULL OR e.txn_date <= f.end_date)
+GROUP BY f.question_id
+""")
+
+
+def _any_contains(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_q(w)})" for w in words) + ")"
+
+
+def _question_oracles() -> None:
+    from ledgerlens import constants as K
+
+    ORACLES["route_questions"] = (
+        "SELECT conv_id * 1000 + turn AS question_id, CASE WHEN "
+        + _any_contains("lower(text)", K.STRUCTURED_KEYWORDS)
+        + " THEN 'sql' ELSE 'semantic' END AS route FROM conversations WHERE role = 'user'")
+    ORACLES["is_structured_question"] = (
+        "SELECT conv_id, turn, " + _any_contains("lower(text)", K.STRUCTURED_KEYWORDS)
+        + " AS structured FROM conversations")
+    ORACLES["is_safe_select"] = (
+        r"WITH c AS (SELECT conv_id, turn, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM conversations) "
+        "SELECT conv_id, turn, starts_with(q, 'select') AND NOT " + _any_contains("q", K.SQL_FORBIDDEN)
+        + " AS safe FROM c")
+    ORACLES["redact_pii"] = "SELECT doc_id, " + _redact_chain(K.PII_RULES) + " AS text FROM documents"
+
+
+def _redact_chain(rules) -> str:
+    expr = "text"
+    for pattern, repl in rules:
+        expr = f"regexp_replace({expr}, {_q(pattern)}, {_q(repl)}, 'g')"
+    return expr
+
+
+_question_oracles()
+
+oracle("guarded_sql", "SELECT category, CAST(SUM(amount) AS DOUBLE) AS total FROM expenses GROUP BY category")
+
+ORACLES["strip_code_fence"] = r"""
+SELECT conv_id, turn, regexp_replace(regexp_replace(text, '```(?:sql)?', '', 'g'), '^\s+|\s+$', '', 'g') AS sql
+FROM conversations
+"""
+
+alert_oracle("suggest_pattern", """
+, s AS (SELECT message_id, lower(text) AS lt, p_name, w1, w2 FROM alerts)
+SELECT message_id,
+  CASE WHEN contains(lt, p_name) THEN p_name
+       WHEN length(w2) > length(w1) THEN
+            CASE WHEN length(w2) > 3 AND contains(lt, w2) THEN w2 WHEN length(w1) > 3 AND contains(lt, w1) THEN w1 END
+       ELSE CASE WHEN length(w1) > 3 AND contains(lt, w1) THEN w1 WHEN length(w2) > 3 AND contains(lt, w2) THEN w2 END
+  END AS pattern
+FROM s
+""")
+
+ORACLES["row_hash"] = """
+SELECT doc_id, substr(sha256(text), 1, 16) AS row_hash,
+       'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source
+FROM documents
+"""
+
+ORACLES["embedding_text"] = ALERT_CTE + """
+SELECT message_id AS source,
+       concat_ws(' ',
+         NULLIF(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_suppkey % 4 = 0 THEN ''
+                     WHEN l_linenumber = 6 AND l_suppkey % 4 = 1 THEN 'Unknown' ELSE p_name END, ''),
+         NULLIF(CASE p_type WHEN 'STANDARD' THEN NULL WHEN 'PROMO' THEN 'Other' ELSE p_type END, ''),
+         NULLIF(CASE l_linenumber % 4 WHEN 0 THEN 'UPI' WHEN 1 THEN 'CREDIT CARD' WHEN 2 THEN 'NEFT' ELSE '' END, ''),
+         NULLIF(text, '')) AS text
+FROM alerts
+"""
