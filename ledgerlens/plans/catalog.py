@@ -552,3 +552,85 @@ def q_row_hash(spark, sf):
 @register("embedding_text")
 def q_embedding_text(spark, sf):
     return S.bound_transactions(spark, sf).select("source", P.embedding_text().alias("text"))
+
+
+# --- statements -----------------------------------------------------------------------------------
+
+from ledgerlens.operators import statements as SM  # noqa: E402
+from ledgerlens.sources import statements as SS  # noqa: E402
+
+AS_OF_YEAR = 1998
+
+
+def _stmt_tables(spark, sf):
+    return SS.rendered_statement_tables(spark, sf)
+
+
+def _stmt_text(spark, sf):
+    return SS.rendered_statement_text(spark, sf)
+
+
+@register("read_statement_tables")
+def q_read_statement_tables(spark, sf):
+    path = scratch_path(spark, "stmt-tables")
+    _stmt_tables(spark, sf).write.parquet(path)
+    back = SS.read_statement_tables(spark, path)
+    return back.select("doc", "table_no", "row_no", F.size("cells").alias("n_cells"))
+
+
+@register("read_statement_text")
+def q_read_statement_text(spark, sf):
+    return SS.statement_lines(_stmt_text(spark, sf))
+
+
+@register("detect_statement_format")
+def q_detect_statement_format(spark, sf):
+    return SM.detect_statement_format(_stmt_tables(spark, sf), _stmt_text(spark, sf))
+
+
+def _stmt_out(df):
+    return as_double(df.select("doc", "source", "txn_date", "amount", "txn_type", "merchant", "bank_name"), "amount")
+
+
+@register("statement_rows_multicol")
+def q_statement_rows_multicol(spark, sf):
+    t = _stmt_tables(spark, sf)
+    return _stmt_out(SM.statement_rows_multicol(t, SM.detect_statement_format(t, None)))
+
+
+@register("statement_rows_card_cell")
+def q_statement_rows_card_cell(spark, sf):
+    t = _stmt_tables(spark, sf)
+    return _stmt_out(SM.statement_rows_card_cell(t, SM.detect_statement_format(t, None)))
+
+
+@register("statement_lines_card_text")
+def q_statement_lines_card_text(spark, sf):
+    p = _stmt_text(spark, sf)
+    return _stmt_out(SM.statement_lines_card_text(p, SM.detect_statement_format(None, p), AS_OF_YEAR))
+
+
+@register("installment_section_flag")
+def q_installment_section_flag(spark, sf):
+    flags = SM.installment_flags(SS.statement_lines(_stmt_text(spark, sf)))
+    return flags.filter("in_section").select("doc", "page_no", "line_no")
+
+
+@register("statement_year")
+def q_statement_year(spark, sf):
+    return SM.statement_facts(SS.statement_lines(_stmt_text(spark, sf)), AS_OF_YEAR).select("doc", "year", "end_month")
+
+
+@register("first_occurrence")
+def q_first_occurrence(spark, sf):
+    """Every card-text line keyed like the parser keys it, first one kept."""
+    lines = SS.statement_lines(_stmt_text(spark, sf))
+    keyed = lines.select("doc", "page_no", "line_no",
+                         P.source_key(F.col("doc"), strip_line(F.col("line"))).alias("source"))
+    return SM.first_occurrence(keyed).select("doc", "source", "page_no", "line_no")
+
+
+def strip_line(c):
+    from ledgerlens.functions.text import strip_ws
+
+    return strip_ws(c)

@@ -619,3 +619,104 @@ SELECT message_id AS source,
          NULLIF(text, '')) AS text
 FROM alerts
 """
+
+
+# --- statements rendered from orders x lineitem x part -----------------------------------------
+
+_ITEMS = """
+WITH it AS (
+  SELECT 'acct-' || CAST(o_custkey AS VARCHAR) AS doc, o_custkey, CAST(o_custkey % 5 AS INTEGER) AS fmt,
+         l_orderkey, l_linenumber AS ln, l_returnflag, l_shipdate, p_name,
+         CAST(l_extendedprice AS DECIMAL(12,2)) AS amt, CAST(year(o_orderdate) - 1992 AS INTEGER) AS table_no,
+         l_orderkey * 8 + l_linenumber AS row_no
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+"""
+
+ORACLES["read_statement_tables"] = _ITEMS + """
+SELECT doc, table_no, CAST(0 AS BIGINT) AS row_no, CASE fmt WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 1 END AS n_cells
+FROM (SELECT DISTINCT doc, table_no, fmt FROM it WHERE fmt < 4) h
+UNION ALL
+SELECT doc, table_no, row_no, CASE fmt WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 1 END FROM it WHERE fmt < 4
+"""
+
+ORACLES["detect_statement_format"] = _ITEMS + """
+SELECT doc, CASE any_value(fmt) WHEN 0 THEN 'axis' WHEN 1 THEN 'hdfc' WHEN 2 THEN 'sbi' WHEN 3 THEN 'card_cell'
+                 ELSE 'card_text' END AS format,
+       CASE WHEN any_value(fmt) < 3 THEN CAST(min(table_no) AS INTEGER) END AS start_table
+FROM it GROUP BY doc
+"""
+
+ORACLES["statement_rows_multicol"] = _ITEMS + """
+, r AS (
+  SELECT *, CASE WHEN ln = 5 THEN 'Opening Balance' ELSE strftime(l_shipdate, '%d/%m/%Y') END AS d,
+         CASE WHEN ln = 3 THEN upper(p_name) || ' MUMBAI'
+              ELSE upper(p_name) || ' ' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') END AS descr,
+         format('{:,.2f}', amt) AS a, 'REF' || CAST(l_orderkey AS VARCHAR) AS ref
+  FROM it WHERE fmt IN (0, 1, 2)),
+c AS (
+  SELECT *, CASE WHEN ln = 6 THEN NULL WHEN ln = 7 THEN a WHEN l_returnflag <> 'R' THEN a END AS debit,
+            CASE WHEN ln = 6 THEN NULL WHEN ln = 7 THEN '1.00' WHEN l_returnflag = 'R' THEN a END AS credit
+  FROM r),
+j AS (
+  SELECT *, CASE fmt WHEN 0 THEN concat_ws(' | ', d, descr, 'BR01', debit, credit)
+                     WHEN 1 THEN concat_ws(' | ', d, descr, ref, debit, credit)
+                     ELSE concat_ws(' | ', d, d, descr, ref, debit, credit) END AS raw
+  FROM c)
+SELECT doc, 'pdf:' || doc || ':' || substr(sha256(raw), 1, 16) AS source, l_shipdate AS txn_date,
+       CAST(amt AS DOUBLE) AS amount,
+       CASE WHEN ln = 7 OR l_returnflag <> 'R' THEN 'debit' ELSE 'credit' END AS txn_type,
+       upper(p_name) AS merchant, CASE fmt WHEN 0 THEN 'AXIS' WHEN 1 THEN 'HDFC' ELSE 'SBI' END AS bank_name
+FROM j WHERE ln NOT IN (5, 6)
+"""
+
+ORACLES["statement_rows_card_cell"] = _ITEMS + """
+, c AS (
+  SELECT *, strftime(l_shipdate, '%d/%m/%Y') || '| 10:30 ' || upper(p_name)
+            || CASE WHEN l_returnflag = 'R' THEN ' + C ' ELSE ' C ' END || format('{:,.2f}', amt) || ' l' AS cell
+  FROM it WHERE fmt = 3 AND ln NOT IN (5, 6))
+SELECT doc, 'pdf:' || doc || ':' || substr(sha256(cell), 1, 16) AS source, l_shipdate AS txn_date,
+       CAST(amt AS DOUBLE) AS amount, CASE WHEN l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS txn_type,
+       upper(p_name) AS merchant, 'HDFC' AS bank_name
+FROM c
+"""
+
+_CARD_TEXT = _ITEMS + """
+, docs AS (SELECT DISTINCT doc, o_custkey, 1995 + o_custkey % 4 AS yr, CAST(o_custkey % 12 + 1 AS INTEGER) AS end_month
+           FROM it WHERE fmt = 4),
+tx AS (
+  SELECT it.doc, row_no AS page_no, month(l_shipdate) AS m, strftime(l_shipdate, '%B') AS month_str,
+         CAST(day(l_shipdate) AS VARCHAR) AS day_str,
+         CASE WHEN l_returnflag = 'R' THEN 'PAYMENT RECEIVED ' || upper(p_name) ELSE upper(p_name) END AS descr,
+         upper(p_name) AS base, format('{:,.2f}', amt) AS amt_str, amt
+  FROM it WHERE fmt = 4 AND ln NOT IN (5, 6)
+  UNION ALL
+  SELECT doc, 8000000000002, 1, 'January', '21', 'EMI INSURANCE PREMIUM', 'INSURANCE PREMIUM', '250.00',
+         CAST(250 AS DECIMAL(12,2))
+  FROM docs),
+v AS (
+  SELECT tx.*, try_strptime(CAST(CASE WHEN m > end_month THEN yr - 1 ELSE yr END AS VARCHAR) || '-' || CAST(m AS VARCHAR)
+                            || '-' || day_str, '%Y-%m-%d') AS txn_date,
+         month_str || ' ' || day_str || ' | ' || descr || ' | ' || amt_str AS raw_line
+  FROM tx JOIN docs USING (doc)),
+k AS (
+  SELECT *, 'pdf:' || doc || ':' || substr(sha256(raw_line), 1, 16) AS source FROM v WHERE txn_date IS NOT NULL),
+f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc, source ORDER BY page_no) AS rn FROM k)
+"""
+
+ORACLES["statement_lines_card_text"] = _CARD_TEXT + """
+SELECT doc, source, CAST(txn_date AS TIMESTAMP) AS txn_date, CAST(amt AS DOUBLE) AS amount,
+       CASE WHEN contains(descr, 'PAYMENT RECEIVED') THEN 'credit' ELSE 'debit' END AS txn_type,
+       CASE WHEN starts_with(descr, 'PAYMENT RECEIVED') THEN descr ELSE base END AS merchant, 'AMEX' AS bank_name
+FROM f WHERE rn = 1
+"""
+
+ORACLES["installment_section_flag"] = _ITEMS + """
+SELECT DISTINCT doc, CAST(8000000000001 AS BIGINT) AS page_no, CAST(0 AS INTEGER) AS line_no FROM it WHERE fmt = 4
+UNION ALL
+SELECT DISTINCT doc, CAST(8000000000002 AS BIGINT), CAST(0 AS INTEGER) FROM it WHERE fmt = 4
+"""
+
+ORACLES["statement_year"] = _ITEMS + """
+SELECT DISTINCT doc, CAST(1995 + o_custkey % 4 AS INTEGER) AS year, CAST(o_custkey % 12 + 1 AS INTEGER) AS end_month
+FROM it WHERE fmt = 4
+"""

@@ -63,13 +63,13 @@ RAW_MESSAGE = T.StructType([
 STATEMENT_TABLE = T.StructType([
     T.StructField("doc", T.StringType()),
     T.StructField("table_no", T.IntegerType()),
-    T.StructField("row_no", T.IntegerType()),
+    T.StructField("row_no", T.LongType()),
     T.StructField("cells", T.ArrayType(T.StringType())),
 ])
 
 STATEMENT_TEXT = T.StructType([
     T.StructField("doc", T.StringType()),
-    T.StructField("page_no", T.IntegerType()),
+    T.StructField("page_no", T.LongType()),
     T.StructField("text", T.StringType()),
 ])
 
