@@ -50,5 +50,5 @@ def parse_alerts(messages: DataFrame, text_col: str = "raw_text", ts_col: str =
         F.when(ok, F.col("_amount")).alias("amount"),
         F.when(ok, merchant).alias("merchant"),
         F.when(ok, P.extract_payment_method(F.col("raw_text"))).alias("payment_method"),
-        "bank_name", "source", "raw_text",
+        "bank_name", "source", "raw_text", F.col("_ts").alias("msg_ts"),
     )

@@ -562,12 +562,26 @@ from ledgerlens.sources import statements as SS  # noqa: E402
 AS_OF_YEAR = 1998
 
 
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialized(spark, sf, name, build):
+    """Write a derived input once per session (under the shared checkpoint
+    folder) and read it back - statements arrive as extracted files."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MATERIALIZED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
 def _stmt_tables(spark, sf):
-    return SS.rendered_statement_tables(spark, sf)
+    return materialized(spark, sf, "stmt-tables", lambda: SS.rendered_statement_tables(spark, sf))
 
 
 def _stmt_text(spark, sf):
-    return SS.rendered_statement_text(spark, sf)
+    return materialized(spark, sf, "stmt-text", lambda: SS.rendered_statement_text(spark, sf))
 
 
 @register("read_statement_tables")
@@ -634,3 +648,48 @@ def strip_line(c):
     from ledgerlens.functions.text import strip_ws
 
     return strip_ws(c)
+
+
+# --- ingest pipelines ----------------------------------------------------------------------------
+
+from ledgerlens.plans import pipelines as PL  # noqa: E402
+
+_PIPE_COLS = ["source", "txn_type", "txn_date", "amount", "merchant", "category", "sub_category", "payment_method",
+              "bank_name"]
+
+
+def _history(spark, sf):
+    """Rows already in the store: transactions dated before 1995."""
+    return S.bound_transactions(spark, sf).filter(F.col("txn_date") < F.lit("1995-01-01").cast("timestamp_ntz"))
+
+
+def _alert_run(spark, sf):
+    return PL.alert_pipeline(_payloads(spark, sf), _history(spark, sf), FX.test_mappings(spark), created_at=AS_OF)
+
+
+@register("alert_pipeline")
+def q_alert_pipeline(spark, sf):
+    return as_double(_alert_run(spark, sf).saved.select(*_PIPE_COLS), "amount")
+
+
+@register("ingest_summary")
+def q_ingest_summary(spark, sf):
+    return _alert_run(spark, sf).summary
+
+
+def _statement_run(spark, sf):
+    t, p = _stmt_tables(spark, sf), _stmt_text(spark, sf)
+    parsed = materialized(spark, sf, "stmt-parsed", lambda: SM.parse_statements(t, p, AS_OF_YEAR)[0])
+    store = parsed.filter(F.col("txn_date") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    return PL.statement_pipeline(t, p, store, FX.test_mappings(spark), created_at=AS_OF, as_of_year=AS_OF_YEAR,
+                                 parsed=parsed)
+
+
+@register("statement_pipeline")
+def q_statement_pipeline(spark, sf):
+    return as_double(_statement_run(spark, sf).saved.select(*_PIPE_COLS), "amount")
+
+
+@register("statement_ingest_summary")
+def q_statement_ingest_summary(spark, sf):
+    return _statement_run(spark, sf).summary

@@ -720,3 +720,92 @@ ORACLES["statement_year"] = _ITEMS + """
 SELECT DISTINCT doc, CAST(1995 + o_custkey % 4 AS INTEGER) AS year, CAST(o_custkey % 12 + 1 AS INTEGER) AS end_month
 FROM it WHERE fmt = 4
 """
+
+
+# --- ingest pipelines -------------------------------------------------------------------------------
+
+def _categorize_cols(m: str) -> tuple[str, str, str]:
+    """SQL for (merchant, category, sub_category) after write-time rules on column ``m``."""
+    from ledgerlens import constants as K
+    from ledgerlens.plans.fixtures import ordered_rules
+
+    rules = ordered_rules()
+    key = f"lower(COALESCE({m}, ''))"
+
+    def first_pick(i_field: int, default: str) -> str:
+        return ("CASE " + " ".join(f"WHEN contains({key}, {_q(r[1])}) THEN {_q(r[i_field])}" for r in rules)
+                + f" ELSE {default} END")
+
+    matched = "(" + " OR ".join(f"contains({key}, {_q(r[1])})" for r in rules) + ")"
+    fb_hit = "(" + " OR ".join(f"contains({key}, {_q(k.lower())})" for k, _, _ in K.CATEGORY_MAP) + ")"
+    fb = lambda j: "CASE " + " ".join(f"WHEN contains({key}, {_q(e[0].lower())}) THEN {_q(e[j])}"
+                                      for e in K.CATEGORY_MAP) + " END"
+    clean = first_pick(2, "NULL")
+    cat1 = first_pick(3, "'Other'")
+    sub1 = first_pick(4, "''")
+    merchant = f"CASE WHEN {clean} IS NOT NULL AND {clean} <> '' THEN {clean} ELSE {m} END"
+    category = f"CASE WHEN {cat1} = 'Other' AND {fb_hit} THEN {fb(1)} ELSE {cat1} END"
+    sub = f"CASE WHEN {cat1} = 'Other' AND {fb_hit} THEN {fb(2)} ELSE {sub1} END"
+    _ = matched
+    return merchant, category, sub
+
+
+def _pipeline_oracles() -> None:
+    m, c, s = _categorize_cols("merchant")
+    ORACLES["alert_pipeline"] = BOTH_CTE + f"""
+, msgs AS (
+  SELECT message_id AS source, status, l_shipdate AS txn_date, text, bank_name,
+         CAST(amt AS DOUBLE) AS amount,
+         CASE kind WHEN 1 THEN p_name WHEN 3 THEN vpa_name ELSE 'Unknown' END AS merchant,
+         CASE kind WHEN 1 THEN 'UPI' WHEN 3 THEN 'UPI' ELSE 'NEFT' END AS payment_method,
+         ROW_NUMBER() OVER (PARTITION BY message_id ORDER BY l_shipdate, text) AS pos
+  FROM alerts WHERE kind <> 2),
+firsts AS (SELECT source, MIN(pos) FILTER (WHERE status = 'parsed') AS fp FROM msgs GROUP BY source),
+saved AS (
+  SELECT msgs.* FROM msgs JOIN firsts USING (source)
+  WHERE pos = fp AND source NOT IN (SELECT source FROM txn WHERE txn_type = 'debit'
+                                    AND txn_date < TIMESTAMP '1995-01-01 00:00:00'))
+SELECT source, 'debit' AS txn_type, txn_date, amount, {m} AS merchant, {c} AS category, {s} AS sub_category,
+       payment_method, bank_name
+FROM saved
+"""
+    ORACLES["ingest_summary"] = BOTH_CTE + """
+, msgs AS (
+  SELECT message_id AS source, status, ROW_NUMBER() OVER (PARTITION BY message_id ORDER BY l_shipdate, text) AS pos
+  FROM alerts WHERE kind <> 2),
+stored AS (SELECT DISTINCT source FROM txn WHERE txn_type = 'debit' AND txn_date < TIMESTAMP '1995-01-01 00:00:00'),
+k AS (SELECT source, MIN(pos) FILTER (WHERE status = 'parsed') AS fp FROM msgs GROUP BY source),
+t AS (
+  SELECT CASE WHEN s.source IS NOT NULL THEN 'skipped' WHEN k.fp IS NULL OR msgs.pos < k.fp THEN 'failed'
+              WHEN msgs.pos = k.fp THEN 'saved' ELSE 'skipped' END AS st
+  FROM msgs JOIN k USING (source) LEFT JOIN stored s USING (source))
+SELECT COUNT(*) FILTER (WHERE st = 'saved') AS saved, COUNT(*) FILTER (WHERE st = 'skipped') AS skipped,
+       COUNT(*) FILTER (WHERE st = 'failed') AS failed
+FROM t
+"""
+    rows = " UNION ALL ".join(
+        f"SELECT doc, source, txn_type, txn_date, amount, merchant, bank_name, "
+        f"{pm} AS payment_method FROM ({ORACLES[k]}) x{i}"
+        for i, (k, pm) in enumerate([("statement_rows_multicol", "''"), ("statement_rows_card_cell", "'CREDIT CARD'"),
+                                     ("statement_lines_card_text", "'CREDIT CARD'")]))
+    base = f"""
+WITH allrows AS ({rows}),
+stored AS (SELECT DISTINCT txn_type, source FROM allrows WHERE txn_date < TIMESTAMP '1995-01-01 00:00:00'),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY txn_type, source ORDER BY doc, txn_date) AS pos FROM allrows),
+tagged AS (
+  SELECT ranked.*, CASE WHEN s.source IS NOT NULL THEN 'skipped' WHEN pos = 1 THEN 'saved' ELSE 'skipped' END AS st
+  FROM ranked LEFT JOIN stored s USING (txn_type, source))
+"""
+    ORACLES["statement_pipeline"] = base + f"""
+SELECT source, txn_type, txn_date, amount, {m} AS merchant, {c} AS category, {s} AS sub_category,
+       payment_method, bank_name
+FROM tagged WHERE st = 'saved'
+"""
+    ORACLES["statement_ingest_summary"] = base + """
+SELECT txn_type, COUNT(*) FILTER (WHERE st = 'saved') AS saved, COUNT(*) FILTER (WHERE st = 'skipped') AS skipped,
+       CAST(0 AS BIGINT) AS failed
+FROM tagged GROUP BY txn_type
+"""
+
+
+_pipeline_oracles()
