@@ -693,3 +693,65 @@ def q_statement_pipeline(spark, sf):
 @register("statement_ingest_summary")
 def q_statement_ingest_summary(spark, sf):
     return _statement_run(spark, sf).summary
+
+
+# --- streaming inbox ---------------------------------------------------------------------------------
+
+@register("inbox_stream")
+def q_inbox_stream(spark, sf):
+    """Two drops of extracted statement files (the second re-sends one
+    year already processed) through the inbox stream; returns the store."""
+    from ledgerlens.streaming.inbox import start_inbox
+
+    base = scratch_path(spark, "inbox")
+    inbox, archive, store, quarantine, ckpt = (f"{base}/{d}" for d in ("in", "archive", "store", "quarantine", "ckpt"))
+    tables = _stmt_tables(spark, sf)
+    mappings = FX.test_mappings(spark)
+
+    def drop(df, name):
+        df.write.json(f"{inbox}/{name}")
+
+    def run():
+        q = start_inbox(spark, inbox + "/*", archive, store, quarantine, ckpt, mappings,
+                        created_at=AS_OF, as_of_year=AS_OF_YEAR)
+        q.awaitTermination()
+
+    drop(tables.filter(F.col("table_no") <= 3), "drop1")
+    run()
+    drop(tables.filter(F.col("table_no") >= 3), "drop2")
+    run()
+    out = ST.read_store(spark, store)
+    return as_double(out.select("source", "txn_type", "txn_date", "amount"), "amount")
+
+
+# --- extensions (documented, not implemented by the reference) -----------------------------------
+
+from ledgerlens.plans import extensions as EX  # noqa: E402
+from ledgerlens.schemas import BUDGET  # noqa: E402
+
+BUDGETS = [("ECONOMY", 5_000_000), ("LARGE", 1_000_000), ("SMALL", 20_000_000), ("MEDIUM", 3_000_000),
+           ("Other", 100_000), ("Travel", 1_000)]
+OVERRIDES = [("blue widget", "Gifts", "Toys"), ("red gear", "Auto", ""), ("Unknown", "Review", "")]
+
+
+@register("recurring_payments")
+def q_recurring_payments(spark, sf):
+    out = EX.recurring_candidates(_exp(spark, sf))
+    return out.select("merchant", "n_charges", "n_gaps", F.round("avg_gap", 4).alias("avg_gap"),
+                      F.round("cv", 4).alias("cv"), "period", "avg_amount", "last_date", "next_date", "is_recurring")
+
+
+@register("budget_status")
+def q_budget_status(spark, sf):
+    from decimal import Decimal
+
+    budgets = spark.createDataFrame([(c, Decimal(v), "INR") for c, v in BUDGETS], BUDGET)
+    out = EX.budget_status(_exp(spark, sf), budgets, "1998-07-20 12:00:00")
+    return as_double(out, "monthly_limit", "spent")
+
+
+@register("category_overrides")
+def q_category_overrides(spark, sf):
+    ov = spark.createDataFrame(OVERRIDES, "merchant string, category string, sub_category string")
+    out = EX.apply_category_overrides(_all_txn(spark, sf), ov, FX.test_mappings(spark))
+    return out.select("table_name", "source", "merchant", "category", "sub_category")

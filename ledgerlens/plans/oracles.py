@@ -809,3 +809,63 @@ FROM tagged GROUP BY txn_type
 
 
 _pipeline_oracles()
+
+ORACLES["inbox_stream"] = (
+    "SELECT DISTINCT source, txn_type, txn_date, amount FROM ("
+    f"SELECT source, txn_type, txn_date, amount FROM ({ORACLES['statement_rows_multicol']}) a "
+    f"UNION ALL SELECT source, txn_type, txn_date, amount FROM ({ORACLES['statement_rows_card_cell']}) b) u"
+)
+
+
+# --- extensions ---------------------------------------------------------------------------------------
+
+oracle("recurring_payments", """
+, days AS (SELECT merchant, CAST(txn_date AS DATE) AS day, COUNT(*) AS n, SUM(amount) AS amt
+           FROM expenses WHERE merchant IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, date_diff('day', LAG(day) OVER (PARTITION BY merchant ORDER BY day), day) AS gap FROM days),
+s AS (SELECT merchant, SUM(n) AS n_charges, COUNT(gap) AS n_gaps, AVG(gap) AS avg_gap, STDDEV_POP(gap) AS sd_gap,
+             CAST(SUM(amt) AS DOUBLE) / SUM(n) AS avg_amount, MAX(day) AS last_date
+      FROM g GROUP BY merchant),
+r AS (
+  SELECT *, CASE WHEN avg_gap > 0 THEN sd_gap / avg_gap END AS cv,
+         CASE WHEN avg_gap BETWEEN 5 AND 9 THEN 'weekly' WHEN avg_gap BETWEEN 12 AND 16 THEN 'biweekly'
+              WHEN avg_gap BETWEEN 26 AND 35 THEN 'monthly' WHEN avg_gap BETWEEN 85 AND 100 THEN 'quarterly'
+              WHEN avg_gap BETWEEN 350 AND 380 THEN 'annual' END AS period
+  FROM s)
+SELECT merchant, n_charges, n_gaps, ROUND(avg_gap, 4) AS avg_gap, ROUND(cv, 4) AS cv, period,
+       ROUND(avg_amount, 2) AS avg_amount, last_date,
+       CAST(last_date + CAST(ROUND(avg_gap) AS INTEGER) AS DATE) AS next_date,
+       n_charges >= 3 AND period IS NOT NULL AND COALESCE(cv <= 0.35, false) AS is_recurring
+FROM r
+""")
+
+oracle("budget_status", """
+, b(category, monthly_limit) AS (VALUES ('ECONOMY', 5000000), ('LARGE', 1000000), ('SMALL', 20000000),
+                                        ('MEDIUM', 3000000), ('Other', 100000), ('Travel', 1000)),
+sp AS (SELECT COALESCE(category, 'Other') AS category, SUM(amount) AS spent FROM expenses
+       WHERE txn_date >= TIMESTAMP '1998-07-01 00:00:00' AND txn_date <= TIMESTAMP '1998-07-20 12:00:00'
+       GROUP BY 1),
+j AS (SELECT b.category, CAST(b.monthly_limit AS DOUBLE) AS monthly_limit, CAST(COALESCE(sp.spent, 0) AS DOUBLE) AS spent
+      FROM b LEFT JOIN sp USING (category))
+SELECT category, monthly_limit, spent, ROUND(spent / monthly_limit * 100, 2) AS pct_used,
+       CASE WHEN spent / monthly_limit >= 1 THEN 'exceeded' WHEN spent / monthly_limit >= 0.8 THEN 'warning'
+            ELSE 'ok' END AS status
+FROM j
+""")
+
+
+def _override_oracle() -> None:
+    m, c, s = _categorize_cols("merchant")
+    key = "lower(COALESCE(merchant, ''))"
+    ORACLES["category_overrides"] = TXN_CTE + f"""
+, t AS (SELECT 'expenses' AS table_name, * FROM expenses UNION ALL SELECT 'credits' AS table_name, * FROM credits)
+SELECT table_name, source, {m} AS merchant,
+       CASE {key} WHEN 'blue widget' THEN 'Gifts' WHEN 'red gear' THEN 'Auto' WHEN 'unknown' THEN 'Review'
+            ELSE {c} END AS category,
+       CASE {key} WHEN 'blue widget' THEN 'Toys' WHEN 'red gear' THEN '' WHEN 'unknown' THEN ''
+            ELSE {s} END AS sub_category
+FROM t
+"""
+
+
+_override_oracle()
