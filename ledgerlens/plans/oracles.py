@@ -869,3 +869,44 @@ FROM t
 
 
 _override_oracle()
+
+
+_STMT_LINES = _ITEMS + """
+, docs AS (SELECT DISTINCT doc, o_custkey FROM it WHERE fmt = 4),
+hdr AS (
+  SELECT doc, CAST(0 AS BIGINT) AS page_no, unnest([
+      'American Express', 'Statement of Account',
+      'Membership Number XXXX-XXXXXX-' || lpad(CAST(o_custkey AS VARCHAR), 5, '0'),
+      'Statement period from December 10 to ' || strftime(make_date(2000, CAST(o_custkey % 12 + 1 AS INTEGER), 1), '%B')
+        || ' 9',
+      'Statement date 09/' || lpad(CAST(o_custkey % 12 + 1 AS VARCHAR), 2, '0') || '/' || CAST(1995 + o_custkey % 4 AS VARCHAR)
+    ]) AS line,
+    unnest(range(5)) AS line_no
+  FROM docs),
+tx AS (
+  SELECT doc, row_no AS page_no, 0 AS line_no,
+    CASE WHEN ln = 5 THEN 'Opening Balance ' || format('{:,.2f}', amt)
+         WHEN ln = 6 THEN 'Page 2 of 5'
+         ELSE strftime(l_shipdate, '%B') || ' ' || CAST(day(l_shipdate) AS VARCHAR) || ' '
+              || CASE WHEN l_returnflag = 'R' THEN 'PAYMENT RECEIVED ' || upper(p_name) ELSE upper(p_name) END
+              || CASE WHEN ln = 2 THEN ' ~~~~~' WHEN ln = 3 THEN ' 12.50' ELSE '' END
+              || ' ' || format('{:,.2f}', amt) END AS line
+  FROM it WHERE fmt = 4),
+inst AS (
+  SELECT doc, CAST(8000000000000 AS BIGINT) AS page_no, 0 AS line_no, 'Installment Plan Transactions' AS line FROM docs
+  UNION ALL SELECT doc, CAST(8000000000001 AS BIGINT), 0, 'January 20 INSTALLMENT PRINCIPAL 3/12 1,000.00' FROM docs
+  UNION ALL SELECT doc, CAST(8000000000002 AS BIGINT), 0, 'January 21 EMI INSURANCE PREMIUM 250.00' FROM docs),
+lines AS (
+  SELECT doc, page_no, CAST(line_no AS INTEGER) AS line_no, line FROM hdr
+  UNION ALL SELECT doc, page_no, CAST(line_no AS INTEGER), line FROM tx
+  UNION ALL SELECT doc, page_no, CAST(line_no AS INTEGER), line FROM inst)
+"""
+
+ORACLES["read_statement_text"] = _STMT_LINES + "SELECT doc, page_no, line_no, line FROM lines"
+ORACLES["first_occurrence"] = _STMT_LINES + r"""
+, k AS (SELECT doc, page_no, line_no,
+               'pdf:' || doc || ':' || substr(sha256(regexp_replace(line, '^\s+|\s+$', '', 'g')), 1, 16) AS source
+        FROM lines),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc, source ORDER BY page_no, line_no) AS rn FROM k)
+SELECT doc, source, page_no, line_no FROM r WHERE rn = 1
+"""
