@@ -34,6 +34,26 @@ def as_double(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialized(spark, sf, name, build):
+    """Write a derived input once per session (under the shared checkpoint
+    folder) and read it back - statements arrive as extracted files."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MATERIALIZED:
+        path = _scratch(spark, name)
+        build().write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
+def _scratch(spark, name):
+    from ledgerlens.session import scratch_path as sp
+
+    return sp(spark, name)
+
+
 def _exp(spark, sf):
     return S.expenses(spark, sf)
 
@@ -171,7 +191,9 @@ from ledgerlens.sources import mail as ML  # noqa: E402
 
 
 def _alerts(spark, sf):
-    return S.alert_messages(spark, sf)
+    """RAW_MESSAGE input: alert messages, stored once per session as Parquet
+    (exported messages are files in production)."""
+    return materialized(spark, sf, "alert-messages", lambda: S.alert_messages(spark, sf))
 
 
 @register("parse_alerts")
@@ -264,7 +286,8 @@ def q_is_transaction_message(spark, sf):
 # --- mail export chain ------------------------------------------------------------------
 
 def _payloads(spark, sf):
-    return S.mail_payloads(spark, sf)
+    """RAW_PAYLOAD input: exported mail payloads, stored once per session."""
+    return materialized(spark, sf, "mail-payloads", lambda: S.mail_payloads(spark, sf))
 
 
 @register("decode_mime_body")
@@ -562,20 +585,6 @@ from ledgerlens.sources import statements as SS  # noqa: E402
 AS_OF_YEAR = 1998
 
 
-_MATERIALIZED: dict[tuple, str] = {}
-
-
-def materialized(spark, sf, name, build):
-    """Write a derived input once per session (under the shared checkpoint
-    folder) and read it back - statements arrive as extracted files."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MATERIALIZED:
-        path = scratch_path(spark, name)
-        build().write.parquet(path)
-        _MATERIALIZED[key] = path
-    return spark.read.parquet(_MATERIALIZED[key])
-
-
 def _stmt_tables(spark, sf):
     return materialized(spark, sf, "stmt-tables", lambda: SS.rendered_statement_tables(spark, sf))
 

@@ -36,13 +36,18 @@ def _existing_store(spark: SparkSession, store_path: str) -> DataFrame:
 def process_batch(batch: DataFrame, batch_id: int, *, store_path: str, quarantine_path: str,
                   mappings: DataFrame | None, created_at: str, as_of_year: int) -> None:
     spark = batch.sparkSession
-    tables = batch.select(*[f.name for f in STATEMENT_TABLE.fields])
-    formats = SM.detect_statement_format(tables, None)
-    unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit(batch_id).alias("batch_id"))
-    unknown.write.mode("append").parquet(quarantine_path)
-    store = _existing_store(spark, store_path)
-    result = PL.statement_pipeline(tables, None, store, mappings, created_at=created_at, as_of_year=as_of_year)
-    ST.append_transactions(result.saved, store_path)
+    # The micro-batch feeds several outputs: keep it once (lost blocks are
+    # recomputed from the source files), release it at the end.
+    tables = batch.select(*[f.name for f in STATEMENT_TABLE.fields]).persist()
+    try:
+        formats = SM.detect_statement_format(tables, None)
+        unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit(batch_id).alias("batch_id"))
+        unknown.write.mode("append").parquet(quarantine_path)
+        store = _existing_store(spark, store_path)
+        result = PL.statement_pipeline(tables, None, store, mappings, created_at=created_at, as_of_year=as_of_year)
+        ST.append_transactions(result.saved, store_path)
+    finally:
+        tables.unpersist()
 
 
 def start_inbox(spark: SparkSession, inbox: str, archive: str, store_path: str, quarantine_path: str,
