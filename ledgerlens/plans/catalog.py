@@ -764,3 +764,59 @@ def q_category_overrides(spark, sf):
     ov = spark.createDataFrame(OVERRIDES, "merchant string, category string, sub_category string")
     out = EX.apply_category_overrides(_all_txn(spark, sf), ov, FX.test_mappings(spark))
     return out.select("table_name", "source", "merchant", "category", "sub_category")
+
+
+# --- remaining inventory keys ----------------------------------------------------------------------
+
+@register("read_messages")
+def q_read_messages(spark, sf):
+    """Payloads exported as JSON files, read back with the explicit schema."""
+    path = _scratch(spark, "mail-export")
+    _payloads(spark, sf).write.json(path)
+    return ML.read_messages(spark, path).select("id", "internalDate", F.size("payload.headers").alias("n_headers"))
+
+
+@register("category_rank")
+def q_category_rank(spark, sf):
+    return R.category_spend(_exp(spark, sf)).select("category", "row_id")
+
+
+@register("mapping_order")
+def q_mapping_order(spark, sf):
+    """T-3: mappings by priority desc, id asc, with the listing position."""
+    from pyspark.sql import Window
+
+    m = _upserted(spark, sf)
+    # The mapping table is a small dimension: one ordered partition is fine.
+    pos = F.row_number().over(Window.orderBy(F.col("priority").desc(), F.col("id").asc()))
+    return m.select("id", "raw_pattern", "priority", pos.alias("position"))
+
+
+def _store_with_both(spark, sf):
+    path = _scratch(spark, "store-m6")
+    ST.append_transactions(ST.to_store_rows(S.bound_transactions(spark, sf), created_at=AS_OF), path)
+    return path
+
+
+@register("truncate_expenses")
+def q_truncate_expenses(spark, sf):
+    path = _store_with_both(spark, sf)
+    schema = ST.read_store(spark, path).schema
+    ST.truncate_expenses(spark, path, schema)
+    out = ST.read_store(spark, path)
+    return as_double(out.select("txn_type", "source", "amount"), "amount")
+
+
+@register("drop_expenses")
+def q_drop_expenses(spark, sf):
+    path = _store_with_both(spark, sf)
+    ST.drop_expenses(spark, path)
+    out = ST.read_store(spark, path)
+    return as_double(out.select("txn_type", "source", "amount"), "amount")
+
+
+@register("source_key")
+def q_source_key(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", P.source_key(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "text")
+                    .alias("source"))

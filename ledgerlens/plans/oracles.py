@@ -910,3 +910,18 @@ ORACLES["first_occurrence"] = _STMT_LINES + r"""
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc, source ORDER BY page_no, line_no) AS rn FROM k)
 SELECT doc, source, page_no, line_no FROM r WHERE rn = 1
 """
+
+
+alert_oracle("read_messages", "SELECT message_id AS id, ts_ms AS internalDate, 2 AS n_headers FROM alerts")
+oracle("category_rank", """
+SELECT category, ROW_NUMBER() OVER (ORDER BY total_spent DESC, category ASC) AS row_id
+FROM (SELECT COALESCE(category, 'Other') AS category, SUM(amount) AS total_spent FROM expenses GROUP BY 1) s
+""")
+ORACLES["mapping_order"] = _upsert_sql() + """
+SELECT id, raw_pattern, priority, ROW_NUMBER() OVER (ORDER BY priority DESC, id ASC) AS position FROM u
+"""
+oracle("truncate_expenses", "SELECT txn_type, source, CAST(amount AS DOUBLE) AS amount FROM credits")
+oracle("drop_expenses", "SELECT txn_type, source, CAST(amount AS DOUBLE) AS amount FROM credits")
+ORACLES["source_key"] = """
+SELECT doc_id, 'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source FROM documents
+"""
