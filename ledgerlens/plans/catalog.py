@@ -92,7 +92,7 @@ def q_income_vs_expense(spark, sf):
 
 @register("quality_report")
 def q_quality_report(spark, sf):
-    return R.quality_report(R.all_transactions(_exp(spark, sf), _cred(spark, sf)))
+    return R.quality_report(S.all_transactions(spark, sf))
 
 
 @register("merchant_frequency")
@@ -325,7 +325,7 @@ def q_mail_latest_n(spark, sf):
 # --- merchant rules ----------------------------------------------------------------------
 
 def _all_txn(spark, sf):
-    return R.all_transactions(_exp(spark, sf), _cred(spark, sf))
+    return S.all_transactions(spark, sf)
 
 
 @register("categorize_mappings")

@@ -109,6 +109,14 @@ def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound_transactions(spark, sf_dir).filter(F.col("txn_type") == "credit").drop("txn_type")
 
 
+def all_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables in one scan, labelled like ``expenses UNION ALL credits``
+    (the store is one table partitioned by txn_type)."""
+    t = bound_transactions(spark, sf_dir)
+    label = F.when(F.col("txn_type") == "debit", F.lit("expenses")).otherwise(F.lit("credits"))
+    return t.withColumn("table_name", label).drop("txn_type")
+
+
 def _epoch_millis(ts_ntz: Column) -> Column:
     """Milliseconds since the epoch of a zone-less timestamp (no session zone)."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts_ntz)
