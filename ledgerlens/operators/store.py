@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.merchant import reclean
 from ledgerlens.functions.text import strip_ws
-from ledgerlens.schemas import MAPPING_CSV
 
 TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "sub_category",
                "payment_method", "bank_name", "source", "raw_text", "embedding", "created_at"]

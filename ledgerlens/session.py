@@ -66,3 +66,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df):
+    """Materialise ``df`` with a reliable checkpoint in the shared folder.
+
+    Used where one batch feeds several branches of a plan: the work runs
+    once, and the lineage is cut so an executor lost later does not force
+    the upstream parsing to run again.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
