@@ -44,7 +44,10 @@ def process_batch(batch: DataFrame, batch_id: int, *, store_path: str, quarantin
         unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit(batch_id).alias("batch_id"))
         unknown.write.mode("append").parquet(quarantine_path)
         store = _existing_store(spark, store_path)
-        result = PL.statement_pipeline(tables, None, store, mappings, created_at=created_at, as_of_year=as_of_year)
+        # Only the saved rows are used here and the batch is persisted, so the
+        # parse is not staged separately.
+        result = PL.statement_pipeline(tables, None, store, mappings, created_at=created_at, as_of_year=as_of_year,
+                                       stage_parsed=False)
         ST.append_transactions(result.saved, store_path)
     finally:
         tables.unpersist()
