@@ -32,6 +32,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in _SCALE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
+    if os.environ.get("LEDGERLENS_TZ"):  # testing: results must not depend on the session zone
+        builder = builder.config("spark.sql.session.timeZone", os.environ["LEDGERLENS_TZ"])
     builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
