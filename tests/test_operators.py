@@ -193,3 +193,26 @@ def test_alert_pipeline_rerun_saves_nothing(spark, tmp_path):
     second = PL.alert_pipeline(pay, ST.read_store(spark, path), None, created_at="2024-01-01 00:00:00")
     assert second.saved.count() == 0
     assert second.summary.first().saved == 0
+
+
+def test_bounded_paths_are_exact(spark, monkeypatch):
+    """Beyond the broadcast bounds the batched paths give the same answer."""
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    queries = V.centroids(emb, "label").withColumnRenamed("label", "query_id")
+    one = sorted(tuple(r) for r in V.semantic_search_batch(emb, queries).collect())
+    dim = len(emb.first().embedding)
+    monkeypatch.setattr(V, "MAX_QUERY_MATRIX_BYTES", 8 * dim)          # one query per batch
+    many = sorted(tuple(r) for r in V.semantic_search_batch(emb, queries).collect())
+    assert one == many and len(one) > 0
+
+    exp = spark.createDataFrame(
+        [("Swiggy Food", "food", "UPI", dt.datetime(2024, 3, 9, 12), Decimal("10.00"))],
+        "merchant string, category string, payment_method string, txn_date timestamp_ntz, amount decimal(12,2)")
+    qs = spark.createDataFrame([(i, t) for i, t in enumerate(["yesterday", "today", "x", "food", "upi"])],
+                               "question_id long, text string")
+    base = sorted(tuple(r) for r in QA.answer_questions(qs, exp, "2024-03-10 09:00:00").select("question_id", "total")
+                  .collect())
+    monkeypatch.setattr(QA, "QUESTION_BATCH", 2)
+    batched = sorted(tuple(r) for r in QA.answer_questions(qs, exp, "2024-03-10 09:00:00")
+                     .select("question_id", "total").collect())
+    assert base == batched
