@@ -925,3 +925,14 @@ oracle("drop_expenses", "SELECT txn_type, source, CAST(amount AS DOUBLE) AS amou
 ORACLES["source_key"] = """
 SELECT doc_id, 'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source FROM documents
 """
+
+# Candidates per alert shape: payment phrase, upper-case runs (card mask,
+# 'VPA'), then the VPA handle; noise words and repeats removed.
+alert_oracle("pattern_candidates", """
+SELECT message_id,
+       CASE kind WHEN 1 THEN [p_name, 'xx' || card]
+                 WHEN 2 THEN [p_name, 'xx' || card]
+                 WHEN 3 THEN ['xx' || card, 'vpa', p_name]
+                 ELSE ['xx' || card, p_name] END AS candidates
+FROM alerts
+""")
