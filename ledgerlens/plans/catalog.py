@@ -10,10 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import merchant as M
+from ledgerlens.functions import parsing as P
+from ledgerlens.functions.text import strip_ws
+from ledgerlens.operators import alerts as AL
+from ledgerlens.operators import questions as QA
+from ledgerlens.operators import rules as RU
+from ledgerlens.operators import search as V
+from ledgerlens.operators import statements as SM
+from ledgerlens.operators import store as ST
+from ledgerlens.plans import extensions as EX
+from ledgerlens.plans import fixtures as FX
+from ledgerlens.plans import pipelines as PL
 from ledgerlens.plans import reports as R
+from ledgerlens.schemas import BUDGET
+from ledgerlens.session import scratch_path
+from ledgerlens.sources import mail as ML
+from ledgerlens.sources import statements as SS
 from ledgerlens.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,9 +65,7 @@ def materialized(spark, sf, name, build):
 
 
 def _scratch(spark, name):
-    from ledgerlens.session import scratch_path as sp
-
-    return sp(spark, name)
+    return scratch_path(spark, name)
 
 
 def _exp(spark, sf):
@@ -182,13 +196,6 @@ def q_latest_records(spark, sf):
 
 # --- parsers over alert text rendered from lineitem x part ----------------------------
 
-from ledgerlens.functions import merchant as M  # noqa: E402
-from ledgerlens.functions import parsing as P  # noqa: E402
-from ledgerlens.operators import alerts as AL  # noqa: E402
-from ledgerlens.operators import rules as RU  # noqa: E402
-from ledgerlens.plans import fixtures as FX  # noqa: E402
-from ledgerlens.sources import mail as ML  # noqa: E402
-
 
 def _alerts(spark, sf):
     """RAW_MESSAGE input: alert messages, stored once per session as Parquet
@@ -354,11 +361,6 @@ def q_apply_report(spark, sf):
 
 # --- store and mapping maintenance ---------------------------------------------------------
 
-from ledgerlens.operators import questions as QA  # noqa: E402
-from ledgerlens.operators import search as V  # noqa: E402
-from ledgerlens.operators import store as ST  # noqa: E402
-from ledgerlens.session import scratch_path  # noqa: E402
-
 
 def _parsed_debits(spark, sf):
     """Alert pipeline rows as the mail flow stores them (all debits)."""
@@ -579,8 +581,6 @@ def q_embedding_text(spark, sf):
 
 # --- statements -----------------------------------------------------------------------------------
 
-from ledgerlens.operators import statements as SM  # noqa: E402
-from ledgerlens.sources import statements as SS  # noqa: E402
 
 AS_OF_YEAR = 1998
 
@@ -649,19 +649,12 @@ def q_first_occurrence(spark, sf):
     """Every card-text line keyed like the parser keys it, first one kept."""
     lines = SS.statement_lines(_stmt_text(spark, sf))
     keyed = lines.select("doc", "page_no", "line_no",
-                         P.source_key(F.col("doc"), strip_line(F.col("line"))).alias("source"))
+                         P.source_key(F.col("doc"), strip_ws(F.col("line"))).alias("source"))
     return SM.first_occurrence(keyed).select("doc", "source", "page_no", "line_no")
 
 
-def strip_line(c):
-    from ledgerlens.functions.text import strip_ws
-
-    return strip_ws(c)
-
-
 # --- ingest pipelines ----------------------------------------------------------------------------
 
-from ledgerlens.plans import pipelines as PL  # noqa: E402
 
 _PIPE_COLS = ["source", "txn_type", "txn_date", "amount", "merchant", "category", "sub_category", "payment_method",
               "bank_name"]
@@ -752,8 +745,6 @@ def q_inbox_stream(spark, sf):
 
 # --- extensions (documented, not implemented by the reference) -----------------------------------
 
-from ledgerlens.plans import extensions as EX  # noqa: E402
-from ledgerlens.schemas import BUDGET  # noqa: E402
 
 BUDGETS = [("ECONOMY", 5_000_000), ("LARGE", 1_000_000), ("SMALL", 20_000_000), ("MEDIUM", 3_000_000),
            ("Other", 100_000), ("Travel", 1_000)]
@@ -801,7 +792,6 @@ def q_category_rank(spark, sf):
 @register("mapping_order")
 def q_mapping_order(spark, sf):
     """T-3: mappings by priority desc, id asc, with the listing position."""
-    from pyspark.sql import Window
 
     m = _upserted(spark, sf)
     # The mapping table is a small dimension: one ordered partition is fine.
