@@ -718,27 +718,31 @@ def q_statement_ingest_summary(spark, sf):
 
 @register("inbox_stream")
 def q_inbox_stream(spark, sf):
-    """Two drops of extracted statement files (the second re-sends one
-    year already processed) through the inbox stream; returns the store."""
+    """Extracted statement files dropped into two inboxes (tables and text
+    pages) - the tables arrive in two drops, the second re-sending a year
+    already processed - run through the inbox streams into one store;
+    returns the store."""
     from ledgerlens.streaming.inbox import start_inbox
 
-    base = scratch_path(spark, "inbox")
-    inbox, archive, store, quarantine, ckpt = (f"{base}/{d}" for d in ("in", "archive", "store", "quarantine", "ckpt"))
-    tables = _stmt_tables(spark, sf)
+    base = _scratch(spark, "inbox")
+    store, quarantine = f"{base}/store", f"{base}/quarantine"
     mappings = FX.test_mappings(spark)
+    inputs = {"tables": _stmt_tables(spark, sf), "text": _stmt_text(spark, sf)}
+    first_year = {"tables": F.col("table_no") <= 3, "text": F.lit(True)}
+    rest = {"tables": F.col("table_no") >= 3}
 
-    def drop(df, name):
-        df.write.json(f"{inbox}/{name}")
-
-    def run():
-        q = start_inbox(spark, inbox + "/*", archive, store, quarantine, ckpt, mappings,
-                        created_at=AS_OF, as_of_year=AS_OF_YEAR)
+    def run(kind):
+        q = start_inbox(spark, f"{base}/in-{kind}/*", f"{base}/archive-{kind}", store, quarantine,
+                        f"{base}/ckpt-{kind}", mappings, created_at=AS_OF, as_of_year=AS_OF_YEAR, kind=kind)
         q.awaitTermination()
 
-    drop(tables.filter(F.col("table_no") <= 3), "drop1")
-    run()
-    drop(tables.filter(F.col("table_no") >= 3), "drop2")
-    run()
+    for kind, df in inputs.items():
+        # A file carries whole documents, as a statement PDF does.
+        df.filter(first_year[kind]).repartition("doc").write.json(f"{base}/in-{kind}/drop1")
+        run(kind)
+        if kind in rest:  # re-send: one year of tables arrives again
+            df.filter(rest[kind]).repartition("doc").write.json(f"{base}/in-{kind}/drop2")
+            run(kind)
     out = ST.read_store(spark, store)
     return as_double(out.select("source", "txn_type", "txn_date", "amount"), "amount")
 

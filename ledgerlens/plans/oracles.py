@@ -813,7 +813,9 @@ _pipeline_oracles()
 ORACLES["inbox_stream"] = (
     "SELECT DISTINCT source, txn_type, txn_date, amount FROM ("
     f"SELECT source, txn_type, txn_date, amount FROM ({ORACLES['statement_rows_multicol']}) a "
-    f"UNION ALL SELECT source, txn_type, txn_date, amount FROM ({ORACLES['statement_rows_card_cell']}) b) u"
+    f"UNION ALL SELECT source, txn_type, txn_date, amount FROM ({ORACLES['statement_rows_card_cell']}) b "
+    f"UNION ALL SELECT source, txn_type, CAST(txn_date AS TIMESTAMP), amount "
+    f"FROM ({ORACLES['statement_lines_card_text']}) c) u"
 )
 
 

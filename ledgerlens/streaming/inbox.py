@@ -13,6 +13,10 @@ nothing is stored twice; the checkpoint (under the shared checkpoint
 folder) records which files were consumed.  Finished files are moved to
 an archive folder by the source (``cleanSource=archive``); the flow
 never depends on the inbox being empty.
+
+Contract: a file holds whole documents (all tables or all pages of a
+statement), as the PDF it was extracted from does; per-document facts
+(format, statement year, end month) are computed within a micro-batch.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import statements as SM
 from ledgerlens.operators import store as ST
 from ledgerlens.plans import pipelines as PL
-from ledgerlens.schemas import STATEMENT_TABLE
+from ledgerlens.schemas import STATEMENT_TABLE, STATEMENT_TEXT
 
 
 def _existing_store(spark: SparkSession, store_path: str) -> DataFrame:
@@ -34,38 +38,46 @@ def _existing_store(spark: SparkSession, store_path: str) -> DataFrame:
 
 
 def process_batch(batch: DataFrame, batch_id: int, *, store_path: str, quarantine_path: str,
-                  mappings: DataFrame | None, created_at: str, as_of_year: int) -> None:
+                  mappings: DataFrame | None, created_at: str, as_of_year: int, kind: str = "tables") -> None:
     spark = batch.sparkSession
+    schema = STATEMENT_TABLE if kind == "tables" else STATEMENT_TEXT
     # The micro-batch feeds several outputs: keep it once (lost blocks are
     # recomputed from the source files), release it at the end.
-    tables = batch.select(*[f.name for f in STATEMENT_TABLE.fields]).persist()
+    data = batch.select(*[f.name for f in schema.fields]).persist()
+    tables, pages = (data, None) if kind == "tables" else (None, data)
     try:
-        formats = SM.detect_statement_format(tables, None)
+        formats = SM.detect_statement_format(tables, pages)
         unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit(batch_id).alias("batch_id"))
         unknown.write.mode("append").parquet(quarantine_path)
         store = _existing_store(spark, store_path)
-        # Only the saved rows are used here and the batch is persisted, so the
-        # parse is not staged separately.
-        result = PL.statement_pipeline(tables, None, store, mappings, created_at=created_at, as_of_year=as_of_year,
-                                       stage_parsed=False)
+        # The batch is persisted, so re-reading it is cheap: no separate
+        # staging of the parsed or saved rows inside a micro-batch.
+        result = PL.statement_pipeline(tables, pages, store, mappings, created_at=created_at, as_of_year=as_of_year,
+                                       stage_parsed=False, stage_saved=False)
         ST.append_transactions(result.saved, store_path)
     finally:
-        tables.unpersist()
+        data.unpersist()
 
 
 def start_inbox(spark: SparkSession, inbox: str, archive: str, store_path: str, quarantine_path: str,
                 checkpoint: str, mappings: DataFrame | None, created_at: str, as_of_year: int,
-                fmt: str = "json", available_now: bool = True):
+                fmt: str = "json", available_now: bool = True, kind: str = "tables"):
     """Start the inbox stream; with ``available_now`` it drains what is
-    there and stops (a scheduled run), otherwise it keeps polling."""
-    src = (spark.readStream.schema(STATEMENT_TABLE).format(fmt)
+    there and stops (a scheduled run), otherwise it keeps polling.
+
+    ``kind`` is 'tables' (STATEMENT_TABLE files: multi-column and card-cell
+    statements) or 'text' (STATEMENT_TEXT pages: card text statements).
+    Both kinds may feed the same store, each with its own checkpoint.
+    """
+    schema = STATEMENT_TABLE if kind == "tables" else STATEMENT_TEXT
+    src = (spark.readStream.schema(schema).format(fmt)
            .option("cleanSource", "archive").option("sourceArchiveDir", archive)
            .option("maxFilesPerTrigger", 1000)
            .load(inbox))
     writer = (src.writeStream
               .foreachBatch(lambda df, bid: process_batch(df, bid, store_path=store_path,
                                                           quarantine_path=quarantine_path, mappings=mappings,
-                                                          created_at=created_at, as_of_year=as_of_year))
+                                                          created_at=created_at, as_of_year=as_of_year, kind=kind))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
