@@ -216,3 +216,16 @@ def test_bounded_paths_are_exact(spark, monkeypatch):
     batched = sorted(tuple(r) for r in QA.answer_questions(qs, exp, "2024-03-10 09:00:00")
                      .select("question_id", "total").collect())
     assert base == batched
+
+
+def test_end_month_across_blank_lines_and_pages(spark):
+    from ledgerlens.sources.statements import statement_lines
+
+    pages = spark.createDataFrame([
+        ("b1", 1, "Statement period from November 10 to\n   \n\nDecember 9"),
+        ("b2", 1, "Statement date 09/01/2025\nperiod from December 10 to"),
+        ("b2", 2, "  January 9\nJanuary 3 SHOP 10.00"),
+        ("b3", 1, "from May 1 to June 1"),
+    ], STATEMENT_TEXT)
+    facts = {r.doc: (r.year, r.end_month) for r in SM.statement_facts(statement_lines(pages), 2030).collect()}
+    assert facts == {"b1": (2030, 12), "b2": (2025, 1), "b3": (2030, 6)}
