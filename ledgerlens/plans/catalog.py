@@ -356,7 +356,7 @@ def q_apply_mappings(spark, sf):
 
 @register("apply_report")
 def q_apply_report(spark, sf):
-    return RU.apply_report(_exp(spark, sf), _cred(spark, sf), FX.test_mappings(spark))
+    return RU.apply_report_labelled(S.all_transactions(spark, sf), FX.test_mappings(spark))
 
 
 # --- store and mapping maintenance ---------------------------------------------------------
