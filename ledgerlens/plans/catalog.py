@@ -163,17 +163,17 @@ def q_empty_sub_category(spark, sf):
 
 @register("review_backlog")
 def q_review_backlog(spark, sf):
-    return as_double(R.review_backlog(_exp(spark, sf), _cred(spark, sf)).select(*REVIEW_COLS), "amount")
+    return as_double(R.review_backlog_labelled(S.all_transactions(spark, sf)).select(*REVIEW_COLS), "amount")
 
 
 @register("review_page")
 def q_review_page(spark, sf):
-    return as_double(R.review_page(_exp(spark, sf), _cred(spark, sf), page=4).select(*REVIEW_COLS), "amount")
+    return as_double(R.review_page_labelled(S.all_transactions(spark, sf), page=4).select(*REVIEW_COLS), "amount")
 
 
 @register("review_totals")
 def q_review_totals(spark, sf):
-    return R.review_totals(_exp(spark, sf), _cred(spark, sf))
+    return R.review_totals_labelled(S.all_transactions(spark, sf))
 
 
 @register("bad_rows")

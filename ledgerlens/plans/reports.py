@@ -201,20 +201,21 @@ def _needs_category() -> Column:
 def review_backlog(expenses: DataFrame, credits: DataFrame, table: str = "both",
                    issue: str = "both") -> DataFrame:
     """Rows needing attention, labelled by table, newest first within table."""
+    return review_backlog_labelled(all_transactions(expenses, credits), table, issue)
+
+
+def review_backlog_labelled(all_txn: DataFrame, table: str = "both", issue: str = "both") -> DataFrame:
+    """``review_backlog`` over one table carrying ``table_name`` (one scan
+    when both tables live in one store)."""
     if issue == "merchant":
         cond = _needs_merchant()
     elif issue == "category":
         cond = _needs_category()
     else:
         cond = _needs_merchant() | _needs_category()
-    parts = []
-    if table in ("expenses", "both"):
-        parts.append(expenses.filter(cond).withColumn("table_name", F.lit("expenses")))
-    if table in ("credits", "both"):
-        parts.append(credits.filter(cond).withColumn("table_name", F.lit("credits")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if table in ("expenses", "credits"):
+        cond = cond & (F.col("table_name") == table)
+    out = all_txn.filter(cond)
     table_rank = F.when(F.col("table_name") == "expenses", 0).otherwise(1)
     # Source keys may repeat, so the tie-break columns make the order total
     # and paging deterministic.
@@ -246,6 +247,10 @@ def mapping_order(mappings: DataFrame) -> DataFrame:
 
 def review_page(expenses: DataFrame, credits: DataFrame, page: int,
                 page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
+    return review_page_labelled(all_transactions(expenses, credits), page, page_size)
+
+
+def review_page_labelled(all_txn: DataFrame, page: int, page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
     """One page of the review backlog over a single total order.
 
     ``offset``/``limit`` on a global sort: each task keeps only its top
@@ -253,13 +258,16 @@ def review_page(expenses: DataFrame, credits: DataFrame, page: int,
     backlog.  An out-of-range page is simply empty.
     """
     page = max(1, int(page))
-    backlog = review_backlog(expenses, credits)
-    return backlog.offset((page - 1) * page_size).limit(page_size)
+    return review_backlog_labelled(all_txn).offset((page - 1) * page_size).limit(page_size)
 
 
 def review_totals(expenses: DataFrame, credits: DataFrame,
                   page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
+    return review_totals_labelled(all_transactions(expenses, credits), page_size)
+
+
+def review_totals_labelled(all_txn: DataFrame, page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
     """Backlog size and page count (a separate one-row aggregate)."""
-    backlog = all_transactions(expenses, credits).filter(_needs_merchant() | _needs_category())
+    backlog = all_txn.filter(_needs_merchant() | _needs_category())
     return (backlog.agg(F.count(F.lit(1)).alias("total"))
             .withColumn("total_pages", F.expr(f"(total + {page_size} - 1) div {page_size}")))
