@@ -101,7 +101,7 @@ def q_top_merchants(spark, sf):
 
 @register("income_vs_expense")
 def q_income_vs_expense(spark, sf):
-    return as_double(R.income_vs_expense(_exp(spark, sf), _cred(spark, sf)), "expenses", "income", "net")
+    return as_double(R.income_vs_expense_labelled(S.all_transactions(spark, sf)), "expenses", "income", "net")
 
 
 @register("quality_report")

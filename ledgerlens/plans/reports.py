@@ -53,6 +53,18 @@ def income_vs_expense(expenses: DataFrame, credits: DataFrame) -> DataFrame:
     return j.select("month", exp.alias("expenses"), inc.alias("income"), (inc - exp).alias("net"))
 
 
+def income_vs_expense_labelled(all_txn: DataFrame) -> DataFrame:
+    """Same report from one store scan carrying ``table_name``: one
+    conditional aggregate per month replaces two aggregates and the full
+    outer join (a month appears when either table has rows in it)."""
+    agg = all_txn.groupBy(month_of(F.col("txn_date")).alias("month")).agg(
+        F.sum(F.when(F.col("table_name") == "expenses", F.col("amount"))).alias("expenses"),
+        F.sum(F.when(F.col("table_name") == "credits", F.col("amount"))).alias("income"))
+    exp = F.coalesce(F.col("expenses"), F.lit(0))
+    inc = F.coalesce(F.col("income"), F.lit(0))
+    return agg.select("month", exp.alias("expenses"), inc.alias("income"), (inc - exp).alias("net"))
+
+
 # --- A2 / W1 --------------------------------------------------------------------
 
 def category_spend(expenses: DataFrame) -> DataFrame:

@@ -229,3 +229,18 @@ def test_end_month_across_blank_lines_and_pages(spark):
     ], STATEMENT_TEXT)
     facts = {r.doc: (r.year, r.end_month) for r in SM.statement_facts(statement_lines(pages), 2030).collect()}
     assert facts == {"b1": (2030, 12), "b2": (2025, 1), "b3": (2030, 6)}
+
+
+def test_single_scan_forms_equal_two_table_forms(spark, mappings):
+    from ledgerlens.plans import reports as R
+    from ledgerlens.sources import tables as S
+
+    e, c, a = S.expenses(spark, SF001), S.credits(spark, SF001), S.all_transactions(spark, SF001)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(R.income_vs_expense(e, c)) == rows(R.income_vs_expense_labelled(a))
+    assert rows(R.review_backlog(e, c).select("source", "table_name")) == \
+        rows(R.review_backlog_labelled(a).select("source", "table_name"))
+    assert rows(RU.apply_report(e, c, mappings)) == rows(RU.apply_report_labelled(a, mappings))
