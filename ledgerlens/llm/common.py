@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +51,24 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``; empty batches are left out."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+                sized_by: int | None = None) -> DataFrame:
+    """``fn`` over every Arrow batch of ``df``; empty batches are left out.
+
+    ``sized_by`` names a text or binary column: batches are then cut so that
+    it holds about ``CHUNK_BYTES`` in each, which bounds a worker's memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if not batch.num_rows:
+                continue
+            if sized_by is None:
                 yield fn(batch)
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(sized_by)), 0).to_pylist()
+            for a, b in chunks(sizes):
+                yield fn(batch.slice(a, b - a))
 
     return df.mapInArrow(run, schema)
 

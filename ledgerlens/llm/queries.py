@@ -4,20 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import bpe, htmltree, merkle, quality, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    return public_tokenizers.path(name)
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, shingle=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = rows.withColumn("edited", merkle.half_edited(F.col("text"), F.col("next_text")))
+    for text, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
+        rows = merkle.with_fingerprint(rows, text, out)
+    return rows.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_quality_knn": op4_quality_knn,
+    "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_html_tree": op6_html_tree,
+    "op7_toxicity_weak": op7_toxicity_weak,
+    "op9_merkle_fingerprints": op9_merkle_fingerprints,
 }
 
+_OP9_TREE = """
+  listed_{t} AS (
+    SELECT id, {t} AS txt, CASE WHEN {t} = '' THEN '' ELSE list_aggregate(list_transform(string_split({t}, chr(10)), lambda p:
+      CASE WHEN p = '' THEN ';' ELSE
+        substr(sha256(p), 1, 20) || '=' || list_aggregate(list_transform(
+          string_split(regexp_replace(p, '([nr.,;:!?|])([ \\t\\n\\x0B\\f\\r])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+          lambda c: substr(md5(c), 1, 6)), 'string_agg', ',')
+        || CASE WHEN substr(sha256(p), 1, 1) < '4' THEN '|' ELSE ';' END END), 'string_agg', '') END AS body
+    FROM rows_),
+  bodies_{t} AS (
+    SELECT id, txt, coalesce(list_aggregate(list_transform(list_filter(string_split(body, '|'), lambda s: s <> ''),
+      lambda s: substr(sha256(s), 1, 20) || ':' || s), 'string_agg', '|'), '') AS body FROM listed_{t}),
+  tree_{t} AS (
+    SELECT id, sha256(body) || '/' || body AS fp,
+      list_distinct(list_filter(string_split(translate(sha256(body) || '/' || body, '/|:;=', ',,,,,'), ','), lambda x: x <> '')) AS nodes
+    FROM bodies_{t})"""
+_OP9 = ("""
+WITH base AS (SELECT doc_id AS id, coalesce(text, '') AS text,
+    coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id NULLS FIRST, text),
+             first_value(coalesce(text, '')) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text FROM documents),
+  rows_ AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited
+    FROM base),"""
+    + ",".join(_OP9_TREE.replace("{t}", t).replace("\\\\", "\\") for t in ("text", "edited", "next_text")) + """
+SELECT r.id AS doc_id, length(r.text) AS n_chars, sha256(r.edited) AS edited_sha256, a.fp AS fingerprint,
+  b.fp AS edited_fingerprint,
+  CASE WHEN a.fp = b.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes)) END AS near_edited,
+  CASE WHEN a.fp = c.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes)) END AS near_next
+FROM rows_ r JOIN tree_text a USING (id) JOIN tree_edited b USING (id) JOIN tree_next_text c USING (id)
+""")
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_knn": op4_quality_knn,
+    "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_html_tree": op6_html_tree,
+    "op7_toxicity_weak": op7_toxicity_weak,
+    "op9_merkle_fingerprints": _OP9,
+}
