@@ -184,8 +184,9 @@ def forest(pages: list[tuple]) -> tuple[Forest, np.ndarray]:
     x[:, KINDS + 1] = cue == 2
     x[:, KINDS + 2] = share
     x[:, KINDS + 3] = share > 0.5
-    x[:, KINDS + 4] = np.minimum(np.log1p(chars) / 5, 1.5)
-    x[:, KINDS + 5] = chars < 25
+    vague = (kind != _KIND["p"]) & (kind != _KIND["h1"])  # a short paragraph is as good as a long one
+    x[:, KINDS + 4] = np.minimum(np.log1p(chars) / 5, 1.5) * vague
+    x[:, KINDS + 5] = (chars < 25) & vague
     x[:, KINDS + 6] = depth <= 2
     x[:, KINDS + 7] = 1
     return Forest(parent, kind, x, levels), start
