@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, merkle, quality, simhash, toxicity
+from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, quality, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -28,6 +28,13 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = longmatch.remove_repeats(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_rindex_dedup": op3_rindex_dedup,
     "op4_quality_knn": op4_quality_knn,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_html_tree": op6_html_tree,
