@@ -26,10 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, map_batches, partitions, stage, text_bytes
+from ledgerlens.llm.common import components, fresh, map_batches, partitions, stage, text_bytes
 
 SEED = 42
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64).ravel()
@@ -85,14 +85,14 @@ def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, id_type: str = "long") -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = fingerprints(text_bytes(batch.column(1)), shingle)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), run, "id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("t")), run, f"id {id_type}, fp long", sized_by=1)
 
 
 def _ball(value: Column, bits: int) -> Column:
@@ -113,7 +113,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     if max_bits < 2:
         near = spark.createDataFrame([], "u long, v long")
     else:
-        around = fps.select("fp", _ball(F.col("fp"), 64).alias("c")).groupBy("c").agg(F.collect_list("fp").alias("m"))
+        around = fps.repartition(partitions(spark)).select("fp", _ball(F.col("fp"), 64).alias("c")).groupBy("c").agg(F.collect_list("fp").alias("m"))
         near = (around.where(F.size("m") > 1).select(F.array_min("m").alias("v"), F.explode("m").alias("u"))
                 .where("u <> v"))
     near = stage(near.distinct())
@@ -137,6 +137,15 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return components(far.unionAll(held))
 
 
+def classes_of(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component_fp, component_id) of every fingerprint in ``rows`` (id, fp)."""
+    reps = stage(rows.groupBy("fp").agg(F.min("id").alias("rep")))
+    roots = links(reps.select("fp"), max_bits)
+    member = stage(reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("component_fp")))
+    lowest = member.groupBy("component_fp").agg(F.min("rep").alias("component_id"))
+    return member.join(lowest, "component_fp").select("fp", "component_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp, component_fp), one row per input row.
@@ -145,12 +154,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint as a signed long, component_fp the class's smallest fp.
     """
     rows = stage(fingerprint_rows(docs, id_col, text_col, shingle))
-    reps = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    roots = links(stage(reps).select("fp"), max_bits)
-    member = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("component_fp"))
-    member = stage(member)
-    lowest = member.groupBy("component_fp").agg(F.min("rep").alias("component_id"))
-    classes = member.join(lowest, "component_fp").select("fp", "component_fp", "component_id")
-    return rows.join(classes, "fp").select(
+    return rows.join(classes_of(rows, max_bits), "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id", "fp", "component_fp")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of ``docs`` per component: smallest id (null last), then smallest text hash; all columns stay.
+
+    Only (id, text hash) pairs of the rows that stay are joined back, so the
+    documents cross the network once.
+    """
+    th, n, own = fresh(docs, "_th", "_n", "_id")
+    hashed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prints = fingerprint_rows(hashed.select(F.struct("id", F.xxhash64("text").alias("th")).alias("id"), "text"), "id", "text", shingle, "struct<id:bigint,th:bigint>")
+    rows = stage(prints.select("id.id", "id.th", "fp"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    first = (rows.join(classes_of(rows, max_bits), "fp").groupBy("component_fp").agg(F.min(place).alias("p"))
+             .select(F.col("p.id").alias(own), F.col("p.th").alias(th)))
+    kept = docs.withColumn(n, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = kept.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(n) == F.col(th)))
+    once = Window.partitionBy(own, th).orderBy(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0)])
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)
