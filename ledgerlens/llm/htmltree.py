@@ -47,7 +47,7 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 _SKIPPED = {"script", "style", "template", "noembed", "noframes", "iframe", "xmp"}
 
-_KINDS = {"root": "html body #root", "head": "head title meta link base script style noscript template iframe svg", "article": "article main", "nav": "nav menu",
+_KINDS = {"root": "html body #root", "head": "head title meta link base", "script": "script style noscript template iframe svg", "article": "article main", "nav": "nav menu",
           "header": "header hgroup", "footer": "footer address", "aside": "aside", "form": "form fieldset input textarea select option button label legend",
           "heading": "h1 h2 h3 h4 h5 h6", "p": "p blockquote pre figcaption dd dt", "list": "ul ol dl", "li": "li", "table": "table tbody thead tfoot tr td th caption",
           "section": "section", "div": "div center details summary figure dialog", "a": "a"}
@@ -234,7 +234,7 @@ def labels_of(pages: list[tuple]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def train(pages: list[str], rounds: int = 160, l2: float = 2e-4) -> Model:
+def train(pages: list[str], rounds: int = 200, l2: float = 5e-5) -> Model:
     """Maximum likelihood by Adam; the gradient is the difference of given and expected counts."""
     parsed = [parse(p) for p in pages]
     f, _ = forest(parsed)
@@ -293,6 +293,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             lambda: f"<p><b>{say(4, 30)}<br><p>{say(5, 30)}</p>", lambda: f"<h2>{say(1, 7)}</h2>", lambda: f"<blockquote><p>{say(5, 40)}</p></blockquote>",
             lambda: "<ul>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(r.randint(2, 5))) + "</ul>",
             lambda: "<table>" + "".join(f"<tr><td>{say(1, 4)}<td>{say(1, 4)}</tr>" for _ in range(3)) + "</table>",
+            lambda: f'<p>{say(3, 20)}<script data-y="0">track("{say(1, 3)}")</script> {say(1, 9)}</p>', lambda: '<style data-y="0">p{}</style>',
             lambda: f"<div>{say(8, 50)}</div>", lambda: f"<pre>{say(4, 20)}</pre>", lambda: f"<section><h3>{say(1, 5)}</h3><p>{say(10, 60)}</p></section>",
         ])()
 
@@ -304,7 +305,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             body = [paragraph() for _ in range(r.randint(1, 9))]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             body.insert(r.randint(0, len(body)), small())
-        if r.random() < 0.15:
+        if r.random() < 0.25:
             body.append(comments())
         title = f"<h1>{say(2, 10)}</h1>" if r.random() < 0.8 else ""
         if title and r.random() < 0.2:
@@ -323,7 +324,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         page = "".join(before) + main + "".join(after)
         if r.random() < 0.3:
             page = f'<div class="{r.choice(["wrapper", "page", "container"])}" data-y="1">{page}</div>'
-        head = f'<head data-y="0"><meta charset="utf-8"><title>{say(2, 9)}</title><style>p{{margin:0}}</style></head>'
+        head = f'<head data-y="0"><meta charset="utf-8"><title>{say(2, 9)}</title><style>p{{margin:0}}</style><script>track()</script></head>'
         out.append(f"<!DOCTYPE html><html>{head}<body>{page}</body></html>")
     return out
 
