@@ -22,12 +22,15 @@ def let(value: Column, body) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Strip leading/trailing whitespace (``trim`` only strips blanks)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace, Unicode's too (``trim`` only strips blanks)."""
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
 
 
-def nullif_empty(c: Column) -> Column:
-    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
+def contains_pattern(word: Column) -> Column:
+    """LIKE pattern ``%word%``: a backslash before anything but a wildcard or
+    another backslash stands for that character alone, as in PostgreSQL
+    (Spark refuses it)."""
+    return F.regexp_replace(F.concat(F.lit("%"), word, F.lit("%")), r"(\\[%_\\])|\\(.)", "$1$2")
 
 
 def title_case(c: Column | str) -> Column:

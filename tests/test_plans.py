@@ -45,7 +45,7 @@ def test_top_k_is_take_ordered(spark, q):
 def test_no_cartesian_products(spark, q, name):
     p = plan(q[name](spark, SF001))
     assert "CartesianProduct" not in p
-    assert "BroadcastNestedLoopJoin" not in p or name == "answer_questions"
+    assert "BroadcastNestedLoopJoin" not in p
 
 
 def test_parsers_stay_on_the_jvm(spark, q):
