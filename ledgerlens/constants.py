@@ -221,3 +221,6 @@ STRUCTURED_KEYWORDS = [
 QUESTION_CATEGORIES = ["food", "shopping", "transport", "travel"]
 SQL_FORBIDDEN = ["drop", "delete", "update", "insert", "alter", "truncate"]
 BAD_MERCHANTS = ["the", "a", "an"]
+
+# Functions by which a query could call into the JVM.
+JAVA_CALL_RE = r"\b(?:try_)?reflect\b|\bjava_method\b"

@@ -27,10 +27,6 @@ def _bounded_amount(num: Column) -> Column:
     return F.when(ok, num.cast("decimal(12,2)"))
 
 
-def has_amount(text: Column | str) -> Column:
-    return F.regexp(col_(text), F.lit(K.AMOUNT_RE))
-
-
 def extract_amount(text: Column | str) -> Column:
     """First ``INR``/``Rs`` amount, commas removed, kept when 0 < v <= 1e7."""
     return amount_from_capture(F.regexp_extract(col_(text), K.AMOUNT_RE, 1))

@@ -1,18 +1,23 @@
 """Transaction store and mapping-table maintenance as dataset-to-dataset jobs.
 
-No row-level storage engine is built: a table is a Parquet folder
-partitioned by ``txn_type`` (or a plain mapping folder) and every change
-is a versioned rewrite or an append.  Reads and joins stay declarative.
+No row-level storage engine is built: the transaction store is a Parquet
+folder partitioned by ``txn_type`` that is appended to, and every other
+change is a dataset-to-dataset job whose result is written as the table's
+next version and swapped in.  Reads and joins stay declarative.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.merchant import reclean
 from ledgerlens.functions.text import strip_ws
+from ledgerlens.session import stage
 
 TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "sub_category",
                "payment_method", "bank_name", "source", "raw_text", "embedding", "created_at"]
@@ -23,13 +28,15 @@ TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep one row per key: the first by ``order`` (ties broken by all columns).
 
-    ``min_by`` over a struct aggregates partially on the map side, so a key
-    holding a third of the rows is reduced per task before the shuffle.
+    A rank limited to one is cut per task before the shuffle, so a key that
+    holds a third of the rows moves one row per task.  The key is ranked as
+    one struct: rows already dealt by a part of it (a document) are dealt
+    anew by all of it.
     """
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    rank = F.struct(*order, *[F.col(c) for c in df.columns if c not in keys])
-    kept = df.groupBy(*keys).agg(F.min_by(payload, rank).alias("_row"))
-    return kept.select("_row.*")
+    key, rank = "_first_key", "_first_rank"
+    by = Window.partitionBy(key).orderBy(*order, *[F.col(c) for c in df.columns if c not in keys])
+    return (df.withColumn(key, F.struct(*keys)).withColumn(rank, F.row_number().over(by))
+            .filter(F.col(rank) == 1).select(*df.columns))
 
 
 def dedup_against_store(batch: DataFrame, store: DataFrame, order: list[Column] | None = None,
@@ -38,7 +45,7 @@ def dedup_against_store(batch: DataFrame, store: DataFrame, order: list[Column]
     duplicates keep the first row by ``order``.  Debits and credits are
     checked separately because ``txn_type`` is part of the key."""
     first = first_per_key(batch, list(keys), order or [F.col(keys[-1])])
-    return first.join(store.select(*keys).distinct(), list(keys), "left_anti")
+    return first.join(store.select(*keys), list(keys), "left_anti")
 
 
 # --- S11 / M5 / M6 ------------------------------------------------------------------------
@@ -67,9 +74,10 @@ def to_store_rows(parsed: DataFrame, created_at: str | Column | None = None) ->
 
 def append_transactions(rows: DataFrame, path: str) -> None:
     """Append to the store; one physical table partitioned by ``txn_type``
-    (debit = expenses, credit = credits), rows sorted by date within files
-    so Parquet min/max statistics prune date filters."""
-    (rows.sortWithinPartitions("txn_type", "txn_date")
+    (debit = expenses, credit = credits).  Rows are dealt by ranges of type
+    and date, so a file spans few dates and Parquet's min/max statistics let
+    a date filter skip files, not only row groups."""
+    (rows.repartitionByRange("txn_type", "txn_date").sortWithinPartitions("txn_type", "txn_date")
      .write.mode("append").partitionBy("txn_type").parquet(path))
 
 
@@ -77,8 +85,45 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def store_table(store: DataFrame, txn_type: str) -> DataFrame:
-    return store.filter(F.col("txn_type") == txn_type)
+# --- versioned tables ----------------------------------------------------------------------
+
+_COMMITS = "version long, n_rows long"
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The last committed version of a table, 0 if there is none."""
+    try:
+        return spark.read.schema(_COMMITS).parquet(f"{path}/commits").agg(F.max("version")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def save_version(df: DataFrame, path: str) -> int:
+    """Write ``df`` as the next version and swap it in.
+
+    The version's files are complete before its one-row commit is appended,
+    and readers take the last committed one, so a change is seen whole or
+    not at all and a failed job leaves the table as it was.
+    """
+    spark = df.sparkSession
+    version = current_version(spark, path) + 1
+    target = f"{path}/data/version={version}"
+    df.write.mode("overwrite").parquet(target)
+    n = spark.read.schema(df.schema).parquet(target).count()
+    spark.createDataFrame([(version, n)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return version
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A table as last committed, or as of an earlier version."""
+    return spark.read.parquet(f"{path}/data/version={version or current_version(spark, path)}")
+
+
+def change_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Run a dataset-to-dataset change on a table and swap in the result."""
+    return save_version(change(read_version(spark, path)), path)
 
 
 def delete_bad_rows(df: DataFrame) -> DataFrame:
@@ -93,12 +138,17 @@ def truncate_expenses(spark: SparkSession, path: str, schema) -> None:
 
 
 def drop_expenses(spark: SparkSession, path: str) -> None:
-    """Remove the debit partition folder (``DROP TABLE IF EXISTS`` for the
-    debit table); a missing folder is not an error."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/txn_type=debit")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path):
-        fs.delete(jvm_path, True)
+    """``DROP TABLE IF EXISTS`` for the debit table: the store is rewritten
+    with the credits only.  Written beside the store first, so the partition
+    overwrite reads nothing that it replaces; a missing table is no error."""
+    try:
+        store = read_store(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    credits = stage(store.filter(F.col("txn_type") == "credit"))
+    credits.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("txn_type").parquet(path)
 
 
 # --- S12 --------------------------------------------------------------------------------------
@@ -123,30 +173,36 @@ def publish_bi_views(spark: SparkSession, expenses: DataFrame, credits: DataFram
 # --- S10 --------------------------------------------------------------------------------------
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Mapping CSV -> rows with ``status`` ok / skipped and a reason.
+    """Mapping CSV files -> rows with ``status`` ok / skipped and a reason.
 
     Comment lines start with '#' (also when quoted, '"#'); the first other
-    line is the header, which names the columns.  Required: pattern, clean
-    name, category; priority must be an integer (default 0).
+    line of each file is its header, which names the columns.  Required:
+    pattern, clean name, category; priority must be an integer (0 where the
+    file has no such column).  Quoted values may hold line breaks; blank
+    lines are no rows.  ``line_no`` orders rows by file name, then place.
+
+    A mapping file is small and is one record stream by nature (a quote may
+    span lines), so each file is one row here and its records are split
+    with one regular expression.
     """
-    lines = (spark.read.text(path)
-             .select(F.col("value"), F.monotonically_increasing_id().alias("line_no"))
-             .filter(~F.col("value").rlike(r'^"?#')))
-    header_row = lines.orderBy("line_no").select("value").first()
-    if header_row is None:
-        return spark.createDataFrame([], "raw_pattern string, clean_name string, category string, "
-                                         "sub_category string, priority int, line_no long, status string")
-    names = [h.strip() for h in header_row[0].split(",")]
-    header_no = lines.filter(F.col("value") == header_row[0]).agg(F.min("line_no")).first()[0]
-    ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    parsed = (lines.filter(F.col("line_no") > header_no)
-              .select("line_no", F.from_csv(F.col("value"), ddl).alias("r")))
-
-    def field(name: str, default: str | None = "") -> Column:
-        if name in names:
-            v = F.col(f"r.c{names.index(name)}")
-            return F.coalesce(v, F.lit(default)) if default is not None else v
-        return F.lit(default)
+    files = (spark.read.text(path, wholetext=True)
+             .select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value")))
+    # A record ends at a line break outside quotes.
+    record = r'((?:[^"\n]++|"(?:[^"]++|"")*+")++)'
+    records = (files.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(record), 1)).alias("at", "value"))
+               .filter(~F.col("value").rlike(r'^"?#') & (F.regexp_replace("value", r"\s", "") != "")))
+    heads = records.groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
+    names_of = F.transform(F.split("h.value", ","), lambda h: F.lower(strip_ws(F.regexp_replace(h, '"', ""))))
+    wide = 16  # columns that a mapping file may have
+    ddl = ", ".join(f"`c{i}` string" for i in range(wide))
+    parsed = (records.join(heads, "file").filter(F.col("at") > F.col("h.at"))
+              .select("file", "at", names_of.alias("names"), F.from_csv(F.col("value"), ddl, {"multiLine": "true"}).alias("r")))
+    values = F.array(*[F.col(f"r.c{i}") for i in range(wide)])
+    parsed = parsed.select("names", values.alias("values"), F.struct("file", "at").alias("line_no"))
+
+    def field(name: str, default: str = "") -> Column:
+        at = F.array_position("names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.coalesce(F.try_element_at("values", at), F.lit(""))).otherwise(F.lit(default))
 
     pattern = F.lower(strip_ws(field("raw_pattern")))
     clean = strip_ws(field("clean_name"))
@@ -162,6 +218,24 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
         F.when(pri_ok, pri_raw.try_cast("int")).alias("priority"), "line_no", status.alias("status"))
 
 
+def number_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with its position (from 1) by ``order`` as column ``out``, without one window over everything.
+
+    Rows are sorted in ranges and numbered inside them; only the ranges'
+    sizes are added up in one place.
+    """
+    pid, inside = "_range", "_inside"
+    dealt = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(pid, F.spark_partition_id()))
+    local = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(pid).orderBy(*order)))
+    sizes = dealt.groupBy(pid).agg(F.count("*").alias("n")).collect()  # a row per partition
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r[pid]] = total
+        total += r["n"]
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col(pid)] if before else F.lit(0)
+    return local.withColumn(out, (F.col(inside) + base).cast("int")).drop(pid, inside)
+
+
 # --- M1 / M2 / M3 -------------------------------------------------------------------------------
 
 def upsert_mappings(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
@@ -183,12 +257,12 @@ def upsert_mappings(existing: DataFrame, incoming: DataFrame, as_of: str) -> Dat
                  F.min("line_no").alias("first_line")))
     ex = existing.select("id", "raw_pattern", "clean_name", "category", "sub_category", "priority",
                          "created_at", "updated_at")
-    j = ex.alias("e").join(last.alias("n"), "raw_pattern", "full_outer")
+    new = number_rows(last.join(ex.select("raw_pattern"), "raw_pattern", "left_anti").select("raw_pattern", "first_line"), ["first_line", "raw_pattern"], "new_rank")
+    j = ex.alias("e").join(last.alias("n"), "raw_pattern", "full_outer").join(new.select("raw_pattern", "new_rank"), "raw_pattern", "left")
     # One scalar from a dimension table: the next free id.
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new_rank = F.row_number().over(Window.partitionBy(F.col("e.id").isNull()).orderBy("n.first_line"))
     staged = j.select(
-        "raw_pattern", F.col("e.id").alias("old_id"), new_rank.alias("new_rank"),
+        "raw_pattern", F.col("e.id").alias("old_id"), "new_rank",
         F.coalesce(F.col("n.v.clean_name"), F.col("e.clean_name")).alias("clean_name"),
         F.coalesce(F.col("n.v.category"), F.col("e.category")).alias("category"),
         F.coalesce(F.col("n.v.sub_category"), F.col("e.sub_category")).alias("sub_category"),
@@ -205,6 +279,15 @@ def lookup_mapping(mappings: DataFrame, pattern: str) -> DataFrame:
     return mappings.filter(F.col("raw_pattern") == pattern.lower().strip())
 
 
+def import_report(parsed: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row: patterns added, patterns updated and rows skipped by an import of ``parsed`` rows."""
+    ok = parsed.filter(F.col("status") == "ok").select("raw_pattern").distinct()
+    known = ok.join(existing.select("raw_pattern", F.lit(True).alias("known")), "raw_pattern", "left")
+    counts = known.agg(F.count_if(F.col("known").isNull()).alias("added"), F.count_if(F.col("known")).alias("updated"))
+    skipped = parsed.agg(F.count_if(F.col("status") != "ok").alias("skipped"))
+    return counts.select("added", "updated", F.lit(0).alias("k")).join(skipped.withColumn("k", F.lit(0)), "k").drop("k")
+
+
 def delete_mapping(mappings: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
     """Remaining mappings and a one-row frame telling whether it existed."""
     key = pattern.lower().strip()

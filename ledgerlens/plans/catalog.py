@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import merchant as M
@@ -50,18 +50,26 @@ def as_double(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-_MATERIALIZED: dict[tuple, str] = {}
+_RENDERED: dict[tuple, str] = {}
+_RENDER_FROM = ("lineitem", "orders", "part")
+
+
+def _table_state(spark, sf):
+    """Names, sizes and times of the files that inputs are rendered from."""
+    return tuple(tuple(r) for t in _RENDER_FROM for r in S.read_table(spark, sf, t).select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect())
 
 
 def materialized(spark, sf, name, build):
-    """Write a derived input once per session (under the shared checkpoint
-    folder) and read it back - statements arrive as extracted files."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MATERIALIZED:
+    """An input rendered from the driver tables: messages, mail and statements
+    arrive as exported files, so it is written once (under the shared
+    checkpoint folder) and read back.  Changed tables are rendered anew."""
+    key = (spark.sparkContext.applicationId, sf, name, _table_state(spark, sf))
+    if key not in _RENDERED:
         path = _scratch(spark, name)
-        build().write.parquet(path)
-        _MATERIALIZED[key] = path
-    return spark.read.parquet(_MATERIALIZED[key])
+        build().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # exports come as many files
+        _RENDERED[key] = path
+    return spark.read.parquet(_RENDERED[key])
 
 
 def _scratch(spark, name):
@@ -145,20 +153,17 @@ def q_ilike_filters(spark, sf):
 
 @register("missing_merchant")
 def q_missing_merchant(spark, sf):
-    return as_double(R.missing_merchant(_exp(spark, sf)).select("source", "txn_date", "amount", "merchant"),
-                     "amount")
+    return as_double(R.missing_merchant(_all_txn(spark, sf)).select("table_name", "source", "txn_date", "amount", "merchant"), "amount")
 
 
 @register("uncategorised")
 def q_uncategorised(spark, sf):
-    return as_double(R.uncategorised(_exp(spark, sf)).select("source", "txn_date", "amount", "category"),
-                     "amount")
+    return as_double(R.uncategorised(_all_txn(spark, sf)).select("table_name", "source", "txn_date", "amount", "category"), "amount")
 
 
 @register("empty_sub_category")
 def q_empty_sub_category(spark, sf):
-    return as_double(R.empty_sub_category(_exp(spark, sf)).select("source", "txn_date", "amount", "sub_category"),
-                     "amount")
+    return as_double(R.empty_sub_category(_all_txn(spark, sf)).select("table_name", "source", "txn_date", "amount", "sub_category"), "amount")
 
 
 @register("review_backlog")
@@ -286,8 +291,7 @@ def q_parse_amount(spark, sf):
 
 @register("is_transaction_message")
 def q_is_transaction_message(spark, sf):
-    d = S.read_table(spark, sf, "documents")
-    return d.select("doc_id", P.is_transaction_message("text").alias("is_txn"))
+    return S.documents(spark, sf).select("doc_id", P.is_transaction_message("text").alias("is_txn"))
 
 
 # --- mail export chain ------------------------------------------------------------------
@@ -349,7 +353,8 @@ def q_categorize_fallback(spark, sf):
 
 @register("apply_mappings")
 def q_apply_mappings(spark, sf):
-    df = RU.apply_mappings(_all_txn(spark, sf), FX.test_mappings(spark))
+    df = _changed(spark, "transactions", _all_txn(spark, sf).select("table_name", "source", "merchant", "category", "sub_category"),
+                  lambda t: RU.apply_mappings(t, FX.test_mappings(spark)))
     return df.select("table_name", "source", "merchant", "category", "sub_category",
                      F.size("hits").alias("n_hits"))
 
@@ -393,7 +398,8 @@ def q_publish_bi_views(spark, sf):
 
 @register("delete_bad_rows")
 def q_delete_bad_rows(spark, sf):
-    return as_double(ST.delete_bad_rows(_exp(spark, sf)).select("source", "amount"), "amount")
+    rows = _changed(spark, "expenses", _exp(spark, sf).select("source", "amount", "merchant"), ST.delete_bad_rows)
+    return as_double(rows.select("source", "amount"), "amount")
 
 
 def _mapping_csv(spark, sf) -> str:
@@ -419,9 +425,17 @@ def q_read_mapping_csv(spark, sf):
     return df.select("raw_pattern", "clean_name", "category", "sub_category", "priority", "status")
 
 
+def _changed(spark, name, table, change):
+    """``table`` stored, changed by a versioned rewrite, and read back."""
+    path = scratch_path(spark, name)
+    ST.save_version(table, path)
+    ST.change_table(spark, path, change)
+    return ST.read_version(spark, path)
+
+
 def _upserted(spark, sf):
     rows = ST.read_mapping_csv(spark, _mapping_csv(spark, sf)).filter(F.col("status") == "ok")
-    return ST.upsert_mappings(FX.test_mappings(spark), rows, as_of=AS_OF)
+    return _changed(spark, "mappings", FX.test_mappings(spark), lambda t: ST.upsert_mappings(t, rows, as_of=AS_OF))
 
 
 @register("upsert_mappings")
@@ -436,8 +450,9 @@ def q_lookup_mapping(spark, sf):
 
 @register("delete_mapping")
 def q_delete_mapping(spark, sf):
-    remaining, _ = ST.delete_mapping(_upserted(spark, sf), "GEAR")
-    return remaining.select("id", "raw_pattern")
+    existed = ST.delete_mapping(_upserted(spark, sf), "GEAR")[1]
+    remaining = _changed(spark, "mappings", _upserted(spark, sf), lambda t: ST.delete_mapping(t, "GEAR")[0])
+    return remaining.select("id", "raw_pattern", existed.select("existed").scalar().alias("existed"))
 
 
 def _raw_merchants(spark, sf):
@@ -448,7 +463,8 @@ def _raw_merchants(spark, sf):
 
 @register("reclean_existing")
 def q_reclean_existing(spark, sf):
-    return ST.reclean_existing(_raw_merchants(spark, sf)).select("source", "old_merchant", "merchant", "change")
+    rows = _changed(spark, "raw-merchants", _raw_merchants(spark, sf), ST.reclean_existing)
+    return rows.select("source", "old_merchant", "merchant", "change")
 
 
 @register("reclean_counts")
@@ -478,7 +494,7 @@ def q_semantic_search_unfiltered(spark, sf):
 
 @register("semantic_search_batch")
 def q_semantic_search_batch(spark, sf):
-    emb = S.spread(S.read_table(spark, sf, "embeddings"))
+    emb = S.read_table(spark, sf, "embeddings")
     queries = V.centroids(emb, "label").withColumnRenamed("label", "query_id")
     out = V.semantic_search_batch(emb, queries)
     return out.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"))
@@ -486,7 +502,7 @@ def q_semantic_search_batch(spark, sf):
 
 @register("embed_transactions")
 def q_embed_transactions(spark, sf):
-    txn = S.spread(S.bound_transactions(spark, sf))
+    txn = S.bound_transactions(spark, sf)
     e = V.embed_transactions(txn, dim=64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, v: a + v * v))
     return e.select("source", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
@@ -495,7 +511,7 @@ def q_embed_transactions(spark, sf):
 # --- questions ----------------------------------------------------------------------------------
 
 def _user_questions(spark, sf):
-    c = S.read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = S.conversations(spark, sf).filter(F.col("role") == "user")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
 
 
@@ -526,7 +542,7 @@ def q_guarded_sql(spark, sf):
 
 
 def _conv(spark, sf):
-    return S.read_table(spark, sf, "conversations")
+    return S.conversations(spark, sf)
 
 
 @register("strip_code_fence")
@@ -551,7 +567,7 @@ def q_pattern_candidates(spark, sf):
 
 @register("suggest_pattern")
 def q_suggest_pattern(spark, sf):
-    j = S._lineitem_part(spark, sf, text_heavy=True)
+    j = S._lineitem_part(spark, sf)
     return j.select(S._source_key().alias("message_id"),
                     QA.suggest_pattern(S.alert_text_expr(), F.initcap("p_name")).alias("pattern"))
 
@@ -559,7 +575,7 @@ def q_suggest_pattern(spark, sf):
 # --- documents ------------------------------------------------------------------------------------
 
 def _docs(spark, sf):
-    return S.spread(S.read_table(spark, sf, "documents"))
+    return S.documents(spark, sf)
 
 
 @register("redact_pii")
@@ -641,7 +657,7 @@ def q_installment_section_flag(spark, sf):
 
 @register("statement_year")
 def q_statement_year(spark, sf):
-    return SM.statement_facts(SS.statement_lines(_stmt_text(spark, sf)), AS_OF_YEAR).select("doc", "year", "end_month")
+    return SM.statement_facts(_stmt_text(spark, sf), AS_OF_YEAR).select("doc", "year", "end_month")
 
 
 @register("first_occurrence")
@@ -665,26 +681,20 @@ def _history(spark, sf):
     return S.bound_transactions(spark, sf).filter(F.col("txn_date") < F.lit("1995-01-01").cast("timestamp_ntz"))
 
 
-_RUNS: dict[tuple, object] = {}
-
-
-def _once(spark, sf, name, build):
-    """One pipeline run per session: its saved rows and its summary come
-    from the same staged batch, as in a real ingest run."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _RUNS:
-        _RUNS[key] = build()
-    return _RUNS[key]
+def _alert_run(spark, sf):
+    return PL.alert_pipeline(_payloads(spark, sf), _history(spark, sf), FX.test_mappings(spark), created_at=AS_OF)
 
 
-def _alert_run(spark, sf):
-    return _once(spark, sf, "alert-run", lambda: PL.alert_pipeline(
-        _payloads(spark, sf), _history(spark, sf), FX.test_mappings(spark), created_at=AS_OF))
+def _appended(spark, result):
+    """The rows that a run added to a store, read back from it."""
+    path = scratch_path(spark, "ingest")
+    PL.append_result(result, path)
+    return ST.read_store(spark, path)
 
 
 @register("alert_pipeline")
 def q_alert_pipeline(spark, sf):
-    return as_double(_alert_run(spark, sf).saved.select(*_PIPE_COLS), "amount")
+    return as_double(_appended(spark, _alert_run(spark, sf)).select(*_PIPE_COLS), "amount")
 
 
 @register("ingest_summary")
@@ -693,10 +703,6 @@ def q_ingest_summary(spark, sf):
 
 
 def _statement_run(spark, sf):
-    return _once(spark, sf, "statement-run", lambda: _statement_run_build(spark, sf))
-
-
-def _statement_run_build(spark, sf):
     t, p = _stmt_tables(spark, sf), _stmt_text(spark, sf)
     parsed = materialized(spark, sf, "stmt-parsed", lambda: SM.parse_statements(t, p, AS_OF_YEAR)[0])
     store = parsed.filter(F.col("txn_date") < F.lit("1995-01-01").cast("timestamp_ntz"))
@@ -706,7 +712,7 @@ def _statement_run_build(spark, sf):
 
 @register("statement_pipeline")
 def q_statement_pipeline(spark, sf):
-    return as_double(_statement_run(spark, sf).saved.select(*_PIPE_COLS), "amount")
+    return as_double(_appended(spark, _statement_run(spark, sf)).select(*_PIPE_COLS), "amount")
 
 
 @register("statement_ingest_summary")
@@ -796,11 +802,7 @@ def q_category_rank(spark, sf):
 @register("mapping_order")
 def q_mapping_order(spark, sf):
     """T-3: mappings by priority desc, id asc, with the listing position."""
-
-    m = _upserted(spark, sf)
-    # The mapping table is a small dimension: one ordered partition is fine.
-    pos = F.row_number().over(Window.orderBy(F.col("priority").desc(), F.col("id").asc()))
-    return m.select("id", "raw_pattern", "priority", pos.alias("position"))
+    return R.mapping_order(_upserted(spark, sf)).select("id", "raw_pattern", "priority", "position")
 
 
 def _store_with_both(spark, sf):

@@ -94,8 +94,10 @@ def apply_category_overrides(txns: DataFrame, overrides: DataFrame, mappings: Da
     table, broadcast by AQE when small); other rows keep the rule result."""
     from ledgerlens.operators.rules import categorize
 
-    ov = overrides.select(F.lower("merchant").alias("_om"), F.col("category").alias("_oc"),
-                          F.coalesce(F.col("sub_category"), F.lit("")).alias("_os"))
+    # One correction per merchant: of several the greatest (category, sub-category), so rows never multiply.
+    ov = (overrides.groupBy(F.lower("merchant").alias("_om"))
+          .agg(F.max(F.struct("category", F.coalesce("sub_category", F.lit("")).alias("sub"))).alias("o"))
+          .select("_om", F.col("o.category").alias("_oc"), F.col("o.sub").alias("_os")))
     base = categorize(txns.withColumn("_key", F.lower(F.coalesce("merchant", F.lit("")))), mappings)
     j = base.join(ov, base["_key"] == ov["_om"], "left")
     return j.select(

@@ -12,6 +12,8 @@ WITH txn AS (
          CAST(l_extendedprice AS DECIMAL(12,2)) AS amount,
          'INR' AS currency,
          CASE WHEN l_linenumber = 7 THEN NULL
+              WHEN l_linenumber = 5 AND day(l_shipdate) = 1 THEN 'City Rent'
+              WHEN l_linenumber = 6 AND l_suppkey % 4 = 2 THEN 'the'
               WHEN l_linenumber = 6 AND l_suppkey % 4 = 0 THEN ''
               WHEN l_linenumber = 6 AND l_suppkey % 4 = 1 THEN 'Unknown'
               ELSE p_name END AS merchant,
@@ -32,6 +34,19 @@ credits AS (SELECT * FROM txn WHERE txn_type = 'credit')
 ORACLES: dict[str, str] = {}
 
 
+def _sayings() -> str:
+    """``conversations`` as ``ledgerlens.sources.tables.conversations`` binds it."""
+    from ledgerlens.sources.tables import SAYINGS
+
+    cases = " ".join(f"WHEN {k} THEN '" + v.replace("\n", "' || chr(10) || '") + "'" for k, v in SAYINGS.items())
+    return f"(SELECT conv_id, turn, role, CASE (conv_id + turn) % 20 {cases} ELSE text END AS text FROM conversations)"
+
+
+CONVERSATIONS = _sayings()
+DOCUMENTS = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' A/c HDFC4**1234 debited INR 5, PIN ' ||
+  lpad(CAST(doc_id % 1000000 AS VARCHAR), 6, '7') || ' Ref# 12' ELSE text END AS text FROM documents)"""
+
+
 def oracle(name: str, body: str) -> None:
     ORACLES[name] = TXN_CTE + body
 
@@ -43,10 +58,13 @@ FROM expenses GROUP BY 1
 """)
 
 oracle("category_spend", """
-SELECT ROW_NUMBER() OVER (ORDER BY total_spent DESC, category ASC) AS row_id, category,
-       CAST(total_spent AS DOUBLE) AS total_spent, txn_count
-FROM (SELECT COALESCE(category, 'Other') AS category, SUM(amount) AS total_spent, COUNT(*) AS txn_count
-      FROM expenses GROUP BY 1) sub
+, per_category AS (
+  SELECT CASE WHEN category IS NULL THEN 'Other' ELSE category END AS name, COUNT(*) AS n, SUM(amount) AS spent
+  FROM expenses GROUP BY ALL)
+SELECT p.name AS category, CAST(p.spent AS DOUBLE) AS total_spent, p.n AS txn_count,
+       1 + (SELECT COUNT(*) FROM per_category q
+            WHERE q.spent > p.spent OR (q.spent = p.spent AND q.name < p.name)) AS row_id
+FROM per_category p
 """)
 
 oracle("top_merchants", """
@@ -57,12 +75,11 @@ GROUP BY 1 ORDER BY SUM(amount) DESC, merchant ASC LIMIT 20
 """)
 
 oracle("income_vs_expense", """
-SELECT month, CAST(COALESCE(expenses, 0) AS DOUBLE) AS expenses, CAST(COALESCE(income, 0) AS DOUBLE) AS income,
-       CAST(COALESCE(income, 0) - COALESCE(expenses, 0) AS DOUBLE) AS net
-FROM (SELECT CAST(date_trunc('month', txn_date) AS DATE) AS month, SUM(amount) AS expenses
-      FROM expenses GROUP BY 1) e
-FULL OUTER JOIN (SELECT CAST(date_trunc('month', txn_date) AS DATE) AS month, SUM(amount) AS income
-                 FROM credits GROUP BY 1) c USING (month)
+SELECT CAST(date_trunc('month', txn_date) AS DATE) AS month,
+       CAST(SUM(CASE WHEN txn_type = 'debit' THEN amount ELSE 0 END) AS DOUBLE) AS expenses,
+       CAST(SUM(CASE WHEN txn_type = 'debit' THEN 0 ELSE amount END) AS DOUBLE) AS income,
+       CAST(SUM(CASE WHEN txn_type = 'debit' THEN -amount ELSE amount END) AS DOUBLE) AS net
+FROM txn GROUP BY 1
 """)
 
 oracle("quality_report", """
@@ -124,17 +141,20 @@ WHERE merchant ILIKE '%gear%' AND category ILIKE '%m%' AND txn_date >= TIMESTAMP
 """)
 
 oracle("missing_merchant", """
-SELECT source, txn_date, CAST(amount AS DOUBLE) AS amount, merchant FROM expenses
+SELECT CASE txn_type WHEN 'debit' THEN 'expenses' ELSE 'credits' END AS table_name, source, txn_date,
+       CAST(amount AS DOUBLE) AS amount, merchant FROM txn
 WHERE merchant IS NULL OR merchant = ''
 """)
 
 oracle("uncategorised", """
-SELECT source, txn_date, CAST(amount AS DOUBLE) AS amount, category FROM expenses
+SELECT CASE txn_type WHEN 'debit' THEN 'expenses' ELSE 'credits' END AS table_name, source, txn_date,
+       CAST(amount AS DOUBLE) AS amount, category FROM txn
 WHERE category = 'Other' OR category IS NULL
 """)
 
 oracle("empty_sub_category", """
-SELECT source, txn_date, CAST(amount AS DOUBLE) AS amount, sub_category FROM expenses
+SELECT CASE txn_type WHEN 'debit' THEN 'expenses' ELSE 'credits' END AS table_name, source, txn_date,
+       CAST(amount AS DOUBLE) AS amount, sub_category FROM txn
 WHERE sub_category IS NULL OR sub_category = ''
 """)
 
@@ -304,7 +324,7 @@ SELECT o_orderkey, amount_text, CASE WHEN x > 0 AND x <= 10000000 THEN ROUND(x,
 _TXN_KEYWORDS = ["debited", "credited", "upi txn", "rs.", "inr", "a/c", "account"]
 ORACLES["is_transaction_message"] = (
     "SELECT doc_id, (" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INTEGER)" for k in _TXN_KEYWORDS)
-    + ") >= 2 AS is_txn FROM documents"
+    + f") >= 2 AS is_txn FROM {DOCUMENTS}"
 )
 
 alert_oracle("decode_mime_body", """
@@ -333,11 +353,7 @@ WITH s1 AS (
          regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
                         '(?:<[^>]*>)+', ' ', 'g') AS t
   FROM pages),
-s2 AS (
-  SELECT page_id, html,
-         replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
-                 '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t
-  FROM s1)
+s2 AS (SELECT page_id, html, ~ENTITIES~ AS t FROM s1)
 SELECT page_id, CASE WHEN contains(lower(html), '<html') THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE html END
        AS text
 FROM s2
@@ -491,7 +507,7 @@ def _q(s: str) -> str:  # noqa: F811 - same helper, defined before use here
 
 ORACLES["upsert_mappings"] = _upsert_sql() + "SELECT * FROM u"
 ORACLES["lookup_mapping"] = _upsert_sql() + "SELECT id, raw_pattern, clean_name FROM u WHERE raw_pattern = 'blue widget'"
-ORACLES["delete_mapping"] = _upsert_sql() + "SELECT id, raw_pattern FROM u WHERE raw_pattern <> 'gear'"
+ORACLES["delete_mapping"] = _upsert_sql() + "SELECT id, raw_pattern, true AS existed FROM u WHERE raw_pattern <> 'gear'"
 
 _RECLEAN = """
 , r AS (
@@ -526,7 +542,7 @@ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, ROUND(distance, 4) AS di
 oracle("embed_transactions", "SELECT source, 64 AS dims, 1.0 AS norm FROM txn")
 
 _QUESTIONS = r"""
-, q AS (SELECT conv_id * 1000 + turn AS question_id, lower(text) AS t FROM conversations WHERE role = 'user'),
+, q AS (SELECT conv_id * 1000 + turn AS question_id, lower(text) AS t FROM ~CONV~ WHERE role = 'user'),
 w AS (SELECT *, string_split_regex(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+') AS words FROM q),
 f AS (
   SELECT question_id,
@@ -565,15 +581,15 @@ def _question_oracles() -> None:
     ORACLES["route_questions"] = (
         "SELECT conv_id * 1000 + turn AS question_id, CASE WHEN "
         + _any_contains("lower(text)", K.STRUCTURED_KEYWORDS)
-        + " THEN 'sql' ELSE 'semantic' END AS route FROM conversations WHERE role = 'user'")
+        + f" THEN 'sql' ELSE 'semantic' END AS route FROM {CONVERSATIONS} WHERE role = 'user'")
     ORACLES["is_structured_question"] = (
         "SELECT conv_id, turn, " + _any_contains("lower(text)", K.STRUCTURED_KEYWORDS)
-        + " AS structured FROM conversations")
+        + f" AS structured FROM {CONVERSATIONS}")
     ORACLES["is_safe_select"] = (
-        r"WITH c AS (SELECT conv_id, turn, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM conversations) "
+        r"WITH c AS (SELECT conv_id, turn, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM ~CONV~) " +
         "SELECT conv_id, turn, starts_with(q, 'select') AND NOT " + _any_contains("q", K.SQL_FORBIDDEN)
         + " AS safe FROM c")
-    ORACLES["redact_pii"] = "SELECT doc_id, " + _redact_chain(K.PII_RULES) + " AS text FROM documents"
+    ORACLES["redact_pii"] = "SELECT doc_id, " + _redact_chain(K.PII_RULES) + f" AS text FROM {DOCUMENTS}"
 
 
 def _redact_chain(rules) -> str:
@@ -589,7 +605,7 @@ oracle("guarded_sql", "SELECT category, CAST(SUM(amount) AS DOUBLE) AS total FRO
 
 ORACLES["strip_code_fence"] = r"""
 SELECT conv_id, turn, regexp_replace(regexp_replace(text, '```(?:sql)?', '', 'g'), '^\s+|\s+$', '', 'g') AS sql
-FROM conversations
+FROM ~CONV~
 """
 
 alert_oracle("suggest_pattern", """
@@ -606,13 +622,15 @@ FROM s
 ORACLES["row_hash"] = """
 SELECT doc_id, substr(sha256(text), 1, 16) AS row_hash,
        'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source
-FROM documents
+FROM ~DOCS~
 """
 
 ORACLES["embedding_text"] = ALERT_CTE + """
 SELECT message_id AS source,
        concat_ws(' ',
-         NULLIF(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_suppkey % 4 = 0 THEN ''
+         NULLIF(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 5 AND day(l_shipdate) = 1 THEN 'City Rent'
+                     WHEN l_linenumber = 6 AND l_suppkey % 4 = 2 THEN 'the'
+                     WHEN l_linenumber = 6 AND l_suppkey % 4 = 0 THEN ''
                      WHEN l_linenumber = 6 AND l_suppkey % 4 = 1 THEN 'Unknown' ELSE p_name END, ''),
          NULLIF(CASE p_type WHEN 'STANDARD' THEN NULL WHEN 'PROMO' THEN 'Other' ELSE p_type END, ''),
          NULLIF(CASE l_linenumber % 4 WHEN 0 THEN 'UPI' WHEN 1 THEN 'CREDIT CARD' WHEN 2 THEN 'NEFT' ELSE '' END, ''),
@@ -925,7 +943,7 @@ SELECT id, raw_pattern, priority, ROW_NUMBER() OVER (ORDER BY priority DESC, id
 oracle("truncate_expenses", "SELECT txn_type, source, CAST(amount AS DOUBLE) AS amount FROM credits")
 oracle("drop_expenses", "SELECT txn_type, source, CAST(amount AS DOUBLE) AS amount FROM credits")
 ORACLES["source_key"] = """
-SELECT doc_id, 'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source FROM documents
+SELECT doc_id, 'pdf:doc-' || CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16) AS source FROM ~DOCS~
 """
 
 # Candidates per alert shape: payment phrase, upper-case runs (card mask,
@@ -938,3 +956,17 @@ SELECT message_id,
                  ELSE ['xx' || card, p_name] END AS candidates
 FROM alerts
 """)
+
+
+
+def _entities() -> str:
+    out = "t"
+    # A reference by number is in none of the pages; the named ones are replaced in the operator's order.
+    for name, char in [("&#39;", "'"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]:
+        out = f"replace({out}, {_q(name)}, {_q(char)})"
+    return out
+
+
+ORACLES["html_to_text"] = ORACLES["html_to_text"].replace("~ENTITIES~", _entities())
+for _name, _sql in ORACLES.items():
+    ORACLES[_name] = _sql.replace("~CONV~", CONVERSATIONS).replace("~DOCS~", DOCUMENTS)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
+from ledgerlens.operators.store import number_rows
 
 
 # Columns appended to every user-facing order so ties (repeated source keys)
@@ -254,7 +255,9 @@ def latest_records(expenses: DataFrame, n: int = 5) -> DataFrame:
 
 
 def mapping_order(mappings: DataFrame) -> DataFrame:
-    return mappings.orderBy(F.col("priority").desc(), F.col("id").asc())
+    """Mappings by priority desc, id asc, with the listing ``position``."""
+    ranked = number_rows(mappings.withColumn("_down", -F.col("priority")), ["_down", "id"], "position")
+    return ranked.drop("_down")
 
 
 def review_page(expenses: DataFrame, credits: DataFrame, page: int,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.parsing import is_transaction_message
-from ledgerlens.functions.text import col_, strip_ws
+from ledgerlens.functions.text import col_, let, strip_ws
 from ledgerlens.schemas import RAW_PAYLOAD
 
 
@@ -27,26 +27,52 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 # --- S4 / S5 ------------------------------------------------------------------------
 
 def _b64url_text(data: Column) -> Column:
-    """URL-safe base64 (padding optional) -> text; bad bytes are dropped."""
-    raw = F.unbase64(F.translate(data, "-_", "+/"))
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    """URL-safe base64 (padding optional) -> text; bad bytes are dropped,
+    data that is no base64 at all gives NULL."""
+    bare = F.rtrim(F.translate(F.regexp_replace(data, r"[\s=]", ""), "-_", "+/"))
+    padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
+    raw = F.try_to_binary(padded, F.lit("base64"))
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def decode_mime_body(payload: Column | str = "payload") -> Column:
     """Concatenate text/plain and text/html parts in part order (top level
-    only); with no parts, decode the payload body."""
+    only); with no parts, decode the payload body.  NULL if any wanted part
+    can't be decoded."""
     p = col_(payload)
     wanted = F.filter(p["parts"], lambda x: x["mimeType"].isin("text/plain", "text/html")
                       & x["body"]["data"].isNotNull() & (x["body"]["data"] != ""))
-    from_parts = F.array_join(F.transform(wanted, lambda x: _b64url_text(x["body"]["data"])), "")
+    texts = F.transform(wanted, lambda x: _b64url_text(x["body"]["data"]))
+    from_parts = let(texts, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), F.array_join(t, "")))
     body_data = p["body"]["data"]
     from_body = F.when(body_data.isNotNull() & (body_data != ""), _b64url_text(body_data)).otherwise(F.lit(""))
     has_parts = p["parts"].isNotNull() & (F.size(p["parts"]) > 0)
     return F.when(has_parts, from_parts).otherwise(from_body)
 
 
-# Entities decoded after tag removal (fixed set).
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Named entities decoded after tag removal (fixed set); '&amp;' comes last, so what it spells stays text.
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"),
+             ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&bull;", "\u2022"),
+             ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&euro;", "\u20ac"), ("&pound;", "\u00a3"),
+             ("&yen;", "\u00a5"), ("&cent;", "\u00a2"), ("&deg;", "\u00b0"), ("&times;", "\u00d7"), ("&amp;", "&")]
+_NUMERIC = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _code_point(ref: Column) -> Column:
+    """The character of a numeric reference; U+FFFD for none."""
+    hexed = F.regexp_extract(ref, r"(?i)x([0-9a-f]+)", 1)
+    n = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(ref, r"([0-9]+)", 1)).cast("int")
+    utf32 = F.unhex(F.lpad(F.hex(n), 8, "0"))
+    valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def _numeric_refs(t: Column) -> Column:
+    """Numeric character references decoded: the pieces between them and the references take turns."""
+    refs = F.regexp_extract_all(t, F.lit(f"({_NUMERIC})"), 0)
+    pieces = F.split(t, _NUMERIC, -1)
+    both = F.zip_with(pieces, refs, lambda p, r: F.concat(p, F.when(r.isNotNull(), _code_point(r)).otherwise(F.lit(""))))
+    return F.when(t.contains("&#"), F.array_join(both, "")).otherwise(t)
 
 
 def strip_html(body: Column | str) -> Column:
@@ -54,6 +80,7 @@ def strip_html(body: Column | str) -> Column:
     common entities decoded; outer whitespace stripped."""
     t = F.regexp_replace(col_(body), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?:<[^>]*>)+", " ")
+    t = _numeric_refs(t)
     for ent, ch in _ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     return strip_ws(t)
@@ -83,18 +110,21 @@ def resolve_bank(sender_col: Column | str) -> Column:
 
 def message_records(payloads: DataFrame, keep_all: bool = False) -> DataFrame:
     """RAW_MESSAGE rows (source, message_id, timestamp, raw_text, bank_name)
-    for payloads whose decoded text looks like a transaction alert."""
-    text = html_to_text(decode_mime_body(F.col("payload")))
-    out = payloads.select(
-        F.lit("gmail").alias("source"),
-        F.col("id").alias("message_id"),
-        F.col("internalDate").alias("timestamp"),
-        text.alias("raw_text"),
-        resolve_bank(sender(F.col("payload"))).alias("bank_name"),
-    )
+    for payloads whose decoded text looks like a transaction alert.
+
+    A body that can't be decoded has NULL ``raw_text`` and stays: it ends as
+    a failed message, not as a failed job.  Body and text each pass a
+    one-element generator, below which no filter is pushed, so a body is
+    decoded once however often the text is looked at.
+    """
+    cols = [F.lit("gmail").alias("source"), F.col("id").alias("message_id"), F.col("internalDate").alias("timestamp"),
+            resolve_bank(sender(F.col("payload"))).alias("bank_name")]
+    body = payloads.select(*cols, F.explode(F.array(decode_mime_body(F.col("payload")))).alias("body"))
+    text = body.select("source", "message_id", "timestamp", "bank_name", F.explode(F.array(html_to_text("body"))).alias("raw_text"))
+    out = text.select("source", "message_id", "timestamp", "raw_text", "bank_name")
     if keep_all:
         return out.withColumn("is_transaction", is_transaction_message("raw_text"))
-    return out.filter(is_transaction_message("raw_text"))
+    return out.filter(F.coalesce(is_transaction_message("raw_text"), F.lit(True)))
 
 
 # --- S2 / S3 --------------------------------------------------------------------------------

@@ -8,13 +8,9 @@ that every parser job reads data whose size grows with the tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SF_DIR = os.environ.get("LEDGERLENS_SF_DIR", "/root/testdata/sf0.01")
-
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -26,38 +22,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (regex parsing, hashing) one task per core.
-
-    A scan yields one task per file split / row group.  On a cluster
-    reading many files that is far more than the core count and this is a
-    no-op; a small input stored as one row group would otherwise run in
-    a single task, so it is spread round-robin over the default
-    parallelism (one cheap shuffle of the input).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
-
-
-# Spreading the binding scan (see ``spread``) costs a shuffle that light
-# aggregations do not earn back locally; on a cluster it would be a no-op.
-SPREAD_BINDING = False
-
-_LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
-
-
-def _lineitem_part(spark: SparkSession, sf_dir: str, text_heavy: bool = False) -> DataFrame:
+def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
-    if text_heavy:
-        # Prune before the round-robin exchange: only used columns move.
-        li = spread(li.select(*_LI_COLS))
     part = read_table(spark, sf_dir, "part")
     # Plain equi-join: Spark picks broadcast only when ``part`` is under the
     # autoBroadcastJoinThreshold (its own size check); otherwise sort-merge.
@@ -69,10 +35,16 @@ def _source_key() -> Column:
                     F.col("l_linenumber").cast("string"))
 
 
+RENT = "City Rent"
+
+
 def _bound_merchant() -> Column:
-    # Line 7 carries no merchant, line 6 an empty or 'Unknown' one, so the
-    # quality reports see every kind of "missing".
+    # Line 7 carries no merchant, line 6 an empty, 'Unknown' or bad one, so
+    # the quality reports see every kind; line 5 of a month's first day is
+    # the rent, which recurs.
     return (F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+            .when((F.col("l_linenumber") == 5) & (F.dayofmonth("l_shipdate") == 1), F.lit(RENT))
+            .when((F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 4 == 2), F.lit("the"))
             .when((F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 4 == 0), F.lit(""))
             .when((F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 4 == 1), F.lit("Unknown"))
             .otherwise(F.col("p_name")))
@@ -80,7 +52,7 @@ def _bound_merchant() -> Column:
 
 def bound_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transactions (debits and credits) with a ``txn_type`` column."""
-    j = _lineitem_part(spark, sf_dir, text_heavy=SPREAD_BINDING)
+    j = _lineitem_part(spark, sf_dir)
     return j.select(
         _source_key().alias("source"),
         F.col("l_shipdate").alias("txn_date"),
@@ -165,7 +137,7 @@ SENDERS_BY_SUPPLIER = [
 
 def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW_MESSAGE rows: one alert per lineitem row."""
-    j = _lineitem_part(spark, sf_dir, text_heavy=True)
+    j = _lineitem_part(spark, sf_dir)
     return j.select(
         F.lit("gmail").alias("source"),
         _source_key().alias("message_id"),
@@ -184,7 +156,7 @@ def mail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     that must be ignored plus an HTML part; even ones a single top-level
     body.  Bodies are URL-safe base64 without padding.
     """
-    j = _lineitem_part(spark, sf_dir, text_heavy=True)
+    j = _lineitem_part(spark, sf_dir)
     text = alert_text_expr()
 
     def b64url(c: Column) -> Column:
@@ -214,3 +186,28 @@ def mail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("INBOX"), F.lit("CATEGORY_PERSONAL")).alias("labelIds"),
         F.struct(headers.alias("headers"), parts.alias("parts"), body.alias("body")).alias("payload"),
     )
+
+
+#: What users (and a query log) say, by (conv_id + turn) % 20; other rows keep their own text.
+SAYINGS = {
+    0: "how much did I spend on widget", 1: "total upi spend last month on gear", 2: "week", 3: "month", 4: "shopping this week gizmo",
+    5: "```sql\nselect category, amount from expenses\n```", 6: "select merchant from expenses where amount > 10",
+    7: "Select 1; drop table expenses", 8: "yesterday", 9: "today", 10: "upi",
+}
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation rows, some of them asking about transactions."""
+    c = read_table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 20
+    text = F.col("text")
+    for n, saying in SAYINGS.items():
+        text = F.when(k == n, F.lit(saying)).otherwise(text)
+    return c.withColumn("text", text)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, every fifth with the kinds of personal data an alert holds."""
+    d = read_table(spark, sf_dir, "documents")
+    note = F.concat(F.lit(" A/c HDFC4**1234 debited INR 5, PIN "), F.lpad((F.col("doc_id") % 1000000).cast("string"), 6, "7"), F.lit(" Ref# 12"))
+    return d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", note)).otherwise(F.col("text")))

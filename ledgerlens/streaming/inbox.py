@@ -21,6 +21,7 @@ statement), as the PDF it was extracted from does; per-document facts
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,14 @@ from ledgerlens.schemas import STATEMENT_TABLE, STATEMENT_TEXT
 
 
 def _existing_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """Keys in the store; empty only if its path doesn't exist yet.  Any other error stops the batch."""
+    keys = "txn_type string, source string"
     try:
-        return spark.read.parquet(store_path).select("txn_type", "source")
-    except Exception:  # noqa: BLE001 - empty store on the first batch
-        return spark.createDataFrame([], "txn_type string, source string")
+        return spark.read.schema(keys).parquet(store_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], keys)
 
 
 def process_batch(batch: DataFrame, batch_id: int, *, store_path: str, quarantine_path: str,
@@ -44,35 +49,38 @@ def process_batch(batch: DataFrame, batch_id: int, *, store_path: str, quarantin
     # The micro-batch feeds several outputs: keep it once (lost blocks are
     # recomputed from the source files), release it at the end.
     data = batch.select(*[f.name for f in schema.fields]).persist()
-    tables, pages = (data, None) if kind == "tables" else (None, data)
+    known = data.filter(F.col("doc").isNotNull())
+    tables, pages = (known, None) if kind == "tables" else (None, known)
     try:
         formats = SM.detect_statement_format(tables, pages)
-        unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit(batch_id).alias("batch_id"))
-        unknown.write.mode("append").parquet(quarantine_path)
-        store = _existing_store(spark, store_path)
-        # The batch is persisted, so re-reading it is cheap: no separate
-        # staging of the parsed or saved rows inside a micro-batch.
-        result = PL.statement_pipeline(tables, pages, store, mappings, created_at=created_at, as_of_year=as_of_year,
-                                       stage_parsed=False, stage_saved=False)
-        ST.append_transactions(result.saved, store_path)
+        unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit("unknown format").alias("reason"))
+        # A line that is no record of the schema has no document.
+        broken = data.filter(F.col("doc").isNull()).groupBy("doc").agg(F.lit("unreadable rows").alias("reason"))
+        # One folder per batch, overwritten if the batch is replayed.
+        unknown.unionByName(broken).write.mode("overwrite").parquet(f"{quarantine_path}/kind={kind}/batch_id={batch_id}")
+        result = PL.statement_pipeline(tables, pages, _existing_store(spark, store_path), mappings,
+                                       created_at=created_at, as_of_year=as_of_year)
+        PL.append_result(result, store_path)
     finally:
         data.unpersist()
 
 
 def start_inbox(spark: SparkSession, inbox: str, archive: str, store_path: str, quarantine_path: str,
                 checkpoint: str, mappings: DataFrame | None, created_at: str, as_of_year: int,
-                fmt: str = "json", available_now: bool = True, kind: str = "tables"):
+                fmt: str = "json", available_now: bool = True, kind: str = "tables", max_files: int = 1000):
     """Start the inbox stream; with ``available_now`` it drains what is
     there and stops (a scheduled run), otherwise it keeps polling.
 
     ``kind`` is 'tables' (STATEMENT_TABLE files: multi-column and card-cell
     statements) or 'text' (STATEMENT_TEXT pages: card text statements).
     Both kinds may feed the same store, each with its own checkpoint.
+    ``max_files`` bounds a micro-batch; a file holds whole documents, so no
+    document is cut by it.
     """
     schema = STATEMENT_TABLE if kind == "tables" else STATEMENT_TEXT
     src = (spark.readStream.schema(schema).format(fmt)
            .option("cleanSource", "archive").option("sourceArchiveDir", archive)
-           .option("maxFilesPerTrigger", 1000)
+           .option("maxFilesPerTrigger", max_files)
            .load(inbox))
     writer = (src.writeStream
               .foreachBatch(lambda df, bid: process_batch(df, bid, store_path=store_path,

@@ -7,12 +7,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from ledgerlens.operators import questions as QA
 from ledgerlens.operators import rules as RU
 from ledgerlens.operators import search as V
 from ledgerlens.operators import statements as SM
 from ledgerlens.operators import store as ST
+from ledgerlens.plans import pipelines as PL
 from ledgerlens.schemas import MERCHANT_MAPPING, STATEMENT_TABLE, STATEMENT_TEXT
 
 RULES = [
@@ -242,16 +243,16 @@ def test_answers_equal_row_by_row_filters(spark):
 
 
 def test_end_month_across_blank_lines_and_pages(spark):
-    from ledgerlens.sources.statements import statement_lines
-
     pages = spark.createDataFrame([
         ("b1", 1, "Statement period from November 10 to\n   \n\nDecember 9"),
         ("b2", 1, "Statement date 09/01/2025\nperiod from December 10 to"),
         ("b2", 2, "  January 9\nJanuary 3 SHOP 10.00"),
         ("b3", 1, "from May 1 to June 1"),
+        ("b4", 1, "statement from December 5 to"), ("b4", 2, "  \n "), ("b4", 3, None), ("b4", 5, "January 4"),
+        ("b5", 1, "period to March 3, valid to"), ("b5", 2, "May 1"),
     ], STATEMENT_TEXT)
-    facts = {r.doc: (r.year, r.end_month) for r in SM.statement_facts(statement_lines(pages), 2030).collect()}
-    assert facts == {"b1": (2030, 12), "b2": (2025, 1), "b3": (2030, 6)}
+    facts = {r.doc: (r.year, r.end_month) for r in SM.statement_facts(pages, 2030).collect()}
+    assert facts == {"b1": (2030, 12), "b2": (2025, 1), "b3": (2030, 6), "b4": (2030, 1), "b5": (2030, 3)}
 
 
 def test_single_scan_forms_equal_two_table_forms(spark, mappings):
@@ -267,3 +268,124 @@ def test_single_scan_forms_equal_two_table_forms(spark, mappings):
     assert rows(R.review_backlog(e, c).select("source", "table_name")) == \
         rows(R.review_backlog_labelled(a).select("source", "table_name"))
     assert rows(RU.apply_report(e, c, mappings)) == rows(RU.apply_report_labelled(a, mappings))
+
+
+# --- input that is not what it should be -------------------------------------------------------
+
+def test_unreadable_mail_fails_alone(spark):
+    import base64
+
+    from ledgerlens.schemas import RAW_PAYLOAD
+    from ledgerlens.sources.mail import message_records
+
+    enc = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    good = "Rs.500.00 debited from a/c XX1 at SHOP on 01/02/2024"
+    html = "<html><p>Rs&#46;70.00 debited from a/c XX1 at CAF&#xC9;&rsquo;S on 01/02/2024 &amp;lt; &#0;</p></html>"
+    rows = [(i, 1706745600000 + k, ["INBOX"], {"headers": [{"name": "From", "value": "x"}], "parts": [], "body": {"data": d}})
+            for k, (i, d) in enumerate([("ok", enc(good)), ("bad", "%%%not base64%%%"), ("cut", "abcde"), ("html", enc(html)), ("none", None)])]
+    pay = spark.createDataFrame(rows, RAW_PAYLOAD)
+    text = {r.message_id: r.raw_text for r in message_records(pay, keep_all=True).collect()}
+    assert text["ok"] == good and text["bad"] is None and text["cut"] is None and text["none"] == ""
+    assert text["html"] == "Rs.70.00 debited from a/c XX1 at CAF\u00c9\u2019S on 01/02/2024 &lt; \ufffd"
+    run = PL.alert_pipeline(pay, spark.createDataFrame([], "txn_type string, source string"), None, created_at="2024-01-01 00:00:00")
+    s = run.summary.first()
+    assert (s.saved, s.failed) == (2, 2)
+
+
+def test_a_body_is_decoded_once(spark):
+    from ledgerlens.plans import catalog as C
+
+    plan = C.QUERIES["message_records"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("unbase64(") <= 2  # one for parts, one for the body
+
+
+def test_white_space_is_unicode(spark):
+    from ledgerlens.functions.merchant import clean_merchant
+    from ledgerlens.functions.text import strip_ws
+
+    df = spark.createDataFrame([("\u00a0 SWIGGY MUMBAI\u00a0",)], "t string")
+    r = df.select(strip_ws("t").alias("s"), clean_merchant("t").alias("m")).first()
+    assert r.s == "SWIGGY MUMBAI" and r.m == "SWIGGY"
+
+
+def test_documents_without_a_first_row_are_unknown(spark):
+    tables = spark.createDataFrame([("d1", 0, 0, []), ("d1", 0, 1, ["x"]), ("d2", 0, 1, ["x"]), ("d3", 0, 0, None)], STATEMENT_TABLE)
+    pages = spark.createDataFrame([("p1", 1, "  "), ("p2", 1, None)], STATEMENT_TEXT)
+    got = {r.doc: r.format for r in SM.detect_statement_format(tables, pages).collect()}
+    assert got == dict.fromkeys(("d1", "d2", "d3", "p1", "p2"), "unknown")
+    assert SM.statement_rows_card_cell(tables, SM.detect_statement_format(tables, None)).count() == 0
+
+
+def test_mapping_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('# rules\n"# quoted",x\nraw_pattern,clean_name,category,priority\nSwiggy,Swiggy,Food,3\n\n'
+                                    'ola,"Ola\nCabs",Transport,\n,No,Food,1\nbad,Bad,Food,x\n')
+    (tmp_path / "b.csv").write_text("clean_name,raw_pattern,category\r\nUber,UBER,Transport\r\n")
+    rows = {r.raw_pattern: r for r in ST.read_mapping_csv(spark, str(tmp_path)).collect()}
+    assert {k: (r.clean_name, r.priority, r.status) for k, r in rows.items()} == {
+        "swiggy": ("Swiggy", 3, "ok"), "ola": ("Ola\nCabs", None, "skipped_priority"), "": ("No", 1, "skipped_missing"),
+        "bad": ("Bad", None, "skipped_priority"), "uber": ("Uber", 0, "ok")}
+    have = spark.createDataFrame([("uber",)], "raw_pattern string")
+    assert tuple(ST.import_report(ST.read_mapping_csv(spark, str(tmp_path)), have).first()) == (1, 1, 3)
+
+
+def test_overrides_never_multiply_rows(spark, mappings):
+    from ledgerlens.plans.extensions import apply_category_overrides
+
+    ov = spark.createDataFrame([("Ajio", "A", ""), ("ajio", "B", "b")], "merchant string, category string, sub_category string")
+    assert [(r.category, r.sub_category) for r in apply_category_overrides(_txns(spark, ["ajio"]), ov, mappings).collect()] == [("B", "b")]
+
+
+# --- versioned tables, guard, routed answers -----------------------------------------------------
+
+def test_versions_swap_whole_and_settle(spark, tmp_path, mappings):
+    path = str(tmp_path / "mappings")
+    ST.save_version(mappings, path)
+    batch = spark.createDataFrame([("New One", "New", "Food", "", 1, 0), ("swiggy", "Swiggy!", "Food", "", 1, 1), ("next one", "N", "Food", "", 1, 2)],
+                                  "raw_pattern string, clean_name string, category string, sub_category string, priority int, line_no int")
+    change = lambda t: ST.upsert_mappings(t, batch, "2024-01-01 00:00:00")
+    assert ST.change_table(spark, path, change) == 2
+    once = sorted(ST.read_version(spark, path).collect(), key=repr)
+    assert ST.change_table(spark, path, change) == 3
+    assert sorted(ST.read_version(spark, path).collect(), key=repr) == once
+    top = mappings.agg(F.max("id")).first()[0]
+    assert {r.raw_pattern: r.id for r in once if r.id > top} == {"new one": top + 1, "next one": top + 2}
+    assert ST.read_version(spark, path, 1).count() == mappings.count()
+    # An uncommitted version (a job that died) is not seen, and written over.
+    mappings.limit(1).write.parquet(f"{path}/data/version=4")
+    assert ST.read_version(spark, path).count() == len(once)
+    assert ST.change_table(spark, path, lambda t: ST.delete_mapping(t, "NEW ONE ")[0]) == 4
+    assert ST.read_version(spark, path).count() == len(once) - 1
+
+
+def test_guard_reads_views_only(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("t_guard2")
+    (tmp_path / "secret.txt").write_text("secret")
+    for q in (f"select * from text.`{tmp_path}/secret.txt`", "select reflect('java.lang.System', 'getProperty', 'user.home')",
+              "select java_method('java.lang.System', 'getProperty', 'user.home') from t_guard2", "select * from nowhere"):
+        with pytest.raises(QA.UnsafeQuery):
+            QA.guarded_sql(spark, q).collect()
+    assert QA.guarded_sql(spark, "select x from t_guard2").first().x == 1
+
+
+def test_each_question_is_answered_by_its_path(spark):
+    exp = spark.createDataFrame([("s1", "Swiggy", "food", "UPI", "swiggy dinner order", dt.datetime(2024, 3, 9), Decimal("5.00")),
+                                 ("s2", "Uber", "transport", "CARD", "uber airport ride", dt.datetime(2024, 3, 9), Decimal("7.00"))],
+                                "source string, merchant string, category string, payment_method string, raw_text string, txn_date timestamp_ntz, amount decimal(12,2)")
+    qs = spark.createDataFrame([(1, "how much was spent on swiggy"), (2, "uber airport ride")], "question_id long, text string")
+    got = {r.question_id: r for r in QA.answer_routed(qs, exp, "2024-03-10 09:00:00", k=1).collect()}
+    assert (got[1].route, got[1].total, got[1].matches) == ("sql", Decimal("5.00"), None)
+    assert (got[2].route, got[2].total, got[2].matches) == ("semantic", None, ["s2"])
+
+
+def test_bound_rows_reach_every_rule(spark):
+    """No registered query passes because its rule never fires."""
+    from ledgerlens.plans import catalog as C
+
+    q = {n: C.QUERIES[n](spark, SF001) for n in ("is_transaction_message", "is_safe_select", "route_questions", "interpret_question", "bad_rows")}
+    assert q["is_transaction_message"].filter("is_txn").count() > 0 and q["is_safe_select"].filter("safe").count() > 0
+    assert q["route_questions"].select("route").distinct().count() == 2 and q["bad_rows"].count() > 0
+    i = q["interpret_question"].agg(*[F.count(c) for c in ("start_date", "end_date", "category", "payment_method")]).first()
+    assert all(i)
+    assert C.QUERIES["recurring_payments"](spark, SF01).filter("is_recurring").count() > 0
+    assert C.QUERIES["answer_questions"](spark, SF001).filter("total > 0").count() > 0
+    assert C.QUERIES["redact_pii"](spark, SF001).filter("text like '%Ref#[REDACTED]%' and text like '%REDACTED_CARD%' and text like '%REDACTED_PIN%'").count() > 0

@@ -55,5 +55,14 @@ def test_parsers_stay_on_the_jvm(spark, q):
 
 
 def test_no_document_window_in_statement_parsing(spark, q):
-    for name in ("statement_lines_card_text", "detect_statement_format", "statement_year"):
+    for name in ("detect_statement_format", "statement_year"):
         assert "Window " not in plan(q[name](spark, SF001)), name
+    # Copies are ranked by the whole key, dealt anew after the document join, cut to one row a task before.
+    p = plan(q["statement_lines_card_text"](spark, SF001))
+    assert "hashpartitioning(_first_key" in p
+    assert p.count("WindowGroupLimit") >= 2
+
+
+def test_copies_move_one_row_a_task(spark, q):
+    p = plan(q["dedup_against_store"](spark, SF001))
+    assert "WindowGroupLimit" in p and "SortAggregate" not in p
