@@ -1,13 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters: entries of a lexicon (whole words) and of patterns (word beginnings
-of 4 to 7 bytes).  Some words stand from the start; the others are found on
-one half of a bounded sample of labelled documents (``PER_CLASS`` of either
-class): whatever stands in toxic documents more often than chance would
-allow for any of that half's entries.  A voter votes on a document that
-holds its entry.
+of 4 to 7 bytes).  Some words stand from the start; the others are found in
+a bounded sample of labelled documents (``PER_CLASS`` of either class):
+whatever stands in toxic documents far more often than in others, and more
+than chance would allow for any of the sample's entries.  A voter votes on
+a document that holds its entry.
 
-Label model, on the other half: each voter's firing rates under either
+Label model, on the same sample: each voter's firing rates under either
 class (its accuracy) and the correlations between voters within a class are
 estimated by expectation-maximisation, where the given labels are one more
 voter of bounded accuracy; a voter's evidence is divided by its total
@@ -44,7 +44,11 @@ LEXICON = """idiot moron stupid loser scum trash clown pathetic worthless disgus
     trottel dummkopf abschaum arschloch idiota estupido basura escoria imbecil imbecile ordure salaud""".split()
 #: Accuracy that the given labels are taken to have at most, and rounds of estimation.
 LABEL_ACCURACY, ROUNDS = 0.98, 25
-L2 = 0.05
+L2 = 0.01
+#: How much likelier than a clean document a toxic one must be to hold an entry.
+LEAST_RATIO = 10
+#: Voters count as repeating each other from this correlation within a class on; less comes from a shared language.
+LEAST_CORRELATION = 0.3
 
 
 @dataclass
@@ -119,11 +123,11 @@ def find_voters(rows: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
 
     counted = (map_batches(rows.select("y", "text"), run, "h long, pos long, neg long", sized_by=1)
                .groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist())
-    # Under no relation the ratio is chi-squared: all entries together pass this less than about once.
-    least = 2 * np.log(max(counted.count(), 2)) + 2
+    # Under no relation the ratio is chi-squared: all entries together pass this once in many samples.
+    least = 2 * np.log(max(counted.count(), 2)) + 8
     fewest = least / (2 * np.log((n_pos + n_neg) / n_pos))
-    got = (counted.where((F.col("pos") >= fewest) & (F.col("pos") * n_neg > F.col("neg") * (4 * n_pos)))
-           .orderBy(F.desc(F.col("pos") * n_neg - F.col("neg") * (4 * n_pos)), "h").limit(4 * VOTERS).toPandas())
+    got = (counted.where((F.col("pos") >= fewest) & (F.col("pos") * n_neg > F.col("neg") * (LEAST_RATIO * n_pos)))
+           .orderBy(F.desc(F.col("pos") * n_neg - F.col("neg") * (LEAST_RATIO * n_pos)), "h").limit(4 * VOTERS).toPandas())
     counted.unpersist()
     pos, neg = got["pos"].to_numpy(np.float64), got["neg"].to_numpy(np.float64)
     strength = g2(pos, neg, n_pos, n_neg)
@@ -154,7 +158,7 @@ def label_model(fired: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndar
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = np.abs(cov / np.outer(scale, scale))
         np.fill_diagonal(corr, 1)
-        shared = np.where(corr > 0.1, corr, 0).sum(axis=1)
+        shared = np.where(corr > LEAST_CORRELATION, corr, 0).sum(axis=1)
         on = np.log(rates[1] / rates[0]) / shared
         off = np.log((1 - rates[1]) / (1 - rates[0])) / shared
         z = prior + given + x @ on + (1 - x) @ off
@@ -181,18 +185,18 @@ def train_linear(x: np.ndarray, post: np.ndarray, y: np.ndarray, share: float) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     rows, share = sample(docs, labels, label, per_class)
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))).persist()
-    sizes = {(r.half, r.y): r.n for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
+    rows = rows.persist()
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     entries = span_hashes_of(LEXICON)
-    if all(sizes.get((0, y)) for y in (0, 1)):
-        entries = np.concatenate([entries, find_voters(rows.where("half = 0"), sizes[0, 1], sizes[0, 0])])
+    if sizes.get(0) and sizes.get(1):
+        entries = np.concatenate([entries, find_voters(rows, sizes[1], sizes[0])])
     entries = np.unique(entries)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = presence(text_bytes(batch.column(2)), entries)
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r.tobytes() for r in got], pa.binary())], ["id", "y", "fired"])
 
-    got = map_batches(rows.where("half = 1").select("id", "y", "text"), run, "id long, y int, fired binary", sized_by=2).toArrow().to_pydict()
+    got = map_batches(rows.select("id", "y", "text"), run, "id long, y int, fired binary", sized_by=2).toArrow().to_pydict()
     rows.unpersist()
     order = np.argsort(np.array(got["id"], np.int64), kind="stable")
     y = np.array(got["y"], np.int64)[order]
