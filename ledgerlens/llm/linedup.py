@@ -17,8 +17,7 @@ is verified with a bit-parallel edit distance in a band of two around the
 diagonal.
 
 Equal lines are one row of the join, so a line that a third of the corpus
-holds costs one lookup; its occurrences meet only in grouped minima and in a
-join that adaptive execution can split.
+holds costs one lookup; its occurrences meet only in grouped minima.
 
 Defined cases: null text is left null; empty and short lines always stay;
 rows of one doc_id are ordered by text hash, rows equal in id and text count
@@ -42,6 +41,7 @@ _BLANK = b" \t\r\x0b\x0c"
 #: Places that line i of a length may be looked up at: (length difference, segment, shift).
 SHIFTS = [(d, i, s) for d in range(MAX_EDITS + 1) for i in range(MAX_EDITS + 1)
           for s in range(max(-i, d - (MAX_EDITS - i)), min(i, d + (MAX_EDITS - i)) + 1)]
+_BITS = 1 << 25
 INDEX = MAX_EDITS + 1  # stands for a length difference in rows that are in the index
 
 
@@ -155,24 +155,42 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     return score <= most
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """A set bit for the low bits of every line hash in ``wanted``: 4 MB, whatever their number.
+
+    It keeps lines that nobody asks for out of the exact join behind it.
+    """
+    bit = F.col("line").bitwiseAND(F.lit(_BITS - 1))
+    words = (wanted.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(line & 63 AS INT))").alias("m"))
+             .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas())
+    out = np.zeros(_BITS >> 6, np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def links(docs: DataFrame, text_col: str, min_bytes: int) -> DataFrame:
     """(u, v): hashes of distinct lines within ``MAX_EDITS`` edits."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = segment_rows(docs, text_col, min_bytes).repartition(n, "key").distinct()
-    held, look = rows.where(F.col("d") == INDEX).alias("a"), rows.alias("b")
+    table, look = rows.where(F.col("d") == INDEX).alias("a"), rows.alias("b")
     off = F.when(F.col("b.d") == INDEX, 0).otherwise(F.col("b.d"))
     x = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     low = F.bit_count(x.bitwiseAND(F.lit((1 << 32) - 1)))
-    pairs = held.join(look, (F.col("a.key") == F.col("b.key")) & (F.col("a.line") != F.col("b.line"))
+    pairs = table.join(look, (F.col("a.key") == F.col("b.key")) & (F.col("a.line") != F.col("b.line"))
                       & ((F.col("b.d") != INDEX) | (F.col("a.line") < F.col("b.line")))
                       & (low <= 2 * MAX_EDITS - off) & (F.bit_count(F.shiftrightunsigned(x, 32)) <= 4 * MAX_EDITS))
     pairs = stage(pairs.select(F.least("a.line", "b.line").alias("u"), F.greatest("a.line", "b.line").alias("v")).distinct())
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct()
+    held = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = {x for t in text_bytes(batch.column(0)) for _, x in lines_of(t, min_bytes)}
-        return pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in got], pa.int64()), pa.array(list(got), pa.binary())], ["line", "bytes"])
+        got = {line_hash(x): x for t in text_bytes(batch.column(0)) for _, x in lines_of(t, min_bytes)}
+        keys = np.fromiter(got, np.int64, len(got))
+        bit = keys & (_BITS - 1)
+        maybe = (held.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+        keys = keys[maybe]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([got[k] for k in keys.tolist()], pa.binary())], ["line", "bytes"])
 
     every = map_batches(docs.select(F.col(text_col).cast("string").alias("t")), texts, "line long, bytes binary", sized_by=0)
     of = stage(every.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("bytes").alias("bytes")))
@@ -191,10 +209,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """(id, th, drop): per document that loses lines, their numbers in order."""
     classes = components(links(docs, text_col, min_bytes))
     occ = occurrences(docs, id_col, text_col, min_bytes)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")
     occ = stage(occ.join(classes, occ.line == classes.node, "left").select(F.coalesce("root", "line").alias("c"), "id", "th", "at").distinct())
-    first = occ.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("c", "first")
-    again = occ.join(first, "c").where(place != F.col("first"))
+    # What stays is a grouped minimum; the others are found by place, so a line that many documents hold meets in no join.
+    first = occ.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")).alias("p")).select("p.*")
+    same = F.col("o.id").eqNullSafe(F.col("f.id")) & (F.col("o.th") == F.col("f.th")) & (F.col("o.at") == F.col("f.at"))
+    again = occ.alias("o").join(first.alias("f"), same, "left_anti")
     return again.groupBy("id", "th").agg(F.sort_array(F.collect_list("at")).alias("drop"))
 
 
