@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, map_batches, text_bytes
 
-#: Words that a worker keeps the ids of, before it starts anew.
-CACHE_WORDS = 400_000
+#: Words, and pieces between white space, that a worker keeps the ids of before it starts anew: some ten MB each.
+CACHE_WORDS = 100_000
 
 
 #: Code points that Python's split() takes for white space and Unicode doesn't.
@@ -107,7 +107,7 @@ class Automaton:
         return out
 
     def encode(self, word: str) -> list[int]:
-        if self.kept > 10 * CACHE_WORDS:
+        if self.kept > 2 * CACHE_WORDS:
             self.table, self.kept = {}, 0
         n, table = len(word), self.table
         # Only one accepted path leads to a position, so a position from which none ends the word stays closed.
@@ -251,6 +251,13 @@ def decode(df: DataFrame, ids_col: str, path: str, out: str = "decoded") -> Data
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of every document."""
+    """(id, ids, decoded) of every document: ``encode`` and ``decode`` in one pass, so a task needs one worker."""
+    held = _content(docs.sparkSession, path)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = tokenizer(held.value)
+        ids = [t.encode(b.decode()) for b in text_bytes(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([t.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return decode(encode(rows, "text", path).drop("text"), "ids", path)
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, decoded string", sized_by=1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.session import checkpoint_dir
 
 #: Text handled by one numpy pass; a longer document makes a pass of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
