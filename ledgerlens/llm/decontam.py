@@ -1,17 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits, case-folded (A-Z).  Of every test
-item's ``NGRAM``-word n-grams those that few documents hold, and the rarer
-half in any case, are its seeds; document frequencies are counted over all
-documents.  A seed in a document joins the two, and the document's words
-around it are aligned with the item's words (match +2, mismatch and gap -1).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Words are runs of letters and digits, case-folded (A-Z).  Every
+``NGRAM``-word n-gram of a test item is a seed, common ones too: which of
+them an edited copy keeps can't be told beforehand.  A seed in a document
+joins the two, and the document's words around it are aligned with the
+item's words (match +2, mismatch and gap -1), unless so few of the item's
+words stand there that no alignment can reach the threshold.
 The score is the best alignment's over that of the item with itself, so an
 edited or paraphrased copy scores according to what is left of it.
 
 The test items are a stated query set: they are read in blocks of at most
 ``BLOCK_CHARS``, and a block's words are what gets broadcast.  The documents
 are scanned and never shuffled, so no source, text or item can make a hot
-task; an alignment's window is in proportion to the item.
+task; an alignment's window is in proportion to the item, and a longer
+stretch of seeds is aligned in windows that overlap by the longest alignment
+that counts.
 
 Defined cases: null and empty texts match nothing; neither do items of
 under NGRAM words, which decide too little; equal items match alike;
@@ -32,7 +35,6 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import chunks, fresh, joined, map_batches, mix, span_hashes, text_bytes
 
 NGRAM = 4
-RARE_SHARE = 1e-3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_CHARS = 8_000_000
@@ -87,11 +89,9 @@ class Block:
         return seen
 
 
-def block_of(items: list[tuple[int, bytes]], keep: np.ndarray | None = None) -> Block:
+def block_of(items: list[tuple[int, bytes]]) -> Block:
     w = words_of([t for _, t in items])
     h, at = ngrams(w)
-    if keep is not None:
-        h, at = h[keep], at[keep]
     order = np.argsort(h, kind="stable")
     seeds, lead = np.unique(h[order], return_index=True)
     return Block([i for i, _ in items], w, seeds, np.append(lead, len(h)), at[order])
@@ -150,6 +150,14 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, j, end
 
 
+def windows(start: int, end: int, reach: int) -> Iterator[tuple[int, int]]:
+    """``start`` to ``end`` in windows of bounded size; every stretch of ``reach`` words lies in one."""
+    while end - start > 8 * reach:
+        yield start, start + 8 * reach
+        start += 7 * reach
+    yield start, end
+
+
 def matches(block: Block, seen: np.ndarray, texts: list[bytes], threshold: float) -> list[list[dict]]:
     """Per text, the items that it holds: item_id, score, and the stretch in bytes."""
     out: list[list[dict]] = [[] for _ in texts]
@@ -175,51 +183,21 @@ def matches(block: Block, seen: np.ndarray, texts: list[bytes], threshold: float
                 stop = max(stop, right[y])
                 y += 1
             words = block.words.hashes[block.words.first[item[x]]:block.words.first[item[x] + 1]]
-            score, j, end = align(words, w.hashes[left[x]:stop])
-            share = score / (MATCH * len(words))
+            top = MATCH * len(words)
             key = (int(doc[x]), int(item[x]))
-            if share >= threshold and share > best.get(key, (0.0,))[0]:
-                best[key] = (share, int(w.starts[left[x] + j]), int(w.ends[left[x] + end - 1]))
+            for lead, tail in windows(int(left[x]), int(stop), len(words) + int(top * (1 - threshold) / GAP) + 1):
+                if MATCH * np.isin(words, w.hashes[lead:tail]).sum() < threshold * top:
+                    continue  # even with all of these aligned
+                score, j, end = align(words, w.hashes[lead:tail])
+                share = score / top
+                if share >= threshold and share > best.get(key, (0.0,))[0]:
+                    best[key] = (share, int(w.starts[lead + j]), int(w.ends[lead + end - 1]))
             x = y
         for (d, i), (share, start, end) in best.items():
             out[lo + d].append({"item_id": block.ids[i], "score": share, "start": start, "end": end})
     return out
 
 
-def seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str = "item_id", item_text: str = "text") -> Iterator[Block]:
-    """The benchmark's blocks with their seeds chosen by document frequency in ``docs``."""
-    spark = docs.sparkSession
-    total = None
-    for items in item_blocks(benchmark, id_col, item_text):
-        every = block_of(items)
-        held = spark.sparkContext.broadcast(every)
-
-        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            block = held.value
-            w = words_of(text_bytes(batch.column(0)))
-            k, at = found(block, block.holds(), w)
-            n = np.bincount(np.unique(k * (1 << 32) + w.doc[at]) >> 32, minlength=len(block.seeds))
-            some = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["k", "n"])
-
-        texts = docs.select(F.col(text_col).cast("string").alias("t"))
-        counted = map_batches(texts, run, "k int, n long", sized_by=0).groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-        total = docs.count() if total is None else total
-        df = np.zeros(len(every.seeds), np.int64)
-        df[counted["k"]] = counted["n"]
-        h, at = ngrams(every.words)
-        freq = df[np.searchsorted(every.seeds, h)]
-        item = every.words.doc[at]
-        # Rarer half of every item's n-grams: rank within the item by frequency.
-        order = np.lexsort((at, freq, item))
-        rank = np.empty(len(h), np.int64)
-        lead = np.searchsorted(item[order], item[order])
-        rank[order] = np.arange(len(h)) - lead
-        size = np.bincount(item, minlength=len(items))[item]
-        held.unpersist()
-        yield block_of(items, (freq <= RARE_SHARE * total) | (rank < (size + 1) // 2))
-
-
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches",
                  threshold: float = THRESHOLD, id_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with the test items that each text holds, as array column ``out``; all other columns stay."""
@@ -227,8 +205,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     kind = "array<struct<item_id:bigint,score:double,start:int,end:int>>"
     got = docs.withColumn(out, F.array().cast(kind))
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
-    for block in seed_blocks(docs, benchmark, text_col, id_col, item_text):
-        held = spark.sparkContext.broadcast(block)
+    for items in item_blocks(benchmark, id_col, item_text):
+        held = spark.sparkContext.broadcast(block_of(items))
         at, to = got.columns.index(text_col), got.columns.index(out)
 
         def run(batch: pa.RecordBatch, held=held, at=at, to=to) -> pa.RecordBatch:

@@ -58,6 +58,27 @@ def test_common_items_are_still_found(spark):
     assert all(x.contaminated for x in decontam.contamination(frame(spark, rows), bench(spark, [(1, ITEM)])).collect())
 
 
+def test_edited_copies_are_found_alone_and_in_hot_groups(spark):
+    """Most of the item's n-grams occur nowhere; those that the copy keeps stand in more than 0.1 % of the rows."""
+    edited = ITEM.split()
+    for at in (1, 5, 13, 17):
+        edited[at] = "changed"
+    filler = [(1000 + i, f"row {i} holds nothing of the items") for i in range(199)]
+    for rows in ([(1, "before " + " ".join(edited) + " after")], [(i, f"{i} " + " ".join(edited)) for i in range(30)]):
+        got = decontam.contamination(frame(spark, rows + filler), bench(spark, [(1, ITEM)])).where("contaminated").collect()
+        assert {x.doc_id for x in got} == {i for i, _ in rows}
+
+
+def test_stretches_of_common_seeds_are_cut_without_loss(spark):
+    """A text full of an item's n-grams is aligned in windows; a copy anywhere in it is found."""
+    common = " ".join(ITEM.split()[:4])
+    for n in (0, 37, 90, 133):
+        text = f"{common} x " * n + ITEM + f" y {common}" * (140 - n)
+        (hit,) = decontam.matches(block := decontam.block_of([(1, ITEM.encode())]), block.holds(), [text.encode()], 1.0)[0]
+        assert hit["score"] == 1.0 and text[hit["start"]:hit["end"]] == ITEM
+    assert list(decontam.windows(0, 100, 10)) == [(0, 80), (70, 100)]
+
+
 def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     items = [(i, " ".join(ITEM.split()[i:i + 12])) for i in range(8)]
     rows = [(1, ITEM), (2, "nothing here at all to see"), (3, " ".join(ITEM.split()[3:17]))]
