@@ -62,11 +62,12 @@ _HERE = _CUE(r"article|articlebody|body|content|entry|main|page|post|prose|story
 FEATURES = KINDS + 8
 
 
-def parse(page: str) -> tuple[list[int], list[int], list[int], list[tuple[int, str | None]], list[int]]:
+def parse(page: str, labelled: bool = True) -> tuple[list[int], list[int], list[int], list[tuple[int, str | None]], list[int]]:
     """(parent, kind, cues, pieces, given labels) of a page's tree; node 0 is the root.
 
     cues: 1 for words that point away from content, 2 for words that point
-    to it.  A piece is (node, text); text None ends a block.
+    to it.  A piece is (node, text); text None ends a block.  Labels are read
+    from pages of ``labelled_pages`` only; elsewhere data-y is any attribute.
     """
     parent, kind, cues, given = [-1], [0], [0], [-1]
     pieces: list[tuple[int, str | None]] = []
@@ -122,7 +123,7 @@ def parse(page: str) -> tuple[list[int], list[int], list[int], list[tuple[int, s
             for name, *values in _ATTR.findall(m[3]):
                 value = values[0] or values[1] or values[2]
                 if name.lower() == "data-y":
-                    label = int(value)
+                    label = int(value) if labelled else -1
                 else:
                     cue |= (1 if _AWAY(value) else 0) | (2 if _HERE(value) else 0)
         parent.append(nodes[-1])
@@ -341,7 +342,7 @@ def kept_text(pieces: list[tuple[int, str | None]], content: np.ndarray) -> str:
 
 
 def texts(pages: list[str], model: Model) -> list[str]:
-    parsed = [parse(p) for p in pages]
+    parsed = [parse(p, labelled=False) for p in pages]
     if not parsed:
         return []
     f, start = forest(parsed)

@@ -99,6 +99,14 @@ def test_pages_of_unseen_layouts():
     assert ((p > 0.5) == y)[holds].mean() > 0.99
 
 
+def test_label_attributes_of_real_pages_are_not_read(spark):
+    """Charts and drag widgets carry data-y with any value."""
+    page = "<article><p{}>A paragraph that is long enough to be kept as it is.</p></article>"
+    rows = [(i, "u", page.format(a)) for i, a in enumerate(["", ' data-y="12.5"', ' data-y=""', " data-y='top'", " data-y=-1e3", ' data-y="0"'])]
+    got = htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["A paragraph that is long enough to be kept as it is."] * len(rows)
+
+
 def brute_article(page):
     import html
     import re
