@@ -3,7 +3,8 @@
 A document's lines (stripped of ASCII white space) of ``min_bytes`` or more
 take part.  Lines within ``MAX_EDITS`` = 2 edits (UTF-8 bytes) are linked,
 linked lines form classes, and of each class only the first occurrence, by
-ascending doc_id and line, stays.
+ascending doc_id and line, stays.  Shorter lines stay, unless ``exact_bytes``
+asks for them: those of so many bytes or more are then classes of equal lines.
 
 The join: a line of length l is cut into three segments at fixed places for
 its length; two edits leave one of them whole.  Every distinct line puts its
@@ -19,7 +20,7 @@ diagonal.
 Equal lines are one row of the join, so a line that a third of the corpus
 holds costs one lookup; its occurrences meet only in grouped minima.
 
-Defined cases: null text is left null; empty and short lines always stay;
+Defined cases: null text is left null; blank lines always stay;
 rows of one doc_id are ordered by text hash, rows equal in id and text count
 as one document; null ids come last; an empty table gives an empty result.
 """
@@ -205,10 +206,11 @@ def links(docs: DataFrame, text_col: str, min_bytes: int) -> DataFrame:
     return map_batches(both, verify, "u long, v long")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
+             exact_bytes: int | None = None) -> DataFrame:
     """(id, th, drop): per document that loses lines, their numbers in order."""
     classes = components(links(docs, text_col, min_bytes))
-    occ = occurrences(docs, id_col, text_col, min_bytes)
+    occ = occurrences(docs, id_col, text_col, min_bytes if exact_bytes is None else max(min(exact_bytes, min_bytes), 1))
     occ = stage(occ.join(classes, occ.line == classes.node, "left").select(F.coalesce("root", "line").alias("c"), "id", "th", "at").distinct())
     # What stays is a grouped minimum; the others are found by place, so a line that many documents hold meets in no join.
     first = occ.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")).alias("p")).select("p.*")
@@ -218,7 +220,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
-          removed: str = "removed_lines") -> DataFrame:
+          removed: str = "removed_lines", exact_bytes: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, and their number as column ``removed``."""
     th, key, drop, other = fresh(docs, "_th", "_id", "_drop", "_id2")
     names = list(docs.columns)
@@ -229,7 +231,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_b
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     rows = map_batches(docs, hashed, f"{fields}, `{th}` long", sized_by=at).withColumn(key, F.col(id_col).cast("long"))
-    gone = removals(docs, id_col, text_col, min_bytes).select(F.col("id").alias(other), F.col("th").alias(th + "2"), F.col("drop").alias(drop))
+    gone = removals(docs, id_col, text_col, min_bytes, exact_bytes).select(F.col("id").alias(other), F.col("th").alias(th + "2"), F.col("drop").alias(drop))
     both = rows.join(gone, F.col(key).eqNullSafe(F.col(other)) & (F.col(th) == F.col(th + "2")), "left")
     both = both.select(*docs.columns, F.coalesce(drop, F.array().cast("array<int>")).alias(drop))
 

@@ -81,6 +81,17 @@ def test_variants_of_lines(spark):
     assert got == brute(rows)
 
 
+def test_short_lines_are_taken_out_as_exact_copies(spark):
+    """With ``exact_bytes``; lines that differ by one byte and blank ones stay, and the others go as before."""
+    long = "a line of more than twenty-four bytes"
+    rows = [(1, f"Les.\n\nLea.\n{long}"), (2, f" Les.\t\n\nNew.\n{long}!"), (3, f"Les.\n\nNew\nLea.\n{'x' * 23}\n{'x' * 22}y"), (4, f"é\nNew.\n{'x' * 23}\né")]
+    got = {x.doc_id: (x.text, x.removed_lines) for x in linedup.dedup(frame(spark, rows), exact_bytes=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n\nNew."[1:], 2), 3: (f"\nNew\n{'x' * 23}\n{'x' * 22}y", 2), 4: ("é", 3)}
+    got = {x.doc_id: x.text for x in linedup.dedup(frame(spark, rows), exact_bytes=5).collect()}
+    assert got[2] == " Les.\t\n\nNew." and got[4] == "é\nNew.\né"
+    assert {x.doc_id: x.text for x in linedup.dedup(frame(spark, rows)).collect()} == brute(rows)
+
+
 @pytest.mark.parametrize("edits", range(3))
 def test_a_pair_meets_under_some_key(spark, edits):
     r = random.Random(edits)
