@@ -134,9 +134,5 @@ FROM escaped GROUP BY conv_id
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_chat_format": _OP1,
-    "op4_quality_knn": op4_quality_knn,
-    "op5_bpe_automaton": op5_bpe_automaton,
-    "op6_html_tree": op6_html_tree,
-    "op7_toxicity_weak": op7_toxicity_weak,
     "op9_merkle_fingerprints": _OP9,
 }

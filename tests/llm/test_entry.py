@@ -13,6 +13,12 @@ def test_each_operator_has_one_query():
     assert "pipeline" in names and set(ORACLES) <= set(QUERIES)
 
 
+def test_every_oracle_is_sql():
+    import __spark_entry__ as E
+
+    assert all(isinstance(sql, str) for sql in E.oracle_sql().values())
+
+
 def test_library_imports_without_this_package():
     """The rest of the library never imports ``llm``."""
     code = ("import sys; sys.modules['ledgerlens.llm'] = None\n"
