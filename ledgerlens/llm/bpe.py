@@ -1,19 +1,21 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The merges are compiled, in order, into a deterministic automaton over
-tokens that accepts the correct tokenizations and nothing else.  It starts
-as one state with a loop for every base symbol.  The gadget of merge
+The merges, in order, define a deterministic automaton over tokens that
+accepts the correct tokenizations and nothing else.  It starts as one state with a loop for every base symbol.  The gadget of merge
 (u, v) -> w does three things: every state with an arc u gets an arc w, the
 state behind w is a copy of the state behind v, and the state behind u loses
-its arc v (if u = v, that state doesn't get the arc w either).  Copies are
-kept as the gadget that made them, so the automaton takes memory in
-proportion to the vocabulary; an arc's presence is read off the chain of
-gadgets once and kept in the transition table.
-
-A pre-split word is encoded by walking the automaton along its symbols:
-each prefix of the word has exactly one accepted path, so every position
-keeps one arc and the last one traces the path back.  Decoding emits the
-arcs' labels.
+its arc v (if u = v, that state doesn't get the arc w either).  The automaton
+is not built: nearly every pair of tokens has its arc, so its states and
+transitions would be some square of the vocabulary.  Only the gadgets are
+kept, by the token that each one makes and the arc it cuts, and an arc's
+presence is decided lazily, by a test of the two tokens down the chain of
+gadgets that is kept for the next time.
+
+A pre-split word is encoded by a search over the tokens that spell it,
+longest first, from a trie: a token without an arc from the one before it is
+passed over, and the search steps back from a position that none leaves.
+Each prefix of the word has exactly one accepted path, so such a position
+stays closed and is tried once.  Decoding emits the arcs' labels.
 
 Texts go through the tokenizer file's own steps first: added tokens, the
 normalizers NFC, white space and lower case, the split pattern and the
