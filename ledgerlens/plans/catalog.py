@@ -532,6 +532,11 @@ def q_route_questions(spark, sf):
     return QA.route_questions(_user_questions(spark, sf)).select("question_id", "route")
 
 
+@register("answer_routed")
+def q_answer_routed(spark, sf):
+    return as_double(QA.answer_routed(_user_questions(spark, sf), _exp(spark, sf), AS_OF), "total")
+
+
 GUARDED_SQL = "```sql\nSELECT category, CAST(SUM(amount) AS DOUBLE) AS total FROM expenses GROUP BY category\n```"
 
 

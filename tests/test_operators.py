@@ -377,6 +377,22 @@ def test_each_question_is_answered_by_its_path(spark):
     assert (got[2].route, got[2].total, got[2].matches) == ("semantic", None, ["s2"])
 
 
+def test_registered_questions_are_answered_by_their_path(spark):
+    """Every user question has its label's answer: the total that J6 gives, or the nearest transactions."""
+    from ledgerlens.plans import catalog as C
+
+    got = {r.question_id: r for r in C.QUERIES["answer_routed"](spark, SF001).collect()}
+    assert {i: r.route for i, r in got.items()} == {r.question_id: r.route for r in C.QUERIES["route_questions"](spark, SF001).collect()}
+    totals = {r.question_id: r.total for r in C.QUERIES["answer_questions"](spark, SF001).collect()}
+    sources = {r.source for r in C._exp(spark, SF001).select("source").collect()}
+    assert {r.route for r in got.values()} == {"sql", "semantic"}
+    for i, r in got.items():
+        if r.route == "sql":
+            assert r.total == totals[i] and r.matches is None
+        else:
+            assert r.total is None and len(set(r.matches)) == 5 and set(r.matches) <= sources
+
+
 def test_bound_rows_reach_every_rule(spark):
     """No registered query passes because its rule never fires."""
     from ledgerlens.plans import catalog as C
