@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, quality, simhash, toxicity
+from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, packing, quality, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op13_packing": op13_packing,
 }
 
 _OP9_TREE = """
