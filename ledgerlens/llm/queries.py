@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, packing, quality, simhash, toxicity
+from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, packing, quality, repair, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(table(spark, sf_dir, "conversations"))).drop("n_rows")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_packing": op13_packing,
 }
 
@@ -137,8 +142,57 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+#: Damage, faults, then cheapest edits row by row from four places in the role grammar (0 start, 1 system, 2 user, 3 assistant);
+#: more than one insertion between two rows never pays.  ``done`` holds the repaired lines so far.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: "
+        "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_INSERTED = """(SELECT conv_id, i, state, cost, audit, done FROM {t} UNION ALL
+    SELECT conv_id, i, CASE state WHEN 2 THEN 3 ELSE 2 END, cost + 3, audit || 'I', list_append(done, CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END) FROM {t})"""
+_OP11 = """
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+  kinds AS (SELECT *, """ + _CRC.replace("{s}", "k") + """ % 20 AS kind FROM keyed),
+  damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kinds, LATERAL (SELECT unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END)) AS c(copy)),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+      trim(text, """ + _BLANKS + """) AS ink FROM damaged),
+  faults AS (SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered),
+  facts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+      count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id),
+  tops AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS done FROM facts
+    UNION ALL
+    SELECT conv_id, i, state, best.cost, best.audit, best.done FROM (
+      SELECT conv_id, i, state, min(struct_pack(cost := cost, audit := audit, done := done)) AS best FROM (
+        SELECT t.conv_id, f.i, e.state, t.cost + e.cost AS cost, t.audit || e.letter AS audit,
+          CASE e.letter WHEN 'D' THEN t.done WHEN 'K' THEN list_append(t.done, f.role || ':' || f.text)
+            ELSE list_append(t.done, CASE t.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text) END AS done
+        FROM """ + _INSERTED.replace("{t}", "tops") + """ t JOIN faults f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1,
+          LATERAL (SELECT t.state, 4, 'D'
+            UNION ALL SELECT CASE t.state WHEN 2 THEN 3 ELSE 2 END, 3 + 3 * (f.fault = 'truncated')::INT, 'R' WHERE f.fault NOT IN ('blank', 'duplicate')
+            UNION ALL SELECT CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 3 * (f.fault = 'truncated')::INT, 'K'
+              WHERE f.fault NOT IN ('blank', 'duplicate') AND (f.initial = 's' AND t.state = 0 OR f.initial = 'u' AND t.state <> 2
+                OR f.initial = 'a' AND t.state = 2)) AS e(state, cost, letter))
+      GROUP BY conv_id, i, state)),
+  ends AS (SELECT t.conv_id, min(struct_pack(cost := cost, audit := audit, done := done)) AS best
+    FROM """ + _INSERTED.replace("{t}", "tops") + """ t JOIN facts f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.n = t.i
+    WHERE state IN (0, 3) GROUP BY t.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.done, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_chat_format": _OP1,
     "op9_merkle_fingerprints": _OP9,
+    "op11_conversation_repair": _OP11,
 }
