@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, packing, quality, repair, simhash, toxicity
+from ledgerlens.llm import bpe, chat, decontam, htmltree, linedup, longmatch, merkle, packing, phrases, quality, repair, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -80,6 +80,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, sf_dir, "conversations"))).drop("n_rows")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_packing": op13_packing,
 }
 
@@ -190,9 +195,41 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_
   LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+_OP12 = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\x0C\r]')) AS p FROM texts),
+  worded AS (SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(p, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+  words AS (SELECT lang, piece, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w1 FROM worded),
+  places AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5
+    FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)),
+  counts AS MATERIALIZED (
+    SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM places GROUP BY ALL
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM places WHERE w4 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, count(*) FROM places WHERE w5 IS NOT NULL GROUP BY ALL),
+  totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+  found AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE m >= 2 AND f >= 100),
+  inside AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, unnest([array_to_string(ws[i:j], ' ')]) AS phrase
+      FROM found, LATERAL (SELECT unnest(range(1, m)) AS i), LATERAL (SELECT unnest(range(i + 1, m + 1)) AS j) WHERE j - i + 1 < m) s
+    JOIN found f ON f.lang = s.lang AND f.phrase = s.phrase WHERE 100 * s.a >= 100 * f.a),
+  kept AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.phrase = f.phrase)),
+  cuts AS MATERIALIZED (SELECT kept.lang, phrase, a, n, k, kept.lang || chr(0) || array_to_string(ws[1:k], ' ') AS p1,
+      kept.lang || chr(0) || array_to_string(ws[k + 1:m], ' ') AS p2
+    FROM kept JOIN totals t ON t.lang = kept.lang, LATERAL (SELECT unnest(range(1, m)) AS k)),
+  keyed AS MATERIALIZED (SELECT lang || chr(0) || phrase AS p, f FROM counts WHERE f >= 100),
+  lefts AS MATERIALIZED (SELECT cuts.*, f AS l FROM cuts JOIN keyed ON p = p1),
+  scored AS (SELECT lefts.*, f AS r, (1000::HUGEINT * a * n // (l::HUGEINT * f))::BIGINT AS score FROM lefts JOIN keyed ON p = p2),
+  weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM weakest)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_chat_format": _OP1,
     "op9_merkle_fingerprints": _OP9,
     "op11_conversation_repair": _OP11,
+    "op12_phrase_mining": _OP12,
 }
