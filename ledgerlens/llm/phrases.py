@@ -45,7 +45,7 @@ from ledgerlens.llm.common import chunks, joined, mix, partitions, span_hashes,
 LEAST, MAX_WORDS, TOP = 100, 5, 2000
 BITMAP_BITS = 26
 #: Words of which equal pairs or suffixes are counted together; five ranks of a block's words fit two 64-bit keys.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _RANK_BITS = 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: 0 a word's byte, 1 a blank, 2 the end of a piece.
@@ -309,7 +309,7 @@ def _counted(kind: int, lang: pa.ChunkedArray, phrase: pa.ChunkedArray, n: np.nd
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, max_words: int = MAX_WORDS,
-                  bits: int = BITMAP_BITS, rows_held: int = BLOCK) -> DataFrame:
+                  bits: int = BITMAP_BITS, rows_held: int = BLOCK // 2) -> DataFrame:
     """(lang, phrase, words, n): every phrase of 1 to ``max_words`` words that stands ``least`` times or more, and, with the
     empty phrase, all words of the language."""
     n_parts = partitions(docs.sparkSession)
