@@ -1,25 +1,35 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits, case-folded (A-Z).  Every
-``NGRAM``-word n-gram of a test item is a seed, common ones too: which of
-them an edited copy keeps can't be told beforehand.  A seed in a document
-joins the two, and the document's words around it are aligned with the
-item's words (match +2, mismatch and gap -1), unless so few of the item's
-words stand there that no alignment can reach the threshold.
-The score is the best alignment's over that of the item with itself, so an
-edited or paraphrased copy scores according to what is left of it.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are runs of letters and digits, case-folded (A-Z).  A document's words
+around its seeds are aligned with the item's words (match +2, mismatch and
+gap -1); the score is the best alignment's over that of the item with
+itself, so an edited or paraphrased copy scores according to what is left
+of it.
+
+Seeds that no copy over the threshold can avoid: an alignment of m of an
+item's L words that scores a share t has at most 2m - 2tL mismatches and
+gaps, so of the m - 1 steps from one matched word to the next at least
+ceil(tL) - 1 pass over one mismatch or gap or none.  Such a step is a pair of
+words that stand one or two apart in the item and one or two apart in the
+text.  So every pair one or two apart is an n-gram that may be a seed; the
+documents' own counts (a pass over all of them) say which are rare, the
+commonest places of an item are left out, half as many as its copies must
+share, and a stretch of text is aligned where the other half of them stand
+and at least as many of the item's words as the threshold needs.
+
+Items of under ``SHORT`` words decide too little by half: only whole copies
+of them match.
 
 The test items are a stated query set: they are read in blocks of at most
 ``BLOCK_CHARS``, and a block's words are what gets broadcast.  The documents
 are scanned and never shuffled, so no source, text or item can make a hot
-task; an alignment's window is in proportion to the item, and a longer
-stretch of seeds is aligned in windows that overlap by the longest alignment
-that counts.
-
-Defined cases: null and empty texts match nothing; neither do items of
-under NGRAM words, which decide too little; equal items match alike;
-repeated rows each keep a row; an empty benchmark leaves every document
-clean; an empty table gives an empty result.
+task; an alignment holds two rows of its table, and a longer stretch of
+seeds is aligned in windows that overlap by the longest alignment that
+counts.
+
+Defined cases: null and empty texts match nothing; neither do items without
+words; equal items match alike; repeated rows each keep a row; an empty
+benchmark leaves every document clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +44,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, fresh, joined, map_batches, mix, span_hashes, text_bytes
 
-NGRAM = 4
+#: Items of fewer words match as a whole.
+SHORT = 4
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_CHARS = 8_000_000
@@ -62,39 +73,70 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(span_hashes(data, starts, ends), starts - at[doc], ends - at[doc], doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
 
 
-def ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first word) of the n-grams within one text."""
-    n = len(w.hashes) - NGRAM + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = w.hashes[:n].copy()
-    for k in range(1, NGRAM):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w.hashes[k:n + k])
-    whole = np.flatnonzero(w.doc[:n] == w.doc[NGRAM - 1:])
-    return h[whole], whole
+def pairs(w: Words, singles: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of the words' pairs one and two apart within a text; single words too if asked."""
+    hashes, at = [], []
+    for apart in (1, 2):
+        n = max(len(w.hashes) - apart, 0)
+        whole = np.flatnonzero(w.doc[:n] == w.doc[apart:])
+        hashes.append(mix(w.hashes[:n][whole] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[apart:][whole]))
+        at.append(whole)
+    if singles:
+        hashes.append(mix(w.hashes))
+        at.append(np.arange(len(w.hashes)))
+    return np.concatenate(hashes), np.concatenate(at)
 
 
 @dataclass
 class Block:
-    """Items of one block; seeds: sorted n-gram hashes with the (item, word) places of each."""
+    """Items of one block; seeds: sorted hashes with the (item, word) places of each."""
     ids: list[int]
     words: Words
     seeds: np.ndarray
     lead: np.ndarray
     place: np.ndarray  # index of a word in ``words``
+    singles: bool
+    share: np.ndarray  # per item: the least score share, the seeds that a copy must hold, and the words it may lie apart
+    least: np.ndarray
+    reach: np.ndarray
 
     def holds(self) -> np.ndarray:
         seen = np.zeros(1 << 18, bool)
         seen[(self.seeds & np.uint64(0x3FFFF)).astype(np.int64)] = True
         return seen
 
-
-def block_of(items: list[tuple[int, bytes]]) -> Block:
+    def rare(self, counts: np.ndarray) -> "Block":
+        """The block without the commonest places of each item; ``counts``: how often each seed stands in the corpus."""
+        size = np.diff(self.words.first)
+        common = np.zeros(len(self.words.hashes))
+        of = np.repeat(np.arange(len(self.seeds)), np.diff(self.lead))
+        np.add.at(common, self.place, counts[of])
+        order = np.lexsort((-common, self.words.doc))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - self.words.first[self.words.doc[order]]
+        drop = self.least // 2  # of the places that a copy shares at least
+        keep = rank[self.place] >= drop[self.words.doc[self.place]]
+        lead = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(self.seeds)))])
+        some = np.flatnonzero(np.diff(lead))
+        return Block(self.ids, self.words, self.seeds[some], np.append(lead[some], lead[-1]), self.place[keep], self.singles, self.share,
+                     np.where(size > 1, self.least - drop, 1), self.reach)
+
+
+def block_of(items: list[tuple[int, bytes]], threshold: float = THRESHOLD) -> Block:
     w = words_of([t for _, t in items])
-    h, at = ngrams(w)
+    size = np.diff(w.first)
+    share = np.where(size < SHORT, 1.0, threshold)
+    singles = bool((size == 1).any())
+    h, at = pairs(w, singles)
+    if singles:  # a single word is a seed of its own item only
+        mine = np.arange(len(h)) < len(h) - len(w.hashes)
+        mine |= size[w.doc[at]] == 1
+        h, at = h[mine], at[mine]
     order = np.argsort(h, kind="stable")
     seeds, lead = np.unique(h[order], return_index=True)
-    return Block([i for i, _ in items], w, seeds, np.append(lead, len(h)), at[order])
+    least = np.maximum(np.ceil(share * size - 1e-9).astype(np.int64) - 1, 1)
+    reach = size + np.floor(2 * size * (1 - share) + 1e-9).astype(np.int64)
+    return Block([i for i, _ in items], w, seeds, np.append(lead, len(h)), at[order], singles, share, least, reach)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -112,8 +154,8 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
 
 
 def found(block: Block, seen: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(seed number, index of the n-gram's first word) of the block's seeds among the words."""
-    h, at = ngrams(w)
+    """(seed number, index of its first word) of the block's seeds among the words."""
+    h, at = pairs(w, block.singles)
     maybe = seen[(h & np.uint64(0x3FFFF)).astype(np.int64)]
     h, at = h[maybe], at[maybe]
     if not len(h) or not len(block.seeds):
@@ -123,31 +165,34 @@ def found(block: Block, seen: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndar
     return k[hit], at[hit]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(score, first word, end word) of the best local alignment's stretch of ``text``."""
-    n = len(text)
-    at = np.arange(n + 1)
-    best, end = 0, 0
-    rows = np.zeros((len(item) + 1, n + 1), np.int32)
+def _rows(item: np.ndarray, text: np.ndarray, local: bool) -> Iterator[np.ndarray]:
+    """The alignment table's rows, one after another; ``local``: an alignment may start anywhere, else at the corner."""
+    at = np.arange(len(text) + 1)
+    prev = np.zeros(len(text) + 1, np.int64) if local else -GAP * at
     for i, word in enumerate(item, 1):
-        prev, row = rows[i - 1], rows[i]
+        row = np.empty_like(prev)
+        row[0] = 0 if local else -GAP * i
         np.maximum(prev[:-1] + np.where(text == word, MATCH, MISMATCH), prev[1:] - GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        row[:] = np.maximum.accumulate(row + GAP * at) - GAP * at  # gaps along the text
-        j = int(row.argmax())
-        if row[j] > best:
-            best, end, last = int(row[j]), j, i
+        if local:
+            np.maximum(row, 0, out=row)
+        prev = np.maximum.accumulate(row + GAP * at) - GAP * at  # gaps along the text
+        yield prev
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(score, first word, end word) of the best local alignment's stretch of ``text``, in two rows of memory."""
+    best, last, end = 0, 0, 0
+    for i, row in enumerate(_rows(item, text, True), 1):
+        if row[j := int(row.argmax())] > best:
+            best, last, end = int(row[j]), i, j
     if not best:
         return 0, 0, 0
-    i, j = last, end
-    while rows[i, j] > 0:
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if text[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] - GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
+    # Backwards from there, the shortest stretch with that score.
+    start = 0
+    for row in _rows(item[:last][::-1], text[:end][::-1], False):
+        if len(hit := np.flatnonzero(row == best)):
+            start = max(start, end - int(hit[0]))
+    return best, start, end
 
 
 def windows(start: int, end: int, reach: int) -> Iterator[tuple[int, int]]:
@@ -158,43 +203,72 @@ def windows(start: int, end: int, reach: int) -> Iterator[tuple[int, int]]:
     yield start, end
 
 
-def matches(block: Block, seen: np.ndarray, texts: list[bytes], threshold: float) -> list[list[dict]]:
+def stretches(block: Block, w: Words, k: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, end word) wherever enough of an item's seeds lie close enough together."""
+    count = block.lead[k + 1] - block.lead[k]
+    place = block.place[np.repeat(block.lead[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    at = np.repeat(at, count)
+    item = block.words.doc[place]
+    order = np.lexsort((place, at, item))
+    item, at, place = item[order], at[order], place[order]
+    if not len(at):
+        return
+    # One place a word of the text counts; a text's words are numbered on, so (item, word) tells texts apart.
+    new = np.append(True, (item[1:] != item[:-1]) | (at[1:] != at[:-1]))
+    item, at = item[new], at[new]
+    need, reach = block.least[item], block.reach[item]
+    far = np.minimum(np.arange(len(at)) + need - 1, len(at) - 1)
+    good = (np.arange(len(at)) + need - 1 < len(at)) & (item[far] == item) & (at[far] - at < reach) & (w.doc[at[far]] == w.doc[at])
+    held = None
+    for x in np.flatnonzero(good).tolist():
+        i, doc, pad = int(item[x]), int(w.doc[at[x]]), int(reach[x])
+        left, right = max(int(at[x]) - pad, int(w.first[doc])), min(int(at[far[x]]) + pad + 1, int(w.first[doc + 1]))
+        if held and held[:2] == (doc, i) and left <= held[3]:
+            held = (doc, i, held[2], max(right, held[3]))
+            continue
+        if held:
+            yield held
+        held = (doc, i, left, right)
+    if held:
+        yield held
+
+
+def matches(block: Block, seen: np.ndarray, texts: list[bytes]) -> list[list[dict]]:
     """Per text, the items that it holds: item_id, score, and the stretch in bytes."""
     out: list[list[dict]] = [[] for _ in texts]
     for lo, hi in chunks([len(t) + 1 for t in texts]):
         w = words_of(texts[lo:hi])
-        k, at = found(block, seen, w)
-        count = block.lead[k + 1] - block.lead[k]
-        place = block.place[np.repeat(block.lead[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        at = np.repeat(at, count)
-        item = block.words.doc[place]
-        a, b = block.words.first[item], block.words.first[item + 1]
-        pad = (b - a) // 2 + NGRAM
-        doc = w.doc[at]
-        left = np.maximum(at - (place - a) - pad, w.first[doc])
-        right = np.minimum(at + (b - place) + pad, w.first[doc + 1])
-        order = np.lexsort((left, item, doc))
-        doc, item, left, right = doc[order], item[order], left[order], right[order]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        x = 0
-        while x < len(doc):
-            y, stop = x + 1, right[x]
-            while y < len(doc) and doc[y] == doc[x] and item[y] == item[x] and left[y] <= stop:
-                stop = max(stop, right[y])
-                y += 1
-            words = block.words.hashes[block.words.first[item[x]]:block.words.first[item[x] + 1]]
-            top = MATCH * len(words)
-            key = (int(doc[x]), int(item[x]))
-            for lead, tail in windows(int(left[x]), int(stop), len(words) + int(top * (1 - threshold) / GAP) + 1):
-                if MATCH * np.isin(words, w.hashes[lead:tail]).sum() < threshold * top:
+        for doc, i, left, right in stretches(block, w, *found(block, seen, w)):
+            words = block.words.hashes[block.words.first[i]:block.words.first[i + 1]]
+            top, share = MATCH * len(words), float(block.share[i])
+            for lead, tail in windows(left, right, int(block.reach[i])):
+                if MATCH * np.isin(words, w.hashes[lead:tail]).sum() < share * top:
                     continue  # even with all of these aligned
                 score, j, end = align(words, w.hashes[lead:tail])
-                share = score / top
-                if share >= threshold and share > best.get(key, (0.0,))[0]:
-                    best[key] = (share, int(w.starts[lead + j]), int(w.ends[lead + end - 1]))
-            x = y
-        for (d, i), (share, start, end) in best.items():
-            out[lo + d].append({"item_id": block.ids[i], "score": share, "start": start, "end": end})
+                if score >= share * top and score / top > best.get((doc, i), (0.0,))[0]:
+                    best[doc, i] = (score / top, int(w.starts[lead + j]), int(w.ends[lead + end - 1]))
+        for (d, i), (score, start, end) in sorted(best.items()):
+            out[lo + d].append({"item_id": block.ids[i], "score": score, "start": start, "end": end})
+    return out
+
+
+def seed_counts(docs: DataFrame, text_col: str, held) -> np.ndarray:
+    """How often each seed of the broadcast block stands in the texts; a number a seed reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        seen, total = block.holds(), np.zeros(len(block.seeds), np.int64)
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for lo, hi in chunks([len(t) + 1 for t in texts]):
+                k, _ = found(block, seen, words_of(texts[lo:hi]))
+                total += np.bincount(k, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(held.value.seeds), np.int64)
+    out[rows["seed"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
@@ -206,11 +280,12 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     got = docs.withColumn(out, F.array().cast(kind))
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
     for items in item_blocks(benchmark, id_col, item_text):
-        held = spark.sparkContext.broadcast(block_of(items))
+        every = spark.sparkContext.broadcast(block_of(items, threshold))
+        held = spark.sparkContext.broadcast(every.value.rare(seed_counts(docs, text_col, every)))
         at, to = got.columns.index(text_col), got.columns.index(out)
 
         def run(batch: pa.RecordBatch, held=held, at=at, to=to) -> pa.RecordBatch:
-            new = matches(held.value, held.value.holds(), text_bytes(batch.column(at)), threshold)
+            new = matches(held.value, held.value.holds(), text_bytes(batch.column(at)))
             before = batch.column(to).to_pylist()
             columns = list(batch.columns)
             columns[to] = pa.array([a + b for a, b in zip(before, new)], struct)
