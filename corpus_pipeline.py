@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document, or an earlier place in the same one, has."""
     (removed,) = fresh(docs, "_removed")
-    rows = linedup.dedup(docs, "doc_id", "text", removed=removed)
+    rows = linedup.dedup(docs, "doc_id", "text", removed=removed, exact_bytes=1)
     n_chars = [F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(f.name) for f in docs.schema.fields]
     return rows.select(*n_chars)
 

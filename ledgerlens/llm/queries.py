@@ -57,7 +57,7 @@ def op7_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linedup.dedup(docs).select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"),
+    return linedup.dedup(docs, exact_bytes=1).select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"),
                                       F.sha2("text", 256).alias("kept_sha256"))
 
 
