@@ -36,10 +36,11 @@ ORACLES: dict[str, str] = {}
 
 def _sayings() -> str:
     """``conversations`` as ``ledgerlens.sources.tables.conversations`` binds it."""
-    from ledgerlens.sources.tables import SAYINGS
+    from ledgerlens.sources.tables import SAID_TURN, SAYINGS
 
     cases = " ".join(f"WHEN {k} THEN '" + v.replace("\n", "' || chr(10) || '") + "'" for k, v in SAYINGS.items())
-    return f"(SELECT conv_id, turn, role, CASE (conv_id + turn) % 20 {cases} ELSE text END AS text FROM conversations)"
+    return (f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn + {SAID_TURN}, role, "
+            f"CASE (conv_id + turn) % 20 {cases} END FROM conversations WHERE (conv_id + turn) % 20 IN ({', '.join(map(str, SAYINGS))}))")
 
 
 CONVERSATIONS = _sayings()
@@ -208,7 +209,7 @@ ALERT_CTE = """
 WITH li AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey),
 a0 AS (
   SELECT 'syn:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS message_id,
-         l_linenumber % 4 AS kind, l_linenumber, l_orderkey, l_suppkey, p_name, p_type, l_shipdate,
+         l_linenumber % 4 AS kind, l_linenumber, l_orderkey, l_suppkey, l_returnflag, p_name, p_type, l_shipdate,
          split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS amt,
          lpad(CAST(l_suppkey % 10000 AS VARCHAR), 4, '0') AS card,
@@ -559,7 +560,7 @@ f AS (
   FROM w)
 """
 ORACLES["interpret_question"] = "WITH x AS (SELECT 1)" + _QUESTIONS + "SELECT * FROM f"
-oracle("answer_questions", _QUESTIONS + """
+_TOTALS = """
 SELECT f.question_id, CAST(COALESCE(SUM(e.amount), 0) AS DOUBLE) AS total
 FROM f LEFT JOIN expenses e
   ON (f.merchant IS NULL OR e.merchant ILIKE '%' || f.merchant || '%')
@@ -568,7 +569,8 @@ FROM f LEFT JOIN expenses e
  AND (f.start_date IS NULL OR e.txn_date >= f.start_date)
  AND (f.end_date IS NULL OR e.txn_date <= f.end_date)
 GROUP BY f.question_id
-""")
+"""
+oracle("answer_questions", _QUESTIONS + _TOTALS)
 
 
 def _any_contains(col: str, words) -> str:
@@ -601,6 +603,62 @@ def _redact_chain(rules) -> str:
 
 _question_oracles()
 
+
+def _answer_routed() -> str:
+    """Totals of structured questions; for the others the nearest transactions by hashed-token vectors.
+
+    A token's place is its 32-bit Murmur3 hash (seed 42) modulo 64; vectors are counts over their length, in single precision.
+    """
+    def times(a: str, b: int) -> str:
+        return f"(({a})::HUGEINT * {b} % 4294967296)::BIGINT"
+
+    def let(value: str, body: str) -> str:  # body of x
+        return f"list_transform([{value}], lambda x: {body})[1]"
+
+    def rotl(value: str, n: int) -> str:
+        return let(value, f"x * {1 << n} % 4294967296 + x // {1 << 32 - n}")
+
+    def mixed(k: str) -> str:
+        return times(rotl(times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+    byte = "(strpos('0123456789ABCDEF', substr(h, 2 * ({i}) + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * ({i}) + 2, 1)) - 17)::BIGINT"
+    word = " + ".join(f"{byte.replace('{i}', f'4 * b + {k}')} * {256 ** k}" for k in range(4))
+    tail = " + ".join(f"CASE WHEN n % 4 > {k} THEN {byte.replace('{i}', f'n // 4 * 4 + {k}')} * {256 ** k} ELSE 0 END" for k in range(3))
+    return ALERT_CTE.rstrip() + "," + TXN_CTE.strip()[5:] + _QUESTIONS.replace("~CONV~", CONVERSATIONS) + f"""
+, routes AS (""" + ORACLES["route_questions"] + f"""),
+totals AS (""" + _TOTALS + f"""),
+texts AS (
+  SELECT 'q' AS side, NULL::VARCHAR AS source, question_id AS id, t AS body FROM q JOIN routes USING (question_id) WHERE route = 'semantic'
+  UNION ALL
+  SELECT 't', message_id, row_number() OVER (), lower(array_to_string(list_filter([
+      CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 5 AND day(l_shipdate) = 1 THEN 'City Rent'
+        WHEN l_linenumber = 6 AND l_suppkey % 4 = 2 THEN 'the' WHEN l_linenumber = 6 AND l_suppkey % 4 = 0 THEN ''
+        WHEN l_linenumber = 6 AND l_suppkey % 4 = 1 THEN 'Unknown' ELSE p_name END,
+      CASE p_type WHEN 'STANDARD' THEN NULL WHEN 'PROMO' THEN 'Other' ELSE p_type END,
+      CASE kind WHEN 0 THEN 'UPI' WHEN 1 THEN 'CREDIT CARD' WHEN 2 THEN 'NEFT' END, text], lambda p: p IS NOT NULL AND p <> ''), ' '))
+  FROM alerts WHERE l_returnflag <> 'R'),
+tokens AS (SELECT side, id, unnest(list_filter(string_split_regex(body, '[^\\p{{L}}\\p{{N}}]+'), lambda p: p <> '')) AS w FROM texts),
+hex AS (SELECT w, hex(encode(w)) AS h, strlen(w) AS n FROM (SELECT DISTINCT w FROM tokens)),
+m1 AS (SELECT *, list_reduce(list_prepend(42::BIGINT, list_transform(range(n // 4), lambda b: {mixed(word)})),
+  lambda g, k: ({times(rotl('xor(g, k)', 13), 5)} + 3864292196) % 4294967296) AS g FROM hex),
+m2 AS (SELECT w, n, CASE WHEN n % 4 > 0 THEN xor(g, {mixed(tail)}) ELSE g END AS g FROM m1),
+m3 AS (SELECT w, {times(let('xor(g, n::BIGINT)', 'xor(x, x // 65536)'), 0x85EBCA6B)} AS g FROM m2),
+m4 AS (SELECT w, {times('xor(g, g // 8192)', 0xC2B2AE35)} AS g FROM m3),
+places AS (SELECT w, xor(g, g // 65536) % 64 AS i FROM m4),
+counts AS (SELECT side, id, i, COUNT(*) AS c FROM tokens JOIN places USING (w) GROUP BY ALL),
+sized AS (SELECT *, CAST(c / sqrt(SUM(c * c) OVER (PARTITION BY side, id)) AS FLOAT)::DOUBLE AS x FROM counts),
+spread AS (SELECT side, source, id, unnest(range(64)) AS i FROM texts),
+vectors AS (SELECT s.side, s.source, s.id, list(coalesce(x, 0) ORDER BY s.i) AS v
+  FROM spread s LEFT JOIN sized z ON z.side = s.side AND z.i = s.i AND z.id = s.id
+  GROUP BY ALL),
+near AS (SELECT q.id AS question_id, t.source, ROUND(list_distance(q.v, t.v), 9) AS d FROM vectors q, vectors t WHERE q.side = 'q' AND t.side = 't'
+  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY d, t.source) <= 5),
+found AS (SELECT question_id, list(source ORDER BY d, source) AS matches FROM near GROUP BY question_id)
+SELECT r.question_id, r.route, CASE WHEN r.route = 'sql' THEN totals.total END AS total, matches
+FROM routes r LEFT JOIN totals ON totals.question_id = r.question_id LEFT JOIN found ON found.question_id = r.question_id
+"""
+
+
 oracle("guarded_sql", "SELECT category, CAST(SUM(amount) AS DOUBLE) AS total FROM expenses GROUP BY category")
 
 ORACLES["strip_code_fence"] = r"""
@@ -968,5 +1026,6 @@ def _entities() -> str:
 
 
 ORACLES["html_to_text"] = ORACLES["html_to_text"].replace("~ENTITIES~", _entities())
+ORACLES["answer_routed"] = _answer_routed()
 for _name, _sql in ORACLES.items():
     ORACLES[_name] = _sql.replace("~CONV~", CONVERSATIONS).replace("~DOCS~", DOCUMENTS)

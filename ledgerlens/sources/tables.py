@@ -188,22 +188,25 @@ def mail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: What users (and a query log) say, by (conv_id + turn) % 20; other rows keep their own text.
+#: What users (and a query log) say besides, by (conv_id + turn) % 20.
 SAYINGS = {
     0: "how much did I spend on widget", 1: "total upi spend last month on gear", 2: "week", 3: "month", 4: "shopping this week gizmo",
     5: "```sql\nselect category, amount from expenses\n```", 6: "select merchant from expenses where amount > 10",
     7: "Select 1; drop table expenses", 8: "yesterday", 9: "today", 10: "upi",
 }
+#: Added to the turn of a row that a saying follows; real turns are below it.
+SAID_TURN = 500
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation rows, some of them asking about transactions."""
+    """Conversation rows as they are, and further rows that ask about transactions."""
     c = read_table(spark, sf_dir, "conversations")
-    k = (F.col("conv_id") + F.col("turn")) % 20
-    text = F.col("text")
-    for n, saying in SAYINGS.items():
-        text = F.when(k == n, F.lit(saying)).otherwise(text)
-    return c.withColumn("text", text)
+    k = ((F.col("conv_id") + F.col("turn")) % 20).cast("int")
+    said = F.element_at(F.create_map(*[F.lit(x) for kv in SAYINGS.items() for x in kv]), k)
+    both = F.array(F.struct("turn", "text"), F.struct((F.col("turn") + SAID_TURN).alias("turn"), said.alias("text")))
+    own = F.when(k.isin(list(SAYINGS)), both).otherwise(F.slice(both, 1, 1))
+    others = [x for x in c.columns if x not in ("turn", "text")]
+    return c.select(*others, F.explode(own).alias("r")).select(*[F.col(f"r.{x}") if x in ("turn", "text") else F.col(x) for x in c.columns])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,7 +204,7 @@ def test_query_blocks_are_exact(spark, monkeypatch):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
     queries = V.centroids(emb, "label").withColumnRenamed("label", "query_id")
     one = sorted(tuple(r) for r in V.semantic_search_batch(emb, queries).collect())
-    monkeypatch.setattr(V, "QUERY_BLOCK", 1)
+    monkeypatch.setattr("ledgerlens.operators.vector_index.QUERY_BLOCK", 1)
     many = sorted(tuple(r) for r in V.semantic_search_batch(emb, queries).collect())
     assert one == many and len(one) > 0
 
