@@ -502,8 +502,7 @@ def q_semantic_search_batch(spark, sf):
 
 @register("embed_transactions")
 def q_embed_transactions(spark, sf):
-    txn = S.bound_transactions(spark, sf)
-    e = V.embed_transactions(txn, dim=64)
+    e = V.embed_transactions(S.bound_transactions(spark, sf, costly=True), dim=64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, v: a + v * v))
     return e.select("source", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
 
@@ -534,7 +533,7 @@ def q_route_questions(spark, sf):
 
 @register("answer_routed")
 def q_answer_routed(spark, sf):
-    return as_double(QA.answer_routed(_user_questions(spark, sf), _exp(spark, sf), AS_OF), "total")
+    return as_double(QA.answer_routed(_user_questions(spark, sf), S.expenses(spark, sf, costly=True), AS_OF), "total")
 
 
 GUARDED_SQL = "```sql\nSELECT category, CAST(SUM(amount) AS DOUBLE) AS total FROM expenses GROUP BY category\n```"

@@ -22,8 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores (one row group a file) dealt over them, before costly expressions; others stay as read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def _lineitem_part(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
+    if costly:
+        li = spread(li)
     part = read_table(spark, sf_dir, "part")
     # Plain equi-join: Spark picks broadcast only when ``part`` is under the
     # autoBroadcastJoinThreshold (its own size check); otherwise sort-merge.
@@ -50,9 +58,9 @@ def _bound_merchant() -> Column:
             .otherwise(F.col("p_name")))
 
 
-def bound_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All transactions (debits and credits) with a ``txn_type`` column."""
-    j = _lineitem_part(spark, sf_dir)
+def bound_transactions(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """All transactions (debits and credits) with a ``txn_type`` column; ``costly`` work on them follows."""
+    j = _lineitem_part(spark, sf_dir, costly)
     return j.select(
         _source_key().alias("source"),
         F.col("l_shipdate").alias("txn_date"),
@@ -77,8 +85,8 @@ def bound_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bound_transactions(spark, sf_dir).filter(F.col("txn_type") == "debit").drop("txn_type")
+def expenses(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return bound_transactions(spark, sf_dir, costly).filter(F.col("txn_type") == "debit").drop("txn_type")
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
