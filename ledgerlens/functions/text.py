@@ -33,6 +33,15 @@ def contains_pattern(word: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("%"), word, F.lit("%")), r"(\\[%_\\])|\\(.)", "$1$2")
 
 
+WILDCARD = r"[%_\\]"
+
+
+def like_fragment(word: Column) -> Column:
+    """The longest literal piece of a LIKE word (the word itself without wildcards; '' if there is none)."""
+    pieces = F.split(word, r"\\.|[%_\\]")
+    return F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+
+
 def title_case(c: Column | str) -> Column:
     """Capitalise the first letter of every run of letters, lower the rest.
 
