@@ -193,7 +193,7 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
                .filter(~F.col("value").rlike(r'^"?#') & (F.regexp_replace("value", r"\s", "") != "")))
     heads = records.groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
     names_of = F.transform(F.split("h.value", ","), lambda h: F.lower(strip_ws(F.regexp_replace(h, '"', ""))))
-    wide = 16  # columns that a mapping file may have
+    wide = heads.agg(F.max(F.size(F.split("h.value", ",")))).first()[0] or 1  # as many columns as the widest header names
     ddl = ", ".join(f"`c{i}` string" for i in range(wide))
     parsed = (records.join(heads, "file").filter(F.col("at") > F.col("h.at"))
               .select("file", "at", names_of.alias("names"), F.from_csv(F.col("value"), ddl, {"multiLine": "true"}).alias("r")))

@@ -110,6 +110,7 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, *, store
     schema = T.StructType([*SCHEMAS[kind].fields, T.StructField("n_parts", T.IntegerType())])
     waiting = T.StructType([*schema.fields, T.StructField("waited", T.IntegerType())])
     pending_path = f"{quarantine_path.rstrip('/')}-pending/kind={kind}"
+    waiting_none = spark.createDataFrame([], waiting)
     frames, bad = read_files(spark, paths, schema, fmt)
     try:
         data = frames[0] if frames else spark.createDataFrame([], schema)
@@ -117,9 +118,12 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, *, store
             data = data.unionByName(more)
         known = data.filter(F.col("doc").isNotNull())
         before = _or_empty(spark, f"{pending_path}/batch_id={batch_id - 1}", waiting)
-        whole, pending, late = gather(known.where("n_parts is not null"), before, PARTS[kind], max_wait)
-        pending.write.mode("overwrite").parquet(f"{pending_path}/batch_id={batch_id}")
-        ready = known.where("n_parts is null").unionByName(whole).select(*columns)
+        parted, ready, late = known.where("n_parts is not null"), known.where("n_parts is null"), waiting_none
+        if parted.select("doc").unionByName(before.select("doc")).limit(1).count():  # no version means that none is pending
+            whole, pending, late = gather(parted, before, PARTS[kind], max_wait)
+            pending.write.mode("overwrite").parquet(f"{pending_path}/batch_id={batch_id}")
+            ready = ready.unionByName(whole)
+        ready = ready.select(*columns)
         tables, pages = (ready, None) if kind == "tables" else (None, ready)
 
         formats = SM.detect_statement_format(tables, pages)

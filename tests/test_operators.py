@@ -405,3 +405,15 @@ def test_bound_rows_reach_every_rule(spark):
     assert C.QUERIES["recurring_payments"](spark, SF01).filter("is_recurring").count() > 0
     assert C.QUERIES["answer_questions"](spark, SF001).filter("total > 0").count() > 0
     assert C.QUERIES["redact_pii"](spark, SF001).filter("text like '%Ref#[REDACTED]%' and text like '%REDACTED_CARD%' and text like '%REDACTED_PIN%'").count() > 0
+
+
+def test_mapping_csv_of_any_width(spark, tmp_path):
+    """The named columns of a 40-column file are found wherever they stand, beside a narrow file."""
+    names = [f"extra{i}" for i in range(40)]
+    names[3], names[17], names[25], names[39] = "raw_pattern", "category", "priority", "clean_name"
+    values = [f"x{i}" for i in range(40)]
+    values[3], values[17], values[25], values[39] = "SWIGGY", '"Food, out"', "7", '"Swiggy\nOne"'
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n")
+    (tmp_path / "b.csv").write_text("raw_pattern,clean_name,category\nuber,Uber,Transport\n")
+    got = sorted(tuple(r) for r in ST.read_mapping_csv(spark, str(tmp_path)).select("raw_pattern", "clean_name", "category", "priority", "status").collect())
+    assert got == [("swiggy", "Swiggy\nOne", "Food, out", 7, "ok"), ("uber", "Uber", "Transport", 0, "ok")]
