@@ -2,14 +2,13 @@
 
 No row-level storage engine is built: the transaction store is a Parquet
 folder partitioned by ``txn_type`` that is appended to, and every other
-change is a dataset-to-dataset job whose result is written as the table's
-next version and swapped in.  Reads and joins stay declarative.
+change is a dataset-to-dataset job over the files it concerns, whose result
+is committed as the table's next version (``versions``).  Reads and joins
+stay declarative.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.merchant import reclean
 from ledgerlens.functions.text import strip_ws
+from ledgerlens.operators.versions import (  # noqa: F401 - a table's versions are part of this module's API
+    Changed, change_files, change_table, current_version, read_version, save_version, version_files)
 from ledgerlens.session import stage
 
 TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "sub_category",
@@ -85,51 +86,47 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# --- versioned tables ----------------------------------------------------------------------
+# --- M1 / M2 / M4 / M5 on versioned tables -----------------------------------------------------
 
-_COMMITS = "version long, n_rows long"
+def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, as_of: str) -> Changed:
+    """M1 on a stored table: only files that hold a pattern of ``incoming`` are rewritten, new patterns go with them."""
+    keys = incoming.select(F.lower(strip_ws(F.col("raw_pattern"))).alias("raw_pattern")).distinct()
+    return change_files(spark, path, lambda t: t.join(keys, "raw_pattern", "left_semi"),
+                        lambda rows, table: upsert_mappings(rows, incoming, as_of, ids_after=table))
 
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """The last committed version of a table, 0 if there is none."""
-    try:
-        return spark.read.schema(_COMMITS).parquet(f"{path}/commits").agg(F.max("version")).first()[0] or 0
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
+def delete_from_table(spark: SparkSession, path: str, pattern: str) -> bool:
+    """M2 on a stored table: only the files that hold the pattern are rewritten; tells whether it existed."""
+    key = pattern.lower().strip()
+    done = change_files(spark, path, lambda t: t.filter(F.col("raw_pattern") == key), lambda rows, _: delete_mapping(rows, pattern)[0])
+    return done.rewritten > 0
 
 
-def save_version(df: DataFrame, path: str) -> int:
-    """Write ``df`` as the next version and swap it in.
+def delete_bad_from_table(spark: SparkSession, path: str) -> Changed:
+    """M5 on a stored table: only files that hold bad rows are rewritten."""
+    return change_files(spark, path, lambda t: t.filter(bad_row()), lambda rows, _: delete_bad_rows(rows))
 
-    The version's files are complete before its one-row commit is appended,
-    and readers take the last committed one, so a change is seen whole or
-    not at all and a failed job leaves the table as it was.
-    """
-    spark = df.sparkSession
-    version = current_version(spark, path) + 1
-    target = f"{path}/data/version={version}"
-    df.write.mode("overwrite").parquet(target)
-    n = spark.read.schema(df.schema).parquet(target).count()
-    spark.createDataFrame([(version, n)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
-    return version
 
+def reclean_table(spark: SparkSession, path: str) -> Changed:
+    """M4 on a stored table: only files that hold a merchant whose clean form differs are rewritten."""
+    columns = lambda t: t.select(*[c for c in t.columns if c not in ("old_merchant", "change")])
+
+    def hit(table: DataFrame) -> DataFrame:
+        names = table.filter(F.col("merchant") != "").select("merchant").distinct()
+        stale = names.filter(~reclean("merchant").eqNullSafe(F.col("merchant")))
+        return table.join(stale, "merchant", "left_semi")
 
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A table as last committed, or as of an earlier version."""
-    return spark.read.parquet(f"{path}/data/version={version or current_version(spark, path)}")
+    return change_files(spark, path, hit, lambda rows, _: columns(reclean_existing(rows)))
 
 
-def change_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
-    """Run a dataset-to-dataset change on a table and swap in the result."""
-    return save_version(change(read_version(spark, path)), path)
+def bad_row() -> Column:
+    """The rows that Q5 reports: a plain predicate, so a scan's file statistics can use it; NULL counts as false."""
+    return (F.col("amount") > K.MAX_AMOUNT) | F.col("merchant").isin(*K.BAD_MERCHANTS)
 
 
 def delete_bad_rows(df: DataFrame) -> DataFrame:
     """NULL-safe complement of the bad-row filter."""
-    bad = (F.col("amount") > K.MAX_AMOUNT) | F.col("merchant").isin(*K.BAD_MERCHANTS)
-    return df.filter(~F.coalesce(bad, F.lit(False)))
+    return df.filter(~F.coalesce(bad_row(), F.lit(False)))
 
 
 def truncate_expenses(spark: SparkSession, path: str, schema) -> None:
@@ -238,10 +235,11 @@ def number_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
 # --- M1 / M2 / M3 -------------------------------------------------------------------------------
 
-def upsert_mappings(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
+def upsert_mappings(existing: DataFrame, incoming: DataFrame, as_of: str, ids_after: DataFrame | None = None) -> DataFrame:
     """Insert or update by normalised pattern; the last duplicate in the
     batch wins (by ``line_no``); updates keep ``id`` and ``created_at`` and
-    stamp ``updated_at``; new patterns get ids after the current maximum,
+    stamp ``updated_at``; new patterns get ids after the current maximum
+    (of ``ids_after``, where ``existing`` is only a part of the table),
     in order of first appearance."""
     now = F.lit(as_of).cast("timestamp_ntz")
     inc = incoming.select(
@@ -260,7 +258,7 @@ def upsert_mappings(existing: DataFrame, incoming: DataFrame, as_of: str) -> Dat
     new = number_rows(last.join(ex.select("raw_pattern"), "raw_pattern", "left_anti").select("raw_pattern", "first_line"), ["first_line", "raw_pattern"], "new_rank")
     j = ex.alias("e").join(last.alias("n"), "raw_pattern", "full_outer").join(new.select("raw_pattern", "new_rank"), "raw_pattern", "left")
     # One scalar from a dimension table: the next free id.
-    max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    max_id = (existing if ids_after is None else ids_after).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     staged = j.select(
         "raw_pattern", F.col("e.id").alias("old_id"), "new_rank",
         F.coalesce(F.col("n.v.clean_name"), F.col("e.clean_name")).alias("clean_name"),

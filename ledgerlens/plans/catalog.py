@@ -398,8 +398,10 @@ def q_publish_bi_views(spark, sf):
 
 @register("delete_bad_rows")
 def q_delete_bad_rows(spark, sf):
-    rows = _changed(spark, "expenses", _exp(spark, sf).select("source", "amount", "merchant"), ST.delete_bad_rows)
-    return as_double(rows.select("source", "amount"), "amount")
+    path = scratch_path(spark, "expenses")
+    ST.save_version(_exp(spark, sf).select("source", "amount", "merchant"), path)
+    ST.delete_bad_from_table(spark, path)
+    return as_double(ST.read_version(spark, path).select("source", "amount"), "amount")
 
 
 def _mapping_csv(spark, sf) -> str:
@@ -434,25 +436,29 @@ def _changed(spark, name, table, change):
 
 
 def _upserted(spark, sf):
+    """The path of a mapping table after an import of the CSV."""
+    path = scratch_path(spark, "mappings")
     rows = ST.read_mapping_csv(spark, _mapping_csv(spark, sf)).filter(F.col("status") == "ok")
-    return _changed(spark, "mappings", FX.test_mappings(spark), lambda t: ST.upsert_mappings(t, rows, as_of=AS_OF))
+    ST.save_version(FX.test_mappings(spark), path)
+    ST.upsert_table(spark, path, rows, as_of=AS_OF)
+    return path
 
 
 @register("upsert_mappings")
 def q_upsert_mappings(spark, sf):
-    return _upserted(spark, sf).select("id", "raw_pattern", "clean_name", "category", "sub_category", "priority")
+    return ST.read_version(spark, _upserted(spark, sf)).select("id", "raw_pattern", "clean_name", "category", "sub_category", "priority")
 
 
 @register("lookup_mapping")
 def q_lookup_mapping(spark, sf):
-    return ST.lookup_mapping(_upserted(spark, sf), "  Blue Widget ").select("id", "raw_pattern", "clean_name")
+    return ST.lookup_mapping(ST.read_version(spark, _upserted(spark, sf)), "  Blue Widget ").select("id", "raw_pattern", "clean_name")
 
 
 @register("delete_mapping")
 def q_delete_mapping(spark, sf):
-    existed = ST.delete_mapping(_upserted(spark, sf), "GEAR")[1]
-    remaining = _changed(spark, "mappings", _upserted(spark, sf), lambda t: ST.delete_mapping(t, "GEAR")[0])
-    return remaining.select("id", "raw_pattern", existed.select("existed").scalar().alias("existed"))
+    path = _upserted(spark, sf)
+    existed = ST.delete_from_table(spark, path, "GEAR")
+    return ST.read_version(spark, path).select("id", "raw_pattern", F.lit(existed).alias("existed"))
 
 
 def _raw_merchants(spark, sf):
@@ -806,7 +812,7 @@ def q_category_rank(spark, sf):
 @register("mapping_order")
 def q_mapping_order(spark, sf):
     """T-3: mappings by priority desc, id asc, with the listing position."""
-    return R.mapping_order(_upserted(spark, sf)).select("id", "raw_pattern", "priority", "position")
+    return R.mapping_order(ST.read_version(spark, _upserted(spark, sf))).select("id", "raw_pattern", "priority", "position")
 
 
 def _store_with_both(spark, sf):

@@ -417,3 +417,76 @@ def test_mapping_csv_of_any_width(spark, tmp_path):
     (tmp_path / "b.csv").write_text("raw_pattern,clean_name,category\nuber,Uber,Transport\n")
     got = sorted(tuple(r) for r in ST.read_mapping_csv(spark, str(tmp_path)).select("raw_pattern", "clean_name", "category", "priority", "status").collect())
     assert got == [("swiggy", "Swiggy\nOne", "Food, out", 7, "ok"), ("uber", "Uber", "Transport", 0, "ok")]
+
+
+# --- file-level copy-on-write, commits of several writers ----------------------------------------
+
+def _files(spark, path):
+    return {r.file for r in ST.version_files(spark, path).collect()}
+
+
+def test_only_files_with_changed_rows_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, f"s{i:03d}", Decimal(i), "Shop") for i in range(200)]
+    rows[150] = (150, "s150", Decimal("99999999"), "Shop")
+    df = spark.createDataFrame(rows, "n int, source string, amount decimal(12,2), merchant string").repartitionByRange(8, "n")
+    assert ST.save_version(df, path) == 1
+    before = _files(spark, path)
+    assert len(before) == 8
+    done = ST.delete_bad_from_table(spark, path)
+    after = _files(spark, path)
+    assert (done.version, done.rewritten, done.kept) == (2, 1, 7) and len(before & after) == 7
+    assert sorted(r.n for r in ST.read_version(spark, path).collect()) == [i for i in range(200) if i != 150]
+    assert ST.read_version(spark, path, 1).count() == 200
+    assert ST.delete_bad_from_table(spark, path).version == 2  # nothing to change: no version
+    # a change that leaves no row keeps the schema, and the table can grow again
+    ST.change_files(spark, path, lambda t: t, lambda r, _: r.limit(0))
+    assert ST.read_version(spark, path).columns == ["n", "source", "amount", "merchant"] and ST.read_version(spark, path).count() == 0
+    ST.change_files(spark, path, lambda t: t.limit(0), lambda r, _: r.unionByName(df.limit(3)))
+    assert ST.read_version(spark, path).count() == 3
+
+
+def test_reclean_rewrites_files_with_stale_merchants(spark, tmp_path):
+    path = str(tmp_path / "t")
+    names = ["Shop"] * 40 + ["swiggy@ybl", None, "", "12345"]
+    df = spark.createDataFrame(list(enumerate(names)), "n int, merchant string").repartitionByRange(6, "n")
+    clean = sorted((r.n, r.merchant) for r in ST.reclean_existing(df).collect())
+    ST.save_version(df, path)
+    done = ST.reclean_table(spark, path)
+    assert 0 < done.rewritten < 6 and done.rewritten + done.kept == 6
+    assert sorted((r.n, r.merchant) for r in ST.read_version(spark, path).collect()) == clean
+    assert ST.reclean_table(spark, path).version == done.version  # settled
+
+
+def test_of_two_writers_none_loses_its_update(spark, tmp_path, mappings):
+    """A second writer commits while the first one works: the first repeats its change on the newer version."""
+    path = str(tmp_path / "m")
+    ST.save_version(mappings.repartition(4), path)
+    batch = spark.createDataFrame([("first", "First", "A", "", 1, 0)], "raw_pattern string, clean_name string, category string, sub_category string, priority int, line_no int")
+    other = batch.select(F.lit("second").alias("raw_pattern"), *batch.columns[1:])
+    tries = []
+
+    def change(rows, table):
+        tries.append(ST.current_version(spark, path))
+        if len(tries) == 1:
+            assert ST.upsert_table(spark, path, other, "2024-01-01 00:00:00").version == 2
+        return ST.upsert_mappings(rows, batch, "2024-01-01 00:00:00", ids_after=table)
+
+    keys = ["first"]
+    assert ST.change_files(spark, path, lambda t: t.filter(F.col("raw_pattern").isin(keys)), change).version == 3
+    assert tries == [1, 2]
+    top = mappings.agg(F.max("id")).first()[0]
+    got = {r.raw_pattern: r.id for r in ST.read_version(spark, path).collect()}
+    assert got["second"] == top + 1 and got["first"] == top + 2 and len(got) == mappings.count() + 2
+    # a whole rewrite is repeated the same way, and leaves no files of the refused try
+    runs = []
+
+    def drop(t):
+        runs.append(1)
+        if len(runs) == 1:
+            ST.delete_from_table(spark, path, "second")
+        return t.filter("raw_pattern <> 'first'")
+
+    assert ST.change_table(spark, path, drop) == 5 and len(runs) == 2
+    assert {r.raw_pattern for r in ST.read_version(spark, path).collect()} == set(got) - {"first", "second"}
+    assert len(list((tmp_path / "m" / "data").iterdir())) == len(list((tmp_path / "m" / "manifests").iterdir())) == 5
