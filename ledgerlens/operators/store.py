@@ -9,6 +9,8 @@ stay declarative.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.merchant import reclean
 from ledgerlens.functions.text import strip_ws
+from ledgerlens.operators.store_keys import drop_index, known_keys
 from ledgerlens.operators.versions import (  # noqa: F401 - a table's versions are part of this module's API
     Changed, change_files, change_table, current_version, read_version, save_version, version_files)
 from ledgerlens.session import stage
@@ -40,13 +43,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
             .filter(F.col(rank) == 1).select(*df.columns))
 
 
-def dedup_against_store(batch: DataFrame, store: DataFrame, order: list[Column] | None = None,
+#: A store's keys: its rows, or a function from a batch's rows to those of its keys that are stored.
+Stored = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def stored_at(spark: SparkSession, path: str) -> Stored:
+    """The store at ``path`` for the key checks, through its key index."""
+    return lambda batch: known_keys(spark, path, batch)
+
+
+def dedup_against_store(batch: DataFrame, store: Stored, order: list[Column] | None = None,
                         keys: tuple[str, ...] = ("txn_type", "source")) -> DataFrame:
     """Rows of ``batch`` whose key is not yet in ``store``; in-batch
     duplicates keep the first row by ``order``.  Debits and credits are
     checked separately because ``txn_type`` is part of the key."""
     first = first_per_key(batch, list(keys), order or [F.col(keys[-1])])
-    return first.join(store.select(*keys), list(keys), "left_anti")
+    known = store.select(*keys) if isinstance(store, DataFrame) else store(batch)
+    return first.join(known, list(keys), "left_anti")
 
 
 # --- S11 / M5 / M6 ------------------------------------------------------------------------
@@ -131,6 +144,7 @@ def delete_bad_rows(df: DataFrame) -> DataFrame:
 
 def truncate_expenses(spark: SparkSession, path: str, schema) -> None:
     """Empty the debit partition only (credits untouched)."""
+    drop_index(spark, path)
     spark.createDataFrame([], schema).drop("txn_type").write.mode("overwrite").parquet(f"{path}/txn_type=debit")
 
 
@@ -145,6 +159,7 @@ def drop_expenses(spark: SparkSession, path: str) -> None:
             raise
         return
     credits = stage(store.filter(F.col("txn_type") == "credit"))
+    drop_index(spark, path)
     credits.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("txn_type").parquet(path)
 
 

@@ -4,8 +4,9 @@ New extracted-statement files (``STATEMENT_TABLE`` or ``STATEMENT_TEXT``
 rows as JSON or Parquet) dropped into an inbox folder are picked up by the
 file source.  The stream itself carries only the files' paths; each
 micro-batch reads its files in ``foreachBatch`` and runs the statement
-pipeline: parse, anti-join against the store on (txn_type, source),
-categorise, embed, append to the store partitioned by ``txn_type``.
+pipeline: parse, check the keys (txn_type, source) against the store through
+its key index (the batch's buckets only, not the whole store), categorise,
+embed, append to the store partitioned by ``txn_type``.
 
 A bad file never stops the flow: when reading a batch's files fails, the
 files are halved until those that can't be read stand alone; they go to the
@@ -21,7 +22,7 @@ without ``n_parts`` belong to documents whose file holds them whole, as the
 PDF they were extracted from does.
 
 Exactly-once is by source key: a replayed micro-batch after executor or
-driver loss reads the pending version before it, re-runs the anti-join
+driver loss reads the pending version before it, re-runs the key check
 against what was already appended, and writes its quarantine and pending
 folders anew, so nothing is stored twice; the checkpoint (under the shared
 checkpoint folder) records which files were consumed.  Finished files are
@@ -136,9 +137,8 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, *, store
         # One folder per batch, overwritten if the batch is replayed.
         (unknown.unionByName(incomplete).unionByName(broken).unionByName(files)
          .write.mode("overwrite").parquet(f"{quarantine_path}/kind={kind}/batch_id={batch_id}"))
-        result = PL.statement_pipeline(tables, pages, _or_empty(spark, store_path, "txn_type string, source string"), mappings,
-                                       created_at=created_at, as_of_year=as_of_year)
-        PL.append_result(result, store_path)
+        result = PL.statement_pipeline(tables, pages, ST.stored_at(spark, store_path), mappings, created_at=created_at, as_of_year=as_of_year)
+        PL.append_result(result, store_path, index=True)
     finally:
         for frame in frames:
             frame.unpersist()
