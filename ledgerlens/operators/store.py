@@ -65,11 +65,16 @@ def dedup_against_store(batch: DataFrame, store: Stored, order: list[Column] | N
 # --- S11 / M5 / M6 ------------------------------------------------------------------------
 
 def to_store_rows(parsed: DataFrame, created_at: str | Column | None = None) -> DataFrame:
-    """Shape rows for the store: id (UUID) and currency default at the sink."""
+    """Shape rows for the store: id and currency default at the sink.
+
+    The id is a UUID made from the key (txn_type, source), so a retried task
+    gives the same; rows without a source get a random one.
+    """
     ts = (F.lit(created_at).cast("timestamp_ntz") if isinstance(created_at, str)
           else created_at if created_at is not None else F.localtimestamp())
+    keyed = F.regexp_replace(F.md5(F.concat_ws("|", "txn_type", "source")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     cols = {
-        "id": F.expr("uuid()"),
+        "id": F.when(F.col("source").isNotNull(), keyed).otherwise(F.expr("uuid()")) if "source" in parsed.columns else F.expr("uuid()"),
         "currency": F.coalesce(F.col("currency"), F.lit(K.DEFAULT_CURRENCY)) if "currency" in parsed.columns
         else F.lit(K.DEFAULT_CURRENCY),
         "embedding": F.col("embedding") if "embedding" in parsed.columns else F.lit(None).cast("array<float>"),

@@ -575,6 +575,11 @@ def q_pattern_candidates(spark, sf):
     return _alerts(spark, sf).select("message_id", QA.pattern_candidates("raw_text").alias("candidates"))
 
 
+@register("rank_patterns")
+def q_rank_patterns(spark, sf):
+    return QA.rank_patterns(_alerts(spark, sf), n=20)
+
+
 @register("suggest_pattern")
 def q_suggest_pattern(spark, sf):
     j = S._lineitem_part(spark, sf)

@@ -1015,6 +1015,24 @@ SELECT message_id,
 FROM alerts
 """)
 
+# Greedy cover: each round keeps the rows that the round's best pattern leaves.
+ORACLES["rank_patterns"] = ALERT_CTE.replace("WITH li AS", "WITH RECURSIVE li AS", 1) + """
+, pairs AS (
+  SELECT rid, unnest(candidates) AS pattern FROM (
+    SELECT row_number() OVER () AS rid, list_distinct(CASE kind WHEN 3 THEN ['xx' || card, 'vpa', p_name] ELSE [p_name, 'xx' || card] END) AS candidates
+    FROM alerts)),
+left_over(rank, rid, pattern) AS (
+  SELECT 1, rid, pattern FROM pairs
+  UNION ALL
+  SELECT rank + 1, rid, pattern FROM left_over
+  WHERE rank < 20 AND rid NOT IN (
+    SELECT rid FROM left_over WHERE pattern = (SELECT pattern FROM left_over GROUP BY pattern ORDER BY COUNT(*) DESC, pattern LIMIT 1))),
+best AS (
+  SELECT rank, pattern, COUNT(*) AS rows_new FROM left_over GROUP BY rank, pattern
+  QUALIFY row_number() OVER (PARTITION BY rank ORDER BY COUNT(*) DESC, pattern) = 1)
+SELECT CAST(rank AS INTEGER) AS rank, pattern, (SELECT COUNT(*) FROM pairs p WHERE p.pattern = best.pattern) AS rows_covered, rows_new FROM best
+"""
+
 
 
 def _entities() -> str:

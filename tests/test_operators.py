@@ -490,3 +490,31 @@ def test_of_two_writers_none_loses_its_update(spark, tmp_path, mappings):
     assert ST.change_table(spark, path, drop) == 5 and len(runs) == 2
     assert {r.raw_pattern for r in ST.read_version(spark, path).collect()} == set(got) - {"first", "second"}
     assert len(list((tmp_path / "m" / "data").iterdir())) == len(list((tmp_path / "m" / "manifests").iterdir())) == 5
+
+
+# --- patterns ranked over a backlog, ids ------------------------------------------------------------
+
+def test_ranked_patterns_are_the_greedy_cover(spark, monkeypatch):
+    """Equal to a plain greedy cover over all candidates, also when the first few patterns don't suffice."""
+    import random
+
+    draw = random.Random(5)
+    sets = [sorted(draw.sample([f"p{i:02d}" for i in range(40)], draw.randint(0, 4))) for _ in range(300)]
+    monkeypatch.setattr(QA, "pattern_candidates", lambda c: F.filter(F.split(c, ","), lambda p: p != ""))
+    df = spark.createDataFrame([(",".join(s),) for s in sets], "raw_text string").repartition(3)
+    for n in (1, 2, 60):
+        want, open_ = [], [s for s in sets if s]
+        while open_ and len(want) < n:
+            gain = {p: sum(p in s for s in open_) for s in open_ for p in s}
+            best = min(gain, key=lambda p: (-gain[p], p))
+            want.append((len(want) + 1, best, sum(best in s for s in sets), gain[best]))
+            open_ = [s for s in open_ if best not in s]
+        assert sorted(tuple(r) for r in QA.rank_patterns(df, n=n).collect()) == want
+    assert QA.rank_patterns(df.limit(0), n=3).count() == 0
+
+
+def test_store_ids_come_from_the_key(spark):
+    rows = spark.createDataFrame([("debit", "a"), ("credit", "a"), ("debit", "b"), ("debit", None), ("debit", None)], "txn_type string, source string")
+    once, again = ({(r.txn_type, r.source): r.id for r in ST.to_store_rows(rows).filter("source is not null").collect()} for _ in range(2))
+    assert once == again and len(set(once.values())) == 3 and all(len(i) == 36 for i in once.values())
+    assert len({r.id for r in ST.to_store_rows(rows).collect()}) == 5
