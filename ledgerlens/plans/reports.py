@@ -9,11 +9,13 @@ already-aggregated input (one row per month/category).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerlens import constants as K
 from ledgerlens.operators.store import number_rows
+from ledgerlens.session import partitions
 
 
 # Columns appended to every user-facing order so ties (repeated source keys)
@@ -229,10 +231,7 @@ def review_backlog_labelled(all_txn: DataFrame, table: str = "both", issue: str
     if table in ("expenses", "credits"):
         cond = cond & (F.col("table_name") == table)
     out = all_txn.filter(cond)
-    table_rank = F.when(F.col("table_name") == "expenses", 0).otherwise(1)
-    # Source keys may repeat, so the tie-break columns make the order total
-    # and paging deterministic.
-    return out.orderBy(table_rank, F.col("txn_date").desc_nulls_last(), *_tie_break())
+    return out.orderBy(*_review_order())
 
 
 def bad_rows(df: DataFrame) -> DataFrame:
@@ -260,6 +259,12 @@ def mapping_order(mappings: DataFrame) -> DataFrame:
     return ranked.drop("_down")
 
 
+def _review_order() -> list[Column]:
+    """Source keys may repeat, so the tie-break columns make the order total and paging deterministic."""
+    table_rank = F.when(F.col("table_name") == "expenses", 0).otherwise(1)
+    return [table_rank, F.col("txn_date").desc_nulls_last(), *_tie_break()]
+
+
 def review_page(expenses: DataFrame, credits: DataFrame, page: int,
                 page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
     return review_page_labelled(all_transactions(expenses, credits), page, page_size)
@@ -276,6 +281,38 @@ def review_page_labelled(all_txn: DataFrame, page: int, page_size: int = K.REVIE
     return review_backlog_labelled(all_txn).offset((page - 1) * page_size).limit(page_size)
 
 
+def write_review_pages(all_txn: DataFrame, path: str) -> None:
+    """The review backlog as an order-statistic table, so any page is read without sorting the backlog.
+
+    ``rows`` holds the backlog dealt by ranges of its order, a folder a
+    range, ``sizes`` how many rows each range has, and ``columns`` no rows.  Rows that are equal
+    in the order are told apart by where they were read, so no range grows
+    with the copies of one row.
+    """
+    spark = all_txn.sparkSession
+    backlog = all_txn.filter(_needs_merchant() | _needs_category()).withColumn("_at", F.monotonically_increasing_id())
+    order = [*_review_order(), F.col("_at")]
+    (backlog.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id())
+     .write.partitionBy("_range").parquet(f"{path}/rows"))
+    backlog.limit(0).coalesce(1).write.parquet(f"{path}/columns")
+    rows = spark.read.schema(StructType([*backlog.schema.fields, StructField("_range", IntegerType())])).parquet(f"{path}/rows")
+    rows.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/sizes")
+
+
+def read_review_page(spark: SparkSession, path: str, page: int, page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
+    """One page of a table that ``write_review_pages`` wrote: only the ranges that hold its rows are read.  Past the
+    last page it is empty."""
+    first = (max(1, int(page)) - 1) * page_size
+    hit, before, skip = [], 0, 0
+    for r in spark.read.schema("_range int, n long").parquet(f"{path}/sizes").orderBy("_range").collect():  # a row per range
+        if before < first + page_size and before + r.n > first:
+            skip = skip if hit else first - before
+            hit.append(r["_range"])
+        before += r.n
+    rows = spark.read.parquet(*[f"{path}/rows/_range={i}" for i in hit] or [f"{path}/columns"])
+    return rows.orderBy(*_review_order(), "_at").offset(max(0, skip)).limit(page_size).drop("_at")
+
+
 def review_totals(expenses: DataFrame, credits: DataFrame,
                   page_size: int = K.REVIEW_PAGE_SIZE) -> DataFrame:
     return review_totals_labelled(all_transactions(expenses, credits), page_size)

@@ -518,3 +518,23 @@ def test_store_ids_come_from_the_key(spark):
     once, again = ({(r.txn_type, r.source): r.id for r in ST.to_store_rows(rows).filter("source is not null").collect()} for _ in range(2))
     assert once == again and len(set(once.values())) == 3 and all(len(i) == 36 for i in once.values())
     assert len({r.id for r in ST.to_store_rows(rows).collect()}) == 5
+
+
+def test_review_pages_are_those_of_the_sorted_backlog(spark, tmp_path):
+    """Every page, also over range borders and with a third of the rows equal, reads only the ranges it needs."""
+    from ledgerlens.plans import reports as R
+
+    rows = [("expenses" if i % 3 else "credits", f"s{i // 2}", dt.datetime(2024, 1, 1 + i % 28) if i % 5 else None, Decimal(i), None if i % 2 else "M",
+             "Other" if i % 4 else None, "", "UPI", "B") for i in range(60)] + [("expenses", "same", dt.datetime(2024, 2, 1), Decimal(1), None, "Other", "", "UPI", "B")] * 30
+    df = spark.createDataFrame(rows, "table_name string, source string, txn_date timestamp_ntz, amount decimal(12,2), merchant string, category string, "
+                                     "sub_category string, payment_method string, bank_name string").repartition(4)
+    path = str(tmp_path / "pages")
+    R.write_review_pages(df, path)
+    want = [tuple(r) for r in R.review_backlog_labelled(df).collect()]
+    pages = -(-len(want) // 7)
+    got = [[tuple(r) for r in R.read_review_page(spark, path, p, 7).select(*df.columns).collect()] for p in (1, 4, pages, pages + 1)]
+    assert got == [want[(p - 1) * 7:p * 7] for p in (1, 4, pages, pages + 1)] and got[3] == [] and got[2]
+    opened = {f.split("_range=")[1].split("/")[0] for f in R.read_review_page(spark, path, 4, 7).inputFiles()}
+    assert 1 <= len(opened) <= 2 < spark.read.parquet(f"{path}/sizes").count()
+    R.write_review_pages(df.limit(0), str(tmp_path / "none"))
+    assert R.read_review_page(spark, str(tmp_path / "none"), 1).count() == 0
