@@ -20,6 +20,7 @@ stays closed and is tried once.  Decoding emits the arcs' labels.
 Texts go through the tokenizer file's own steps first: added tokens, the
 normalizers NFC, white space and lower case, the split pattern and the
 byte-level alphabet.  ``Tokenizer`` raises if the file asks for any other.
+Letters, numbers and lower case are those of the Unicode versions that the library knows.
 
 Ids are packed as little-endian unsigned 32-bit integers, the layout of
 token files.  Defined cases: null text is the empty text (no ids, empty
@@ -30,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,29 @@ CACHE_WORDS = 100_000
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
 
 
+# Where the tables of ``regex`` and of Python differ from the library's, whose split pattern knows
+# the letters and numbers of Unicode 16 and whose lower case is that of Unicode 17.
+# Letters and numbers that ``regex`` knows and the library's pattern doesn't: first and last code point.
+_NOT_YET = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F))
+# Capitals that Python doesn't know: first, last and the first one's lower case.
+_LATE_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+
+_NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NOT_YET) + "]")
+_CAPITAL = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _LATE_CAPITALS) + "]")
+_LOWER = {c: low + c - a for a, b, low in _LATE_CAPITALS for c in range(a, b + 1)}
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.vocab, self.suffix = vocab, suffix
@@ -66,6 +92,7 @@ class Automaton:
             node[int(final or not suffix)] = i
             if not suffix:
                 node[0] = i
+        self.longest = max(map(len, vocab), default=0)
         self.table: dict[int, dict[int, bool]] = {}  # state: its arcs looked up so far
         self.kept = 0
         self.loop = (-1, -1, -1)
@@ -97,44 +124,50 @@ class Automaton:
     def _arcs(self, word: str, a: int) -> list[tuple[int, int]]:
         """(token, where it ends) of the tokens that spell the word from ``a`` on, longest last."""
         n, node, out, b = len(word), self.trie, [], a
-        for c in word[a:]:
+        for c in word[a:a + self.longest]:
             node = node.get(c)
             if node is None:
                 return out
             b += 1
             if 0 in node and b < n:
                 out.append((node[0], b))
-        if 1 in node:
+        if b == n and 1 in node:
             out.append((node[1], n))
         return out
 
     def encode(self, word: str) -> list[int]:
+        """The word's ids.  Beside them the search keeps eight bytes a token and one a symbol, so a word of many MB is no matter."""
         if self.kept > 2 * CACHE_WORDS:
             self.table, self.kept = {}, 0
         n, table = len(word), self.table
+        if not n:
+            return []
         # Only one accepted path leads to a position, so a position from which none ends the word stays closed.
-        closed: set[int] = set()
-        path: list[tuple[int, int, list[tuple[int, int]]]] = []
+        closed = bytearray(n + 1)
+        states, starts = array("i"), array("i")  # the path: tokens behind the present one, and where each present one began
         state, at, arcs, row = -1, 0, self._arcs(word, 0), None
         while at < n:
             while arcs:
                 token, end = arcs.pop()
-                if end in closed:
+                if closed[end]:
                     continue
                 if row is not None:
                     found = row.get(token)
                     if not (self.arc(state, token) if found is None else found):
                         continue
-                path.append((state, at, arcs))
+                states.append(state)
+                starts.append(at)
                 state, at = token, end
                 row = table.setdefault(token, {})
                 arcs = self._arcs(word, at) if at < n else []
                 break
             else:
-                closed.add(at)
-                state, at, arcs = path.pop()
-                row = table[state] if state >= 0 else None
-        return [s for s, _, _ in path[1:]] + [state] if n else []
+                closed[at] = 1
+                failed, state, at = at, states.pop(), starts.pop()
+                # Tokens are tried longest first, so those that end before the closed place are still to try.
+                arcs = [x for x in self._arcs(word, at) if x[1] < failed]
+                row = table.setdefault(state, {}) if state >= 0 else None
+        return [*states[1:], state]
 
 
 def _alphabet() -> dict[int, str]:
@@ -156,10 +189,14 @@ class Tokenizer:
             raise ValueError("the tokenizer file uses steps that this operator doesn't have")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
+        if any(t.get(k) for t in conf["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("the tokenizer file has added tokens of a kind that this operator doesn't have")
         self.added = {t["content"]: t["id"] for t in conf["added_tokens"]}
+        self.added_start = os.path.commonprefix(list(self.added))
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         space = r"\p{White_Space}"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", space)).findall
+        pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", space))
+        self.words, self.found = pattern.findall, pattern.finditer
         self.blank = regex.compile(space + "+")
         self.letters = _alphabet()
         labels = {i: t for t, i in (model["vocab"] | self.added).items()}
@@ -171,16 +208,22 @@ class Tokenizer:
         symbols = "".join(map(self.letters.__getitem__, word.encode()))
         return np.array(self.automaton.encode(symbols), "<u4").tobytes()
 
+    def _split(self, part: str) -> list[str]:
+        """The pattern's words, with the letters and numbers that the library doesn't know yet taken for neither."""
+        return [part[m.start():m.end()] for m in self.found(_NEWER.sub("\uffff", part))]
+
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
             # Lower case is taken code point by code point: a final sigma is like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _CAPITAL.search(text):
+                text = text.translate(_LOWER)
         # White space only parts words here, so runs of it need no replacing.
         text = text.lower()
         parts = self.blank.split(text) if _SEPARATORS(text) else text.split()
         chunks = self.chunks
         for part in set(parts).difference(chunks):
-            words = self.words(part)
+            words = self.words(part) if part.isascii() or not _NEWER.search(part) else self._split(part)
             for w in words:
                 if w not in self.known:
                     self.known[w] = self._word(w)
@@ -192,7 +235,7 @@ class Tokenizer:
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.added_split is None or "<|" not in text:
+        if self.added_split is None or self.added_start not in text:
             return self._plain(text)
         parts = self.added_split.split(text)
         return b"".join(np.uint32(self.added[p]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))

@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +38,31 @@ def test_automaton_equals_the_library(library):
         assert t.decode(got) == decoded
 
 
+def test_every_code_point_equals_the_library(library):
+    t = bpe.Tokenizer(open(tokenizer_path(), "rb").read())
+    texts = [f"a{chr(c)}b {chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at:at + 20_000]
+        for text, e in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(t.encode(text), "<u4").tolist() == e.ids, ascii(text)
+
+
+def test_one_very_long_word_takes_linear_time(library):
+    t = bpe.Tokenizer(open(tokenizer_path(), "rb").read())
+    word = "".join(random.Random(5).choices("abehilnorst", k=1_000_000))
+    start = time.process_time()
+    ids = np.frombuffer(t.encode(word), "<u4").tolist()
+    assert time.process_time() - start < 20  # a square of the length takes longer by far
+    assert ids == want(library, word)[0]
+
+
+def test_added_tokens_of_other_kinds_are_refused():
+    conf = json.load(open(tokenizer_path()))
+    conf["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(json.dumps(conf).encode())
+
+
 def test_arcs_are_the_compatible_pairs(library):
     """The automaton has arc b after a exactly if encoding their joined symbols gives the two tokens back."""
     t = bpe.Tokenizer(open(tokenizer_path(), "rb").read()).automaton
