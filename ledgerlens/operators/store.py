@@ -20,7 +20,7 @@ from ledgerlens.functions.merchant import reclean
 from ledgerlens.functions.text import strip_ws
 from ledgerlens.operators.store_keys import drop_index, known_keys
 from ledgerlens.operators.versions import (  # noqa: F401 - a table's versions are part of this module's API
-    Changed, change_files, change_table, current_version, read_version, save_version, version_files)
+    Changed, append_rows, change_files, change_table, current_version, read_version, save_version, version_files)
 from ledgerlens.session import stage
 
 TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "sub_category",

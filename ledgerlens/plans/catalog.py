@@ -26,6 +26,7 @@ from ledgerlens.plans import extensions as EX
 from ledgerlens.plans import fixtures as FX
 from ledgerlens.plans import pipelines as PL
 from ledgerlens.plans import reports as R
+from ledgerlens.plans import views as VW
 from ledgerlens.schemas import BUDGET
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import mail as ML
@@ -398,6 +399,27 @@ def q_publish_bi_views(spark, sf):
                      "ROUND(CAST(avg_amount AS DOUBLE), 6) AS avg_amount FROM v_top_merchants")
 
 
+@register("maintained_views")
+def q_maintained_views(spark, sf):
+    """S12 kept up to date: the four views after an append and a deletion of bad rows, from the files' partial sums."""
+    expenses, credits = scratch_path(spark, "expenses"), scratch_path(spark, "credits")
+    columns = ["source", "txn_date", "amount", "merchant", "category"]
+    rows, late = _exp(spark, sf).select(columns), F.coalesce(F.col("txn_date") >= F.lit("1995-01-01").cast("timestamp_ntz"), F.lit(False))
+    ST.save_version(rows.filter(~late), expenses)
+    ST.save_version(_cred(spark, sf).select(columns), credits)
+    VW.refresh(spark, expenses)
+    ST.append_rows(spark, expenses, rows.filter(late))
+    VW.refresh(spark, expenses)
+    ST.delete_bad_from_table(spark, expenses)
+    VW.publish(spark, expenses, credits)
+    return spark.sql("""
+        SELECT 'monthly_spend' AS view, CAST(month AS STRING) AS key, CAST(total_spent AS DOUBLE) AS total,
+               CAST(NULL AS DOUBLE) AS further, txn_count AS n FROM v_monthly_spend
+        UNION ALL SELECT 'category_spend', category, CAST(total_spent AS DOUBLE), CAST(row_id AS DOUBLE), txn_count FROM v_category_spend
+        UNION ALL SELECT 'top_merchants', merchant, CAST(total_spent AS DOUBLE), ROUND(CAST(avg_amount AS DOUBLE), 6), txn_count FROM v_top_merchants
+        UNION ALL SELECT 'income_vs_expense', CAST(month AS STRING), CAST(income AS DOUBLE), CAST(net AS DOUBLE), NULL FROM v_monthly_income_vs_expense""")
+
+
 @register("delete_bad_rows")
 def q_delete_bad_rows(spark, sf):
     path = scratch_path(spark, "expenses")

@@ -462,6 +462,28 @@ SELECT source, CAST(amount AS DOUBLE) AS amount FROM expenses
 WHERE NOT COALESCE(amount > 10000000 OR merchant IN ('the', 'a', 'an'), false)
 """)
 
+oracle("maintained_views", """
+, kept AS (
+  SELECT * FROM expenses WHERE NOT COALESCE(amount > 10000000 OR merchant IN ('the', 'a', 'an'), false)),
+per_category AS (
+  SELECT COALESCE(category, 'Other') AS name, COUNT(*) AS n, SUM(amount) AS spent FROM kept GROUP BY 1),
+top AS (
+  SELECT merchant, SUM(amount) AS spent, COUNT(*) AS n FROM kept WHERE merchant IS NOT NULL
+  GROUP BY 1 ORDER BY spent DESC, merchant ASC LIMIT 20),
+both_sides AS (
+  SELECT txn_date, amount AS spent, 0 AS earned FROM kept
+  UNION ALL SELECT txn_date, 0, amount FROM txn WHERE txn_type = 'credit')
+SELECT 'monthly_spend' AS view, CAST(CAST(date_trunc('month', txn_date) AS DATE) AS VARCHAR) AS key,
+       CAST(SUM(amount) AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS further, COUNT(*) AS n FROM kept GROUP BY 2
+UNION ALL
+SELECT 'category_spend', name, CAST(spent AS DOUBLE), CAST(ROW_NUMBER() OVER (ORDER BY spent DESC, name) AS DOUBLE), n FROM per_category
+UNION ALL
+SELECT 'top_merchants', merchant, CAST(spent AS DOUBLE), ROUND(CAST(spent AS DOUBLE) / n, 6), n FROM top
+UNION ALL
+SELECT 'income_vs_expense', CAST(CAST(date_trunc('month', txn_date) AS DATE) AS VARCHAR),
+       CAST(SUM(earned) AS DOUBLE), CAST(SUM(earned) - SUM(spent) AS DOUBLE), NULL FROM both_sides GROUP BY 2
+""")
+
 _CAP = "upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
 # two-word names (adjective noun) and one-word types
 _INITCAP2 = ("upper(substr(split_part({x}, ' ', 1), 1, 1)) || lower(substr(split_part({x}, ' ', 1), 2)) || ' ' || "
