@@ -22,6 +22,7 @@ from ledgerlens.operators.store_keys import drop_index, known_keys
 from ledgerlens.operators.versions import (  # noqa: F401 - a table's versions are part of this module's API
     Changed, append_rows, change_files, change_table, current_version, read_version, save_version, version_files)
 from ledgerlens.session import stage
+from ledgerlens.sources.csv_records import read_records
 
 TXN_COLUMNS = ["id", "txn_date", "amount", "currency", "merchant", "category", "sub_category",
                "payment_method", "bank_name", "source", "raw_text", "embedding", "created_at"]
@@ -197,23 +198,15 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     pattern, clean name, category; priority must be an integer (0 where the
     file has no such column).  Quoted values may hold line breaks; blank
     lines are no rows.  ``line_no`` orders rows by file name, then place.
-
-    A mapping file is small and is one record stream by nature (a quote may
-    span lines), so each file is one row here and its records are split
-    with one regular expression.
+    A file of any size is cut into records in parallel (``csv_records``).
     """
-    files = (spark.read.text(path, wholetext=True)
-             .select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value")))
-    # A record ends at a line break outside quotes.
-    record = r'((?:[^"\n]++|"(?:[^"]++|"")*+")++)'
-    records = (files.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(record), 1)).alias("at", "value"))
-               .filter(~F.col("value").rlike(r'^"?#') & (F.regexp_replace("value", r"\s", "") != "")))
+    records = read_records(spark, path).filter(~F.col("value").startswith('"#') & (F.regexp_replace("value", r"\s", "") != ""))
     heads = records.groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
     names_of = F.transform(F.split("h.value", ","), lambda h: F.lower(strip_ws(F.regexp_replace(h, '"', ""))))
     wide = heads.agg(F.max(F.size(F.split("h.value", ",")))).first()[0] or 1  # as many columns as the widest header names
     ddl = ", ".join(f"`c{i}` string" for i in range(wide))
     parsed = (records.join(heads, "file").filter(F.col("at") > F.col("h.at"))
-              .select("file", "at", names_of.alias("names"), F.from_csv(F.col("value"), ddl, {"multiLine": "true"}).alias("r")))
+              .select("file", "at", names_of.alias("names"), F.from_csv(F.col("value"), ddl, {"multiLine": "true", "escape": '"'}).alias("r")))
     values = F.array(*[F.col(f"r.c{i}") for i in range(wide)])
     parsed = parsed.select("names", values.alias("values"), F.struct("file", "at").alias("line_no"))
 
