@@ -13,7 +13,8 @@ nearest vote, weighted by similarity and by how common their class is.
 
 Defined cases: null and empty texts have no terms and get the share of
 class one as score; without a labelled document of both classes every score
-is that share; repeated rows each keep a row; null ids count as held out;
+is that share; all that tie with the last neighbour vote too; repeated rows
+each keep a row; null ids count as held out;
 an empty table gives an empty result.
 """
 
@@ -138,9 +139,10 @@ def votes(model: Model, counts: np.ndarray) -> np.ndarray:
     for lo in range(0, len(full), _BLOCK):
         at = full[lo:lo + _BLOCK]
         near = unit(weights(counts[at], model.idf) @ model.basis) @ model.vectors.T
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        w = np.clip(np.take_along_axis(near, top, 1), 1e-6, None) ** 4 * odds[model.labels[top]]
-        out[at] = (w * model.labels[top]).sum(axis=1) / w.sum(axis=1)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        doc, voter = np.nonzero(near >= last[:, None])
+        w = np.clip(near[doc, voter], 1e-6, None) ** 4 * odds[model.labels[voter]]
+        out[at] = np.bincount(doc, w * model.labels[voter], len(at)) / np.bincount(doc, w, len(at))
     return out
 
 

@@ -1,5 +1,6 @@
 """Quality, toxicity and HTML extraction: held-out accuracy, training folds, defined cases."""
 
+import re
 import zlib
 
 import numpy as np
@@ -51,6 +52,68 @@ def test_edge_rows(spark, edge, nothing, model):
         assert model.score(nothing, model.fit(nothing, given, label)).collect() == []
 
 
+def plain_terms(text):
+    """A text's trigram bins and shares, counted one by one."""
+    row = np.zeros(quality.BINS + quality.SHAPES)
+    for a, b, c in zip(text, text[1:], text[2:]):
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        row[((h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 22] += 1
+    words = re.findall(rb"[^\x00-\x20]+", text)
+    n, size = max(len(words), 1), max(len(text), 1)
+    marks = sum(b > 32 and b < 128 and not chr(b).isalnum() for b in text)
+    row[quality.BINS:] = [sum(a == b for a, b in zip(words, words[1:])) / n, (len(words) - len(set(words))) / n,
+                          sum(65 <= b <= 90 for b in text) / size, marks / size]
+    return row
+
+
+def test_quality_equals_all_cosines(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, m).collect()}
+    n1, k, sure = int(m.labels.sum()), quality.NEIGHBOURS, 0
+    for r in docs.collect():
+        terms = plain_terms((r.text or "").encode())
+        w = np.log1p(terms[:quality.BINS]) * m.idf
+        w = np.concatenate([w / np.linalg.norm(w), quality.SHAPE_WEIGHT * np.sqrt(terms[quality.BINS:])]) @ m.basis
+        near = sorted(((float(c), int(y)) for c, y in zip(m.vectors @ (w / np.linalg.norm(w)), m.labels)), reverse=True)
+        if near[k - 1][0] - near[k][0] < 1e-5:  # which of the two is nearer hangs on rounding
+            continue
+        sure += 1
+        votes = [(max(c, 1e-6) ** 4 * (m.share / n1 if y else (1 - m.share) / (len(m.labels) - n1)) ** 0.5, y) for c, y in near[:k]]
+        assert abs(got[r.doc_id] - sum(v * y for v, y in votes) / sum(v for v, _ in votes)) < 1e-3
+    assert sure > 800
+
+
+def test_ties_with_the_last_neighbour_all_vote():
+    r = np.random.default_rng(1)
+    counts = r.integers(0, 5, (60, quality.BINS + quality.SHAPES)).astype(np.float32)
+    counts[20:] = counts[20]  # forty equal rows in the sample
+    y = np.array([0, 1] * 30)
+    basis = np.linalg.qr(r.standard_normal((quality.BINS + quality.SHAPES, quality.DIMS)))[0].astype(np.float32)
+    idf = np.ones(quality.BINS, np.float32)
+    vectors = quality.unit(quality.weights(counts, idf) @ basis).astype(np.float32)
+    scores = [quality.votes(quality.Model(idf, basis, vectors[o], y[o], 0.5), counts[20:21])[0] for o in (np.arange(60), np.arange(60)[::-1], r.permutation(60))]
+    assert np.allclose(scores, 0.5, atol=1e-4)  # twenty of either class, in whatever order the sample stands
+
+
+def test_toxicity_equals_plain_sums(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    weight, known = dict(zip(m.entries.tolist(), m.weights)), {}
+
+    def entry(word, k):
+        if (word, k) not in known:
+            known[word, k] = int(toxicity.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) ^ (k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        return known[word, k]
+
+    for r in docs.collect():
+        words = set(re.findall(rb"[a-z\x80-\xff]+", (r.text or "").encode().lower()))
+        held = {entry(w, 0) for w in words} | {entry(w[:k], k) for w in words for k in toxicity.STEMS if len(w) > k}
+        z = m.bias + sum(weight.get(h, 0) for h in held)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_sample_is_bounded_and_out_of_fold(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     rows, share = sample(docs, labels, "quality", 30)
