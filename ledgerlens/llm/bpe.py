@@ -15,7 +15,11 @@ A pre-split word is encoded by a search over the tokens that spell it,
 longest first, from a trie: a token without an arc from the one before it is
 passed over, and the search steps back from a position that none leaves.
 Each prefix of the word has exactly one accepted path, so such a position
-stays closed and is tried once.  Decoding emits the arcs' labels.
+stays closed and is tried once.  What follows a token in a word of usual
+length is searched as a word of its own, and kept: a token and the path of the
+rest are the word's path if the token has an arc to that path's first token,
+as a path is accepted by its neighbouring tokens.  So words with equal ends
+share their search.  Decoding emits the arcs' labels.
 
 Texts go through the tokenizer file's own steps first: added tokens, the
 normalizers NFC, white space and lower case, the split pattern and the
@@ -43,8 +47,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, map_batches, text_bytes
 
-#: Words, and pieces between white space, that a worker keeps the ids of before it starts anew: some ten MB each.
+#: Ends of words, and pieces between white space, that a worker keeps the ids of: those asked for since the last
+#: ``CACHE_WORDS`` new ones, and as many before them; some ten MB each.
 CACHE_WORDS = 100_000
+#: Symbols of a word whose ends are kept.
+SHORT = 64
 
 
 #: Code points that Python's split() takes for white space and Unicode doesn't.
@@ -96,6 +103,9 @@ class Automaton:
         self.table: dict[int, dict[int, bool]] = {}  # state: its arcs looked up so far
         self.kept = 0
         self.loop = (-1, -1, -1)
+        self.packed = [i.to_bytes(4, "little") for i in range(max(vocab.values(), default=-1) + 1)]
+        self.tails: dict[str, tuple[int, bytes]] = {}  # ends of words: their first token and ids
+        self.older: dict[str, tuple[int, bytes]] = {}
 
     def _arc(self, state: int, token: int, before: int) -> bool:
         """Whether the state behind token ``state`` has arc ``token`` once all gadgets under ``before`` are in."""
@@ -135,6 +145,38 @@ class Automaton:
             out.append((node[1], n))
         return out
 
+    def ids(self, word: str) -> bytes:
+        """The word's packed ids."""
+        if not 0 < len(word) <= SHORT:
+            return np.array(self.encode(word), "<u4").tobytes()
+        if self.kept > 2 * CACHE_WORDS:
+            self.table, self.kept = {}, 0
+        if len(self.tails) > CACHE_WORDS:
+            self.tails, self.older = {}, self.tails
+        return self._tail(word)[1]
+
+    def _tail(self, word: str) -> tuple[int, bytes]:
+        """The first token and the packed ids of a short word, (-1, nothing) if no path ends it."""
+        found = self.tails.get(word) or self.older.get(word)
+        if found is None:
+            n, arcs, found = len(word), self._arcs(word, 0), (-1, b"")
+            while arcs:
+                token, end = arcs.pop()
+                if end == n:
+                    found = token, self.packed[token]
+                    break
+                rest = word[end:]
+                first, ids = self.tails.get(rest) or self._tail(rest)
+                if first < 0:
+                    continue
+                row = self.table.get(token)
+                yes = row.get(first) if row is not None else None
+                if self.arc(token, first) if yes is None else yes:
+                    found = token, self.packed[token] + ids
+                    break
+        self.tails[word] = found
+        return found
+
     def encode(self, word: str) -> list[int]:
         """The word's ids.  Beside them the search keeps eight bytes a token and one a symbol, so a word of many MB is no matter."""
         if self.kept > 2 * CACHE_WORDS:
@@ -201,12 +243,13 @@ class Tokenizer:
         self.letters = _alphabet()
         labels = {i: t for t, i in (model["vocab"] | self.added).items()}
         self.labels = [labels.get(i) for i in range(max(labels) + 1)]
-        self.known: dict[str, bytes] = {}  # ids of words
         self.chunks: dict[str, bytes] = {}  # ids of what stands between white space
+        self.older: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        symbols = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array(self.automaton.encode(symbols), "<u4").tobytes()
+        # Printable ASCII stands for itself; a word holds no blank.
+        symbols = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        return self.automaton.ids(symbols)
 
     def _split(self, part: str) -> list[str]:
         """The pattern's words, with the letters and numbers that the library doesn't know yet taken for neither."""
@@ -221,18 +264,19 @@ class Tokenizer:
         # White space only parts words here, so runs of it need no replacing.
         text = text.lower()
         parts = self.blank.split(text) if _SEPARATORS(text) else text.split()
+        if len(self.chunks) > CACHE_WORDS:
+            self.chunks, self.older = {}, self.chunks
         chunks = self.chunks
         for part in set(parts).difference(chunks):
-            words = self.words(part) if part.isascii() or not _NEWER.search(part) else self._split(part)
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self._word(w)
-            chunks[part] = b"".join(map(self.known.__getitem__, words))
-        out = b"".join(map(chunks.__getitem__, parts))
-        if len(chunks) > CACHE_WORDS:
-            chunks.clear()
-            self.known.clear()
-        return out
+            ids = self.older.get(part)
+            if ids is None:
+                known = part.isascii() or not _NEWER.search(part)
+                if known and part.isalpha():  # one run of letters
+                    ids = self._word(part)
+                else:
+                    ids = b"".join(map(self._word, self.words(part) if known else self._split(part)))
+            chunks[part] = ids
+        return b"".join(map(chunks.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         if self.added_split is None or self.added_start not in text:

@@ -56,6 +56,31 @@ def test_one_very_long_word_takes_linear_time(library):
     assert ids == want(library, word)[0]
 
 
+def test_words_with_equal_ends_share_their_search(monkeypatch):
+    t = bpe.Tokenizer(open(tokenizer_path(), "rb").read())
+    walks, walk = [], bpe.Automaton._arcs
+    monkeypatch.setattr(bpe.Automaton, "_arcs", lambda self, word, a: walks.append(word) or walk(self, word, a))
+    r = random.Random(6)
+    ends = ["".join(r.choices("bcdfghjklmnpqrtvwxz", k=24)) for _ in range(20)]
+    words = [a + b + e for e in ends for a in "qxz" for b in "jkvw"]
+    ids = t.encode(" ".join(words))
+    assert len(walks) < len(ids) // 8  # walks from fewer than half of the places where a token begins
+    assert ids == b"".join(np.array(t.automaton.encode(w), "<u4").tobytes() for w in words)
+
+
+@pytest.mark.parametrize("kept", [2, 40])
+def test_ids_do_not_depend_on_what_is_kept(library, monkeypatch, kept):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", kept)
+    monkeypatch.setattr(bpe, "SHORT", 12)
+    t = bpe.Tokenizer(open(tokenizer_path(), "rb").read())
+    r = random.Random(7)
+    words = ["".join(r.choices("abehilnorst", k=r.randint(1, 30))) for _ in range(60)] + ["it's", "3rd,", "naïve", "x1y2", "ΟΔΟΣ"]
+    for _ in range(40):
+        text = " ".join(r.choices(words, k=50))
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == want(library, text)[0]
+        assert len(t.chunks) <= kept + 50 and len(t.older) <= kept + 50
+
+
 def test_added_tokens_of_other_kinds_are_refused():
     conf = json.load(open(tokenizer_path()))
     conf["added_tokens"][0]["lstrip"] = True
