@@ -43,6 +43,7 @@ from ledgerlens.operators import statements as SM
 from ledgerlens.operators import store as ST
 from ledgerlens.plans import pipelines as PL
 from ledgerlens.schemas import STATEMENT_TABLE, STATEMENT_TEXT
+from ledgerlens.session import stage_table
 
 SCHEMAS = {"tables": STATEMENT_TABLE, "text": STATEMENT_TEXT}
 #: The column that numbers a document's parts.
@@ -127,7 +128,8 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, *, store
         ready = ready.select(*columns)
         tables, pages = (ready, None) if kind == "tables" else (None, ready)
 
-        formats = SM.detect_statement_format(tables, pages)
+        parsed, formats = SM.parse_statements(tables, pages, as_of_year)
+        parsed = stage_table(parsed)
         none = F.lit(None).cast("string").alias("file")
         unknown = formats.filter(F.col("format") == "unknown").select("doc", F.lit("unknown format").alias("reason"), none)
         incomplete = late.select("doc").distinct().select("doc", F.lit("incomplete document").alias("reason"), none)
@@ -137,7 +139,7 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, *, store
         # One folder per batch, overwritten if the batch is replayed.
         (unknown.unionByName(incomplete).unionByName(broken).unionByName(files)
          .write.mode("overwrite").parquet(f"{quarantine_path}/kind={kind}/batch_id={batch_id}"))
-        result = PL.statement_pipeline(tables, pages, ST.stored_at(spark, store_path), mappings, created_at=created_at, as_of_year=as_of_year)
+        result = PL.statement_pipeline(tables, pages, ST.stored_at(spark, store_path), mappings, created_at=created_at, as_of_year=as_of_year, parsed=parsed)
         PL.append_result(result, store_path, index=True)
     finally:
         for frame in frames:

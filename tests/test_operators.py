@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
+from ledgerlens.functions import parsing as P
 from ledgerlens.operators import questions as QA
 from ledgerlens.operators import rules as RU
 from ledgerlens.operators import search as V
@@ -538,3 +539,31 @@ def test_review_pages_are_those_of_the_sorted_backlog(spark, tmp_path):
     assert 1 <= len(opened) <= 2 < spark.read.parquet(f"{path}/sizes").count()
     R.write_review_pages(df.limit(0), str(tmp_path / "none"))
     assert R.read_review_page(spark, str(tmp_path / "none"), 1).count() == 0
+
+
+# --- costly expressions are evaluated once a row ----------------------------------------------------
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statement_rows_are_parsed_once(spark):
+    """A filter on parsed dates and amounts isn't pushed below their computation, which would parse twice."""
+    t = spark.createDataFrame([("d", 0, 0, ["a"])], "doc string, table_no int, row_no long, cells array<string>")
+    p = spark.createDataFrame([("d", 0, "x")], "doc string, page_no long, text string")
+    f = spark.createDataFrame([("d", "axis", 0)], "doc string, format string, start_table int")
+    for df in (SM.statement_rows_multicol(t, f), SM.statement_rows_card_cell(t, f)):
+        assert _optimized(df).count("d MMMM yyyy") == 1
+    assert _optimized(SM.statement_lines_card_text(p, f, 1998)).count("make_timestamp") == 1
+
+
+
+def test_dates_and_amounts_that_no_format_can_have(spark):
+    """The tests that spare a failing parse let everything through that parses."""
+    dates = {"5/9/1996": 1996, "05-09-69": 1969, "05-09-68": 2068, "13 SEP 1996": 1996, "1 may 2001": 2001, "1  September\t1996": 1996, "3 Sept 1996": None,
+             "Opening Balance": None, "-5/9/1996": None, "31/02/1996": None, "1996-09-05": None, "": None, "5 sep 96": None, "3 Februar 1996": None}
+    got = spark.createDataFrame([(k,) for k in dates], "v string").select("v", F.year(P.parse_date("v")).alias("y")).collect()
+    assert {r.v: r.y for r in got} == dates
+    amounts = {"": None, " ": None, "1,234.50": Decimal("1234.50"), "\u0663": Decimal("3.00"), "1e3": Decimal("1000.00"), ".5": Decimal("0.50"), "NaN": None, "x5": None, "5x": None}
+    got = spark.createDataFrame([(k,) for k in amounts], "v string").select("v", P.parse_amount("v").alias("a")).collect()
+    assert {r.v: r.a for r in got} == amounts
