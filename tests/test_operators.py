@@ -557,6 +557,14 @@ def test_statement_rows_are_parsed_once(spark):
     assert _optimized(SM.statement_lines_card_text(p, f, 1998)).count("make_timestamp") == 1
 
 
+def test_pattern_candidates_are_found_once(spark, monkeypatch):
+    plans, real = [], QA.stage
+    monkeypatch.setattr(QA, "stage", lambda df: (plans.append(_optimized(df)), real(df))[1])
+    df = spark.createDataFrame([("Payment to Foo Bar",)], "raw_text string").repartition(2)
+    assert [r.pattern for r in QA.rank_patterns(df, n=2).collect()] == ["foo bar"]
+    assert plans[0].count("paid to|payment to|at|for merchant") == 1
+
+
 
 def test_dates_and_amounts_that_no_format_can_have(spark):
     """The tests that spare a failing parse let everything through that parses."""
