@@ -565,6 +565,13 @@ def test_pattern_candidates_are_found_once(spark, monkeypatch):
     assert plans[0].count("paid to|payment to|at|for merchant") == 1
 
 
+def test_message_text_is_lowered_once(spark):
+    from ledgerlens.sources import mail as ML
+
+    pay = spark.createDataFrame([], "id string, internalDate long, payload struct<headers:array<struct<name:string,value:string>>,"
+                                    "parts:array<struct<mimeType:string,body:struct<data:string>>>,body:struct<data:string>>")
+    assert _optimized(ML.message_records(pay)).count("lower(raw_text") == 1
+
 
 def test_dates_and_amounts_that_no_format_can_have(spark):
     """The tests that spare a failing parse let everything through that parses."""
