@@ -582,3 +582,44 @@ def test_dates_and_amounts_that_no_format_can_have(spark):
     amounts = {"": None, " ": None, "1,234.50": Decimal("1234.50"), "\u0663": Decimal("3.00"), "1e3": Decimal("1000.00"), ".5": Decimal("0.50"), "NaN": None, "x5": None, "5x": None}
     got = spark.createDataFrame([(k,) for k in amounts], "v string").select("v", P.parse_amount("v").alias("a")).collect()
     assert {r.v: r.a for r in got} == amounts
+
+
+# --- disk of the ingest pipelines -------------------------------------------------------------------
+
+def test_staged_tables_let_their_shuffle_files_go(spark):
+    import time
+
+    from ledgerlens.session import _CLEANUP, stage_table
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = held()
+    rows = spark.range(50_000).selectExpr("id", "uuid() u").repartition(7, "u")
+    assert stage_table(rows).count() == 50_000 and spark.conf.get(_CLEANUP, "false") == "false"
+    for _ in range(100):
+        new = held() - before
+        if sum(".data" in f for f in new) <= 8:  # the count's own
+            break
+        time.sleep(0.1)
+    shuffles = {f.split("_")[1] for f in held() - before if f.endswith(".data")}
+    assert len(shuffles) <= 1
+
+
+def test_saved_rows_are_shuffled_without_a_copy_of_their_order(spark):
+    rows = spark.createDataFrame([("debit", "a", dt.datetime(2024, 1, 1), "x", "d2"), ("debit", "a", dt.datetime(2024, 1, 1), "x", "d1"), ("debit", "b", None, None, "d3"),
+                                  ("debit", "b", None, "y", "d3"), (None, "c", None, "z", "d4"), ("credit", "k", None, "z", "d5")],
+                                 "txn_type string, source string, txn_date timestamp_ntz, raw_text string, doc string").repartition(3)
+    store = spark.createDataFrame([("credit", "k")], "txn_type string, source string")
+    saved, counts = PL.resolve_copies(rows, store, ["txn_type", "source"], [F.col("doc"), F.col("txn_date"), F.col("raw_text")])
+    assert "_ord" not in _optimized(saved)
+    assert sorted((r.source, r.doc, r.raw_text) for r in saved.collect()) == [("a", "d1", "x"), ("b", "d3", None)]
+    assert [tuple(r) for r in counts([]).collect()] == [(2, 3, 1)]
+
+
+def test_rows_meet_few_decided_merchants_without_a_shuffle(spark):
+    from ledgerlens.session import stage_table
+
+    rows = spark.createDataFrame([("Big Shop", None, None)] * 20, "merchant string, category string, sub_category string").repartition(3)
+    plain, settled = RU.categorize(rows, None), RU.categorize(rows, None, settle=stage_table)
+    assert sorted(map(tuple, settled.collect())) == sorted(map(tuple, plain.collect()))
+    assert "BroadcastHashJoin" in settled._jdf.queryExecution().executedPlan().toString()
