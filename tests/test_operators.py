@@ -623,3 +623,14 @@ def test_rows_meet_few_decided_merchants_without_a_shuffle(spark):
     plain, settled = RU.categorize(rows, None), RU.categorize(rows, None, settle=stage_table)
     assert sorted(map(tuple, settled.collect())) == sorted(map(tuple, plain.collect()))
     assert "BroadcastHashJoin" in settled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expenses_are_counted_once_for_all_questions(spark, tmp_path):
+    """The grouped expenses feed three branches of the plan; their rows are read by one of them only, before."""
+    path = str(tmp_path / "expenses")
+    spark.createDataFrame([("blue shop", "Food", "UPI", dt.datetime(2024, 3, 9), Decimal("5.00"))] * 3,
+                          "merchant string, category string, payment_method string, txn_date timestamp_ntz, amount decimal(12,2)").write.parquet(path)
+    qs = spark.createDataFrame([(1, "total upi spend on shop"), (2, "week"), (3, "spend at nowhere")], "question_id long, text string")
+    out = QA.answer_questions(qs, spark.read.parquet(path), "2024-03-10 09:00:00")
+    assert {r.question_id: r.total for r in out.collect()} == {1: Decimal("15.00"), 2: Decimal("15.00"), 3: Decimal("0.00")}
+    assert path not in _optimized(out) and not any(f.startswith(f"file://{path}") or path in f for f in out.inputFiles())
